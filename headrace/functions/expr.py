@@ -17,8 +17,12 @@ def col(c) -> Column:
 
 
 def r6(c) -> Column:
-    """Six decimals, with negative zero folded into zero."""
-    return F.round(col(c), 6) + F.lit(0.0)
+    """Six decimals, with negative zero folded into zero.
+
+    Averages of two-decimal readings often end exactly half-way; the nudge
+    settles those the same way whatever order the sum was taken in.
+    """
+    return F.round(col(c) + F.lit(1e-9), 6) + F.lit(0.0)
 
 
 def hour_floor(ts) -> Column:

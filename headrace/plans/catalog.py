@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_cleaning
+from . import q_cleaning, q_features
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in (q_cleaning,):
+for _m in (q_cleaning, q_features):
     QUERIES.update(_m.REG.queries)
     ORACLE.update(_m.REG.sql)

@@ -196,7 +196,7 @@ def score_sql(weight: float = S.R2_WEIGHT_PRIMARY, out: str = "s") -> str:
 
 
 def r6s(expr: str) -> str:
-    return f"round({expr}, 6) + 0.0"
+    return f"round(({expr}) + 1e-9, 6) + 0.0"
 
 
 def rows_sql(select: str, columns: list[str]) -> str:
