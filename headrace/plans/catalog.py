@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_cleaning, q_features
+from . import q_calibration, q_cleaning, q_features, q_naming
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in (q_cleaning, q_features):
+for _m in (q_cleaning, q_features, q_naming, q_calibration):
     QUERIES.update(_m.REG.queries)
     ORACLE.update(_m.REG.sql)

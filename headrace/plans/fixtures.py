@@ -212,7 +212,8 @@ def query(body: str, extra: dict[str, str] | None = None) -> str:
     while todo:
         text = todo.pop()
         for name in defs:
-            if name not in need and re.search(rf"\b{name}\b", text):
+            # A definition may carry a column list: "grid(k, w)" is used as "grid".
+            if name not in need and re.search(rf"\b{name.split('(')[0]}\b", text):
                 need.add(name)
                 todo.append(defs[name])
     chosen = [n for n in defs if n in need]
