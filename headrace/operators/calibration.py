@@ -82,7 +82,7 @@ def apply_shrinkage_bias(rows: DataFrame, fit: DataFrame) -> DataFrame:
 # --- value bins ------------------------------------------------------------
 
 def bin_edges(rows: DataFrame, basis: str, quantiles=S.BIN_QUANTILES) -> DataFrame:
-    """(site, q, edges) for every bin count, from one percentile pass.
+    """(site, bins: array of (q, edges)) for every bin count, from one percentile pass.
 
     All fractions i/q are asked for at once; edges are rounded to nine decimals
     so that an edge equal to a reading compares as equal.
@@ -91,9 +91,12 @@ def bin_edges(rows: DataFrame, basis: str, quantiles=S.BIN_QUANTILES) -> DataFra
     at = {f: i for i, f in enumerate(fractions)}
     probs = F.array(*[F.lit(float(f)) for f in fractions])
     found = rows.groupBy("site").agg(F.percentile(basis, probs).alias("p"))
-    edges = lambda q: F.array_distinct(F.array(*[F.round(F.col("p")[at[Fraction(i, q)]], 9) for i in range(q + 1)]))
-    each = F.array(*[F.struct(F.lit(q).alias("q"), edges(q).alias("edges")) for q in quantiles])
-    return found.select("site", F.explode(each).alias("e")).select("site", "e.*")
+    # A constant table, folded into one literal: which percentiles make up q bins.
+    picks = F.array(*[
+        F.struct(F.lit(q).alias("q"), F.array(*[F.lit(at[Fraction(i, q)]) for i in range(q + 1)]).alias("at")) for q in quantiles
+    ])
+    edges = lambda r: F.array_distinct(F.transform(r["at"], lambda i: F.round(F.get("p", i), 9)))
+    return found.select("site", F.transform(picks, lambda r: F.struct(r["q"].alias("q"), edges(r).alias("edges"))).alias("bins"))
 
 
 def bin_id(value, edges="edges") -> Column:
@@ -106,15 +109,28 @@ def bin_id(value, edges="edges") -> Column:
 def fit_bin_calibration(
     rows: DataFrame, basis: str = "current", quantiles=S.BIN_QUANTILES, scales=S.BIN_SCALES, weight: float = S.R2_WEIGHT_PRIMARY
 ) -> DataFrame:
-    """(site, q, scale, edges, corrections); NULLs where no bins help."""
-    edges = bin_edges(rows, basis, quantiles)
-    binned = rows.join(edges, "site").withColumn("bin", bin_id(basis))
-    med = binned.groupBy("site", "q", "bin").agg(F.median(F.col("actual") - F.col("pred")).alias("shift"))
-    corr = med.groupBy("site", "q").agg(F.map_from_entries(F.collect_list(F.struct("bin", "shift"))).alias("corrections"))
-    shifted = binned.join(med, ["site", "q", "bin"])
+    """(site, q, scale, edges, corrections); NULLs where no bins help.
+
+    Edges and medians travel as one row per site, so the rows exploded over bin
+    counts and scales are scored in the stage that reads them.
+    """
+    bins = bin_edges(rows, basis, quantiles)
+    each = rows.join(bins, "site").withColumn("b", F.explode("bins")).select("*", "b.*").withColumn("bin", bin_id(basis))
+    med = each.groupBy("site", "q", "bin").agg(F.median(F.col("actual") - F.col("pred")).alias("shift"))
+    corr = med.groupBy("site").agg(F.collect_list(F.struct("q", "bin", "shift")).alias("m"))
+    mine = lambda q: F.map_from_entries(
+        F.transform(F.filter("m", lambda r: r["q"] == q), lambda r: F.struct(r["bin"], r["shift"]))
+    )
+    tables = bins.join(corr, "site").select(
+        "site",
+        F.transform("bins", lambda b: F.struct(b["q"].alias("q"), b["edges"].alias("edges"), mine(b["q"]).alias("corrections"))).alias("bins"),
+    )
     grid = F.array(*[F.struct(F.lit(i + 1).alias("j"), F.lit(float(s)).alias("scale")) for i, s in enumerate(scales)])
     scored = (
-        shifted.withColumn("g", F.explode(grid)).select("*", "g.*")
+        rows.join(tables, "site")
+        .withColumn("b", F.explode("bins")).select("*", "b.*")
+        .withColumn("shift", F.try_element_at("corrections", bin_id(basis)))
+        .select("site", "capacity", "actual", "pred", "q", "shift", F.explode(grid).alias("g")).select("*", "g.*")
         .withColumn("cand", cap_clip(F.col("pred") + F.col("scale") * F.col("shift"), "capacity"))
         .withColumn("k", F.col("q") * 1000 + F.col("j"))
         .groupBy("site", "k", "q", "scale")
@@ -125,7 +141,8 @@ def fit_bin_calibration(
         "operational_mape", "mae", "rmse", "r2",
     )
     best = _best(scored.unionByName(base), ["site"], ["q", "scale"], weight)
-    return best.join(edges, ["site", "q"], "left").join(corr, ["site", "q"], "left")
+    chosen = best.join(tables, "site").withColumn("b", F.filter("bins", lambda b: b["q"] == F.col("q"))[0])
+    return chosen.select(*best.columns, "b.edges", "b.corrections")
 
 
 def apply_bin_calibration(rows: DataFrame, fit: DataFrame, basis: str = "current") -> DataFrame:

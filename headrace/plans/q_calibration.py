@@ -12,6 +12,7 @@ from .. import settings as S
 from ..functions.expr import add_hours, cap_clip, metric_columns, r6, series_window
 from ..operators import calibration as H
 from ..operators import splits as P
+from ..session import cut_lineage
 from . import fixtures as X
 from .fixtures import metric_sql, r6s, score_sql, thr
 from .q_features import rounded
@@ -30,12 +31,17 @@ def calibration_rows(spark, sf, split="validation"):
         F.lag("total", 23).over(w).alias("anchor"),
     ).where(P.cut_split("ts", v, t) == split).dropna()
     cap = X.site_dim(spark, sf).select("site", "capacity")
-    return rows.join(F.broadcast(cap), "site")
+    # The fits read this small slice many times: materialise it once.
+    return cut_lineage(rows.join(cap, "site"))
 
 
 def with_pred(spark, sf):
     """Rows with the uncalibrated half-step prediction as ``pred``."""
-    return calibration_rows(spark, sf).withColumn("pred", H.level_from_delta(shrinkage=0.5))
+    return half_step(calibration_rows(spark, sf))
+
+
+def half_step(rows):
+    return rows.withColumn("pred", H.level_from_delta(shrinkage=0.5))
 
 
 def clip_sql(x: str, cap: str = "capacity") -> str:
@@ -204,7 +210,8 @@ CHAIN = {
 
 @REG.add("pipeline_order", f"select site, ts, {r6s('pred')} as pred from c5", CAL | CHAIN)
 def pipeline_order(spark, sf):
-    rows, half = calibration_rows(spark, sf), with_pred(spark, sf)
+    rows = calibration_rows(spark, sf)
+    half = half_step(rows)
     out = H.pipeline_order(
         rows, H.fit_shrinkage_bias(rows), H.fit_bin_calibration(half), H.fit_hourly_correction(half),
         H.fit_profile_blend(half), train_ramps(spark, sf),
