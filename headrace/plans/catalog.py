@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import q_calibration, q_cleaning, q_features, q_naming
+from . import q_calibration, q_cleaning, q_features, q_naming, q_outage
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _m in (q_cleaning, q_features, q_naming, q_calibration):
+for _m in (q_cleaning, q_features, q_naming, q_calibration, q_outage):
     QUERIES.update(_m.REG.queries)
     ORACLE.update(_m.REG.sql)
