@@ -80,6 +80,47 @@ RBF_BASE_CONFIGS = [
     (220, 0.0002, 0.5, 16, 20),
 ]
 
+# Further points by place of the site in the cascade.
+RBF_EXTRA_CONFIGS = {
+    1: [
+        (60, 0.0007, 2.0, 16, 12),
+        (80, 0.0003, 1.0, 16, 20),
+        (120, 0.0002, 0.5, 16, 24),
+        (160, 0.0003, 1.0, 16, 20),
+        (220, 0.0002, 1.0, 16, 24),
+    ],
+    2: [
+        (40, 0.0007, 2.0, 16, 16),
+        (60, 0.0003, 1.0, 16, 20),
+        (80, 0.0002, 0.5, 16, 24),
+        (120, 0.0002, 1.0, 16, 24),
+        (160, 0.0003, 0.5, 16, 20),
+        (220, 0.0002, 2.0, 16, 24),
+    ],
+    3: [
+        (80, 0.0003, 2.0, 16, 20),
+        (120, 0.0002, 0.5, 16, 24),
+        (160, 0.0007, 1.0, 32, 16),
+        (180, 0.0002, 1.0, 16, 24),
+        (220, 0.0003, 1.0, 16, 20),
+        (260, 0.0002, 0.5, 16, 24),
+    ],
+    4: [
+        (80, 0.0005, 0.5, 16, 16),
+        (120, 0.0003, 1.0, 16, 16),
+        (220, 0.0002, 1.0, 16, 20),
+    ],
+    5: [
+        (180, 0.0007, 0.5, 32, 16),
+        (220, 0.0003, 0.5, 16, 20),
+    ],
+    6: [
+        (80, 0.0005, 1.0, 16, 16),
+        (120, 0.0003, 0.5, 16, 16),
+        (160, 0.0002, 1.0, 16, 20),
+    ],
+}
+
 # Random forest: (trees, depth, minimum leaf rows, feature share).
 FOREST_CONFIGS = [
     (240, 8, 6, "sqrt"),
