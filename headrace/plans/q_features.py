@@ -297,3 +297,51 @@ def naive24_leaderboard(spark, sf):
     scored = pairs.withColumn("full", whole).where("full and predicted is not null")
     cap = X.site_dim(spark, sf).select("site", "capacity")
     return rounded(scored.join(F.broadcast(cap), "site").groupBy("site").agg(F.count(F.lit(1)).alias("n"), *metric_columns()))
+
+
+# --- many series, long histories -------------------------------------------
+
+MANY = {
+    "sd": """select l_suppkey as site, cast(cast(l_shipdate as date) as timestamp) as ts,
+        cast(sum(cast(l_extendedprice as decimal(18,2))) as double) as total from lineitem group by all""",
+    "sdb": "select min(ts) as lo, max(ts) as hi from sd",
+    "sspine": "select unnest(generate_series(lo, hi, interval 1 day)) as ts from sdb",
+    "skeys": "select distinct site from sd",
+    "sgrid": """select k.site, s.ts, coalesce(sd.total, 0) as total from skeys k cross join sspine s
+        left join sd on sd.site = k.site and sd.ts = s.ts""",
+    "sfeat": """select site, ts, total, lag(total, 7) over w as lag7, avg(total) over (partition by site order by ts rows 27 preceding) as mean28,
+        count(total) over (partition by site order by ts rows 27 preceding) as n28 from sgrid window w as (partition by site order by ts)""",
+}
+
+
+def supplier_days(spark, sf):
+    """Daily value per supplier on the complete calendar: one series per supplier."""
+    li = X.read(spark, sf, "lineitem")
+    daily = li.groupBy(F.col("l_suppkey").alias("site"), F.to_date("l_shipdate").cast("timestamp_ntz").alias("ts")).agg(
+        F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("total")
+    )
+    return D.complete_grid(daily, ["site"], step="1 day").withColumn("total", F.coalesce("total", F.lit(0.0)))
+
+
+@REG.add("many_series_leaderboard", rows_sql(f"""select site, count(*) as n, avg(mean28) as mean28, {metric_sql('total', 'lag7', '0')}
+    from sfeat where lag7 is not null and n28 >= 14 group by site""", ["mean28", "operational_mape", "mae", "rmse", "r2"]), MANY)
+def many_series_leaderboard(spark, sf):
+    """Week-ago forecast and rolling level for every supplier series."""
+    s = supplier_days(spark, sf)
+    f = s.select("site", F.col("total").alias("actual"), *E.lags("total", series_window(["site"]), [7]), *E.rolling_stats("total", ["site"], windows=[28]))
+    scored = f.where("lag7 is not null and rollmean28 is not null").withColumnRenamed("lag7", "predicted").withColumn("capacity", F.lit(0.0))
+    return rounded(scored.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.avg("rollmean28").alias("mean28"), *metric_columns()))
+
+
+@REG.add("long_history_leaderboard", rows_sql(f"""select site, count(*) as n, {metric_sql('total', 'p', '0')} from (
+    select site, total, lag(total, 7) over (partition by site order by ts) as p from (
+      select o_orderpriority as site, cast(o_orderdate as date) as ts, cast(sum(cast(o_totalprice as decimal(18,2))) as double) as total from orders group by all))
+    where p is not null group by site""", ["operational_mape", "mae", "rmse", "r2"]))
+def long_history_leaderboard(spark, sf):
+    """Seven reports back, per order priority, over the whole order history."""
+    o = X.read(spark, sf, "orders")
+    d = o.groupBy(F.col("o_orderpriority").alias("site"), F.to_date("o_orderdate").alias("ts")).agg(
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("actual")
+    )
+    p = d.withColumn("predicted", F.lag("actual", 7).over(series_window(["site"]))).where("predicted is not null").withColumn("capacity", F.lit(0.0))
+    return rounded(p.groupBy("site").agg(F.count(F.lit(1)).alias("n"), *metric_columns()))
