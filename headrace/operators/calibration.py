@@ -141,7 +141,7 @@ def fit_bin_calibration(
         "operational_mape", "mae", "rmse", "r2",
     )
     best = _best(scored.unionByName(base), ["site"], ["q", "scale"], weight)
-    chosen = best.join(tables, "site").withColumn("b", F.filter("bins", lambda b: b["q"] == F.col("q"))[0])
+    chosen = best.join(tables, "site").withColumn("b", F.get(F.filter("bins", lambda b: b["q"] == F.col("q")), F.lit(0)))
     return chosen.select(*best.columns, "b.edges", "b.corrections")
 
 

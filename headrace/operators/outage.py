@@ -67,7 +67,7 @@ def unit_shares(units: DataFrame, value: str = "mw") -> DataFrame:
     return units.select("site", "unit", "ts", F.try_divide(F.greatest(F.col(value), F.lit(0.0)), F.nullif(total, F.lit(0.0))).alias("share"))
 
 
-def _array_median(values: Column) -> Column:
+def array_median(values: Column) -> Column:
     v = F.sort_array(F.filter(values, lambda x: x.isNotNull()))
     n = F.size(v)
     return F.when(n > 0, (F.get(v, F.floor((n - 1) / 2).cast("int")) + F.get(v, F.floor(n / 2).cast("int"))) / 2.0)
@@ -88,11 +88,11 @@ def learned_weights(units: DataFrame, unit_dim: DataFrame) -> DataFrame:
     states = daily.select(
         "site", "unit", F.col("d").cast("timestamp_ntz").alias("origin"),
         F.element_at(F.lag("hours").over(w), -1).alias("p_now"),
-        _array_median(F.flatten(back(recent_days))).alias("p_recent"),
+        array_median(F.flatten(back(recent_days))).alias("p_recent"),
         back(S.SAME_HOUR_SHARES).alias("_days"),
     ).where(F.size("_days") > 0)
     hourly = horizon(states).withColumn(
-        "p_hour", _array_median(F.transform("_days", lambda day: F.get(day, F.col("h") - 1)))
+        "p_hour", array_median(F.transform("_days", lambda day: F.get(day, F.col("h") - 1)))
     ).drop("_days")
     peers = Window.partitionBy("site", "ts")
     out = hourly.join(unit_dim, ["site", "unit"])

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import settings as S
 from ..functions.expr import add_hours
 from ..functions.rollout_kernel import batches
-from .outage import _array_median, unit_shares
+from .outage import array_median
 from .slices import daily_arrays
 
 RESULT = (
@@ -48,20 +48,25 @@ def single_sites(site_dim: DataFrame) -> DataFrame:
 
 def unit_states(units: DataFrame, unit_dim: DataFrame, plan: DataFrame, origins: DataFrame) -> DataFrame:
     """Per (site, origin): the units with histories, same-hour medians and plan."""
-    both = units.join(unit_shares(units), ["site", "unit", "ts"])
+    peers = Window.partitionBy("site", "ts")
+    total = F.sum(F.coalesce("mw", F.lit(0.0)).cast("decimal(18,6)")).over(peers).cast("double")
+    share = F.try_divide(F.greatest("mw", F.lit(0.0)), F.nullif(total, F.lit(0.0)))
     cells = F.sort_array(F.collect_list(F.struct(F.hour("ts").alias("h"), "mw", "share", "available")))
-    daily = both.groupBy("site", "unit", F.to_date("ts").alias("d")).agg(cells.alias("c"))
+    daily = units.withColumn("share", share).groupBy("site", "unit", F.to_date("ts").alias("d")).agg(cells.alias("c"))
     w = Window.partitionBy("site", "unit").orderBy("d")
     back = lambda n: F.collect_list("c").over(w.rowsBetween(-n, -1))
     recent, days = F.flatten(back(S.RECENT_SHARE_HOURS // 24)), back(S.SAME_HOUR_SHARES)
+    # Origins are marked first, so the long arrays live on origin days only and
+    # are reduced to medians in the stage that builds them.
+    wanted = origins.select(F.to_date("origin").alias("d")).distinct().withColumn("_o", F.lit(True))
     state = (
-        daily.select("site", "unit", F.col("d").cast("timestamp_ntz").alias("origin"), recent.alias("_r"), days.alias("_d"))
-        .where(F.size("_r") > 0)
-        .join(origins.select("origin").distinct(), "origin", "left_semi")
+        daily.join(wanted, "d", "left")
+        .select("site", "unit", F.col("d").cast("timestamp_ntz").alias("origin"), "_o", recent.alias("_r"), days.alias("_d"))
+        .where(F.col("_o") & (F.size("_r") > 0))
         .select(
             "site", "unit", "origin", F.transform("_r", lambda c: c["mw"]).alias("history"),
             F.element_at("_r", -1)["available"].alias("status"),
-            F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: _array_median(F.transform("_d", lambda c: F.get(c, h)["share"]))).alias("hour_median"),
+            F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: array_median(F.transform("_d", lambda c: F.get(c, h)["share"]))).alias("hour_median"),
         )
     )
     plans = plan.groupBy("site", "unit", "origin").agg(F.sort_array(F.collect_list(F.struct("ts", "available"))).alias("p"))
@@ -97,9 +102,14 @@ def states(
     return rows.groupBy("cascade", "origin").agg(F.collect_list(packed).alias("sites"))
 
 
-def rollout_24h(state: DataFrame, feed_back: str = "backtest") -> DataFrame:
-    """(cascade, origin, site, h) with the predicted total and unit values."""
-    out = state.mapInPandas(batches(feed_back), RESULT)
+def rollout_24h(state: DataFrame, feed_back: str = "backtest", partitions: int | None = None) -> DataFrame:
+    """(cascade, origin, site, h) with the predicted total and unit values.
+
+    The stage is bound by arithmetic, not bytes, so states are spread over all
+    cores instead of being merged into few partitions by size.
+    """
+    n = partitions or 2 * state.sparkSession.sparkContext.defaultParallelism
+    out = state.repartition(n, "cascade", "origin").mapInPandas(batches(feed_back), RESULT)
     return out.withColumn("ts", add_hours("origin", F.col("h") - 1))
 
 

@@ -23,9 +23,16 @@ SITES = [(site, CHAIN.get(site), i + 1) for i, site in enumerate(ORDER)]
 TRAIN_DAYS, VALIDATION_DAYS = 21, 25
 
 
+_SCHEMAS: dict = {}
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """A test table; its footer is read once, later reads pass the schema along."""
     tune(spark)
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    path = f"{sf_dir}/{table}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def events(spark, sf):

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.expr import metric_columns, r6, series_window
@@ -264,13 +263,11 @@ def pivot_models(spark, sf):
     return N.pivot_models(test_metrics(spark, sf), MODELS, "mae")
 
 
-@REG.add("ordered_category", """select t.model, t.site, d.ordinal, t.mae, row_number() over (order by d.ordinal, t.model) as place
+@REG.add("ordered_category", """select t.model, t.site, d.ordinal, t.mae
     from tm t join site_dim d on d.site = t.site where t.split = 'testing'""", METRICS)
 def ordered_category(spark, sf):
     t = N.ordered_category(test_metrics(spark, sf).select("model", "site", "mae"), X.site_dim(spark, sf))
-    # A summary table: one row per model and site, so a global order is cheap.
-    place = F.row_number().over(Window.orderBy("ordinal", "model")).cast("bigint")
-    return t.withColumn("place", place)
+    return t.orderBy("ordinal", "model")
 
 
 def wide_metrics(spark, sf):
