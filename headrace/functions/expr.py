@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import json
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -117,8 +117,45 @@ def grid(values, dtype="double") -> Column:
     return F.array(*[F.lit(v).cast(dtype) for v in values])
 
 
-def all_of(conditions) -> Column:
-    return reduce(lambda a, b: a & b, conditions)
+def constant_array(values) -> Column:
+    """A nested list of numbers as one folded constant, whatever its length."""
+    kind = "double"
+    level = values
+    while isinstance(level, list):
+        kind, level = f"array<{kind}>", (level[0] if level else None)
+    return F.from_json(F.lit(json.dumps(values)), kind) if values else F.array().cast("array<double>")
+
+
+CHUNK = 65536
+
+
+def carry_forward(df: DataFrame, keys: list[str], position: str, columns: list[str], chunk: int | None = None) -> DataFrame:
+    """Last non-null value of each column up to a row, for keys of any size.
+
+    A key is cut into chunks of positions; within a chunk a window does the
+    work, and what earlier chunks leave over comes from a table with one row
+    per chunk.
+    """
+    cut = F.floor(F.col(position) / (chunk or CHUNK))
+    base = df.withColumn("_c", cut)
+    over = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*keys, "_c").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
+    ends = base.groupBy(*keys, "_c").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(position))).alias(c) for c in columns])
+    left = ends.select(*keys, "_c", *[F.last(c, True).over(over).alias(f"_e_{c}") for c in columns])
+    out = base.join(left, [*keys, "_c"])
+    filled = {c: F.coalesce(F.last(c, True).over(inside), F.col(f"_e_{c}")) for c in columns}
+    return out.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
+
+
+def running_number(df: DataFrame, keys: list[str], position: str, name: str, chunk: int | None = None) -> DataFrame:
+    """``row_number`` within ``keys`` by an integer position, for keys of any size."""
+    cut = F.floor(F.col(position) / (chunk or CHUNK))
+    base = df.withColumn("_c", cut)
+    over = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = base.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("_n"))
+    starts = sizes.select(*keys, "_c", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_start"))
+    here = F.row_number().over(Window.partitionBy(*keys, "_c").orderBy(position))
+    return base.join(starts, [*keys, "_c"]).withColumn(name, here + F.col("_start")).drop("_c", "_start")
 
 
 def series_window(keys, order="ts"):

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import settings as S
-from ..functions.expr import series_window
+from ..functions.expr import constant_array, series_window
 from . import features as E
 
 TARGET = "delta_tplus1"
@@ -129,13 +129,12 @@ def rbf_regression(
         partial, "site string, gram array<double>, xty array<double>, n long"
     )
     fit = sums.groupBy("site").applyInPandas(solve, "site string, coef array<double>, rows long")
-    flat = F.array(*[F.lit(float(v)) for v in c.ravel()]) if c.size else F.array().cast("array<double>")
-    return fit.withColumn("centers", flat).withColumn("gamma", F.lit(float(gamma)))
+    return fit.withColumn("centers", constant_array(c.ravel().tolist())).withColumn("gamma", F.lit(float(gamma)))
 
 
 def rbf_predict(scaled: DataFrame, model: DataFrame, centers: list[list[float]], x: str = "x") -> DataFrame:
     """``delta`` from per-site weights, JVM-side."""
-    cs = F.array(*[F.array(*[F.lit(float(v)) for v in c]) for c in centers])
+    cs = constant_array(centers)
     phi = rbf_expand(x, cs, F.transform(cs, lambda _: F.col("gamma")))
     dot = F.aggregate(
         F.zip_with(phi, F.slice("coef", F.lit(2), F.size("coef") - 1), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import settings as S
-from ..functions.expr import add_hours, col, series_window
+from ..functions.expr import add_hours, carry_forward, col, running_number
 
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
@@ -38,10 +38,9 @@ def sanitize_name(c) -> Column:
 
 def ffill_labels(cells: DataFrame, sheet: str, position: str, levels: list[str], out: str = "label") -> DataFrame:
     """Flatten sparse header levels: all but the last are carried forward."""
-    w = series_window([sheet], position).rowsBetween(Window.unboundedPreceding, 0)
-    full = [F.last(c, True).over(w) if c != levels[-1] else F.col(c) for c in levels]
     names = [f"_n{i}" for i in range(len(levels))]
-    flat = cells.select("*", *[sanitize_name(c).alias(n) for c, n in zip(full, names)])
+    full = carry_forward(cells, [sheet], position, levels[:-1])
+    flat = full.select("*", *[sanitize_name(c).alias(n) for c, n in zip(levels, names)])
     parts = F.array_compact(F.array(*names))
     has = lambda word: F.array_contains(parts, word)
     joined = F.concat_ws("_", F.filter(parts, lambda p: p != "nan"))
@@ -51,8 +50,9 @@ def ffill_labels(cells: DataFrame, sheet: str, position: str, levels: list[str],
 
 def suffix_repeats(labels: DataFrame, sheet: str, position: str, name: str) -> DataFrame:
     """Second and later uses of a name get ``_1``, ``_2``, ... in order."""
-    k = F.row_number().over(Window.partitionBy(sheet, name).orderBy(position)) - 1
-    return labels.withColumn(name, F.when(k == 0, F.col(name)).otherwise(F.concat_ws("_", name, k)))
+    k = F.col("_k") - 1
+    numbered = running_number(labels, [sheet, name], position, "_k")
+    return numbered.withColumn(name, F.when(k == 0, F.col(name)).otherwise(F.concat_ws("_", name, k))).drop("_k")
 
 
 def standard_name(c, prefixes=GROUP_PREFIXES) -> Column:

@@ -69,8 +69,11 @@ def site_dim(spark, sf) -> DataFrame:
     cap = unit_dim(spark, sf).groupBy("site").agg(
         F.sum(F.col("capacity").cast("decimal(18,2)")).cast("double").alias("capacity")
     )
-    fixed = spark.createDataFrame(SITES, "site string, upstream_site string, ordinal int")
-    return cap.join(fixed, "site")
+    place = F.create_map(*[F.lit(x) for site, _, i in SITES for x in (site, i)])
+    above = F.create_map(*[F.lit(x) for site, up, _ in SITES if up for x in (site, up)])
+    return cap.select(
+        "site", "capacity", F.try_element_at(above, F.col("site")).alias("upstream_site"), F.try_element_at(place, F.col("site")).alias("ordinal")
+    )
 
 
 def level(spark, sf) -> DataFrame:

@@ -198,7 +198,21 @@ def feature_frame(spark, sf):
     return E.site_features(X.site_series(spark, sf))
 
 
-@REG.add("feature_select")
+FEATURES = (
+    ["units_running", "hour_sin", "hour_cos", "day_sin", "day_cos", "month_sin", "month_cos", "is_weekend"]
+    + ["target_hour_sin", "target_hour_cos", "target_day_sin", "target_day_cos", "target_is_weekend", "current"]
+    + [f"lag{n}" for n in S.LAGS] + [f"roll{s}{n}" for n in S.ROLL_WINDOWS for s in ("mean", "std", "min", "max")]
+    + [f"diff{n}" for n in S.DIFFS] + ["target_lag24", "target_lag168"]
+)
+FRAME = {
+    "ff": f"""select site, ts, units_running, {sql_calendar('ts')}, {sql_calendar('ts + interval 1 hour', 'target_', False)}, total as current,
+        {sql_lags('total')}, {sql_rolling()}, {', '.join(f'total - lag(total, {n}) over w as diff{n}' for n in S.DIFFS)},
+        lag(total, 23) over w as target_lag24, lag(total, 167) over w as target_lag168 from site_series {W}"""
+}
+
+
+@REG.add("feature_select", " union all ".join(
+    f"select '{n}' as feature, count({n}) as non_null_rows, cast({i} as integer) as position from ff" for i, n in enumerate(FEATURES)), FRAME)
 def feature_select(spark, sf):
     f = feature_frame(spark, sf)
     names = E.feature_select(f.columns)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import settings as S
-from ..functions.expr import metric_columns, r6, series_window
+from ..functions.expr import constant_array, metric_columns, r6, series_window
 from ..operators import calibration as H
 from ..operators import features as E
 from ..operators import models as M
@@ -110,7 +110,7 @@ def kmeans_centers(spark, sf):
     rows = training(spark, sf).where("split = 'train'")
     scaled = M.standard_scale(rows, M.fit_scaler(rows, names), names)
     found = M.kmeans_centers(scaled, 24)
-    cs = F.array(*[F.struct(F.lit(i).alias("i"), F.array(*[F.lit(v) for v in c]).alias("c")) for i, c in enumerate(found)])
+    cs = F.transform(constant_array(found), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
     gap = lambda c: F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
     near = F.array_min(F.transform(cs, lambda r: F.struct(gap(r["c"]).alias("d"), r["i"].alias("i"))))
     return scaled.select(near.alias("n")).groupBy(F.col("n.i").alias("center")).agg(

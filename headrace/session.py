@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,19 +28,35 @@ def tune(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
+    # Rollout states are wide rows: bound Arrow batches by size, not only by count.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
     return spark
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared folder, ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` names that folder; a temporary one is used only
-    where the setting is missing, as in local tests.
+    A temporary folder is used only where that setting is missing and the
+    master is local, as in tests.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        if shared is None and not sc.master.startswith("local"):
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="headrace-ckpt-"))
-    return df.checkpoint()
+        shared = _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="headrace-"))
+    return shared
+
+
+_LOCAL: dict[str, str] = {}
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write an intermediate table to the shared folder and read it back.
+
+    Several consumers then share one evaluation, a lost executor costs nothing
+    but a re-read, and the optimizer sees the real size of the table.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import re
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import naming as N
+from ..session import shared_folder
 
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder below the cluster's shared one (local: temporary)."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{shared or tempfile.mkdtemp(prefix='headrace-')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def _glob(spark: SparkSession, pattern: str) -> list[str]:

@@ -98,3 +98,19 @@ def test_no_improvement_keeps_the_base(spark):
     assert blend.first()["blend_weight"] is None
     out = H.apply_profile_blend(H.apply_bin_calibration(exact, H.fit_bin_calibration(exact)), blend).toPandas()
     np.testing.assert_allclose(out["pred"], out["actual"])
+
+
+def test_chunked_scans_match_plain_windows(spark):
+    from pyspark.sql import Window
+
+    from headrace.functions.expr import carry_forward, running_number
+
+    rng = np.random.default_rng(6)
+    pdf = pd.DataFrame({"k": rng.choice(["hot", "b"], 300, p=[0.9, 0.1]), "p": np.arange(300), "v": np.where(rng.random(300) < 0.9, None, "x")})
+    pdf.loc[pdf["v"].notna(), "v"] = [f"v{i}" for i in range(int(pdf["v"].notna().sum()))]
+    df = spark.createDataFrame(pdf, "k string, p long, v string")
+    w = Window.partitionBy("k").orderBy("p")
+    want = df.select("k", "p", F.last("v", True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("v"), F.row_number().over(w).alias("n"))
+    got = running_number(carry_forward(df, ["k"], "p", ["v"], chunk=7), ["k"], "p", "n", chunk=7)
+    key = lambda d: sorted((r.k, r.p, r.v, r.n) for r in d.collect())
+    assert key(got) == key(want)
