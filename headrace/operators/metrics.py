@@ -108,13 +108,14 @@ def head_to_head(metrics: DataFrame, primary: str) -> DataFrame:
 def residual_histogram(p: DataFrame, bins: int = 60) -> DataFrame:
     """Equal-width bins of actual - predicted; the last one includes its edge."""
     r = p.select((F.col("actual") - F.col("predicted")).alias("r"))
-    ends = r.agg(F.min("r").alias("lo"), F.max("r").alias("hi"))
-    lo, hi = ends.select("lo").scalar(), ends.select("hi").scalar()
-    width = (hi - lo) / bins
-    at = F.least(F.floor(F.coalesce(F.try_divide((F.col("r") - lo) * bins, hi - lo), F.lit(0.0))), F.lit(bins - 1)).cast("int")
-    return r.groupBy(at.alias("bin")).agg(F.count(F.lit(1)).alias("n")).select(
-        "bin", "n", (lo + F.col("bin") * width).alias("bin_from"), (lo + (F.col("bin") + 1) * width).alias("bin_to")
+    ends = r.agg(F.struct(F.min("r").alias("lo"), F.max("r").alias("hi")).alias("e")).select("e").scalar()
+    lo, hi = F.col("e.lo"), F.col("e.hi")
+    place = F.floor(F.coalesce(F.try_divide((F.col("r") - lo) * bins, hi - lo), F.lit(0.0)))
+    counted = r.withColumn("e", ends).groupBy(F.least(place, F.lit(bins - 1)).cast("int").alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.first("e").alias("e")
     )
+    edge = lambda i: lo + i * (hi - lo) / bins
+    return counted.select("bin", "n", edge(F.col("bin")).alias("bin_from"), edge(F.col("bin") + 1).alias("bin_to"))
 
 
 def scatter_extent(p: DataFrame, keys=("model",)) -> DataFrame:

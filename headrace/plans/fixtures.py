@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .. import settings as S
 from ..functions.expr import hour_floor
 from ..operators import baselines, cleaning, splits
-from ..session import tune
+from ..session import cut_lineage, tune
 
 CHAIN = {"view": "click", "signup": "view", "purchase": "signup", "error": "purchase"}
 ORDER = ["click", "view", "signup", "purchase", "error"]
@@ -53,8 +53,18 @@ def panel(spark, sf) -> DataFrame:
     return grid.withColumn("available", cleaning.binarize_status("mw"))
 
 
-def site_series(spark, sf) -> DataFrame:
-    return panel(spark, sf).groupBy("site", "ts").agg(
+def stored_panel(spark, sf) -> DataFrame:
+    """The panel as a written table, for queries that read it several times."""
+    return cut_lineage(panel(spark, sf))
+
+
+def filled(p: DataFrame) -> DataFrame:
+    """A panel whose silent hours count as zero output."""
+    return p.withColumn("mw", F.coalesce("mw", F.lit(0.0)))
+
+
+def site_series(spark, sf, p: DataFrame | None = None) -> DataFrame:
+    return (panel(spark, sf) if p is None else p).groupBy("site", "ts").agg(
         F.sum(F.coalesce("mw", F.lit(0.0)).cast("decimal(18,2)")).cast("double").alias("total"),
         F.sum("available").alias("units_running"),
     )
@@ -104,10 +114,13 @@ def cuts(spark, sf):
 
 
 def origins(spark, sf) -> DataFrame:
-    """Every full day after the first, as a midnight timestamp."""
+    """Every full day after the first, as a midnight timestamp.
+
+    One row per day, written once: plans and as-of joins refer to it repeatedly.
+    """
     days = splits.full_days(site_series(spark, sf))
     first = F.to_date(bounds(spark, sf).select("lo").scalar())
-    return days.where(F.col("d") > first).select(F.col("d").cast("timestamp_ntz").alias("origin"))
+    return cut_lineage(days.where(F.col("d") > first).select(F.col("d").cast("timestamp_ntz").alias("origin")))
 
 
 def predictions(spark, sf) -> DataFrame:
@@ -117,7 +130,7 @@ def predictions(spark, sf) -> DataFrame:
     base = baselines.baseline_predictions(site_series(spark, sf), ["site"])
     return (
         base.where(F.to_date("ts") >= F.date_add(day0, 7))
-        .join(F.broadcast(site_dim(spark, sf).select("site", "capacity", "ordinal")), "site")
+        .join(site_dim(spark, sf).select("site", "capacity", "ordinal"), "site")
         .select(
             "model", "site", "ordinal", "capacity", F.to_date("ts").alias("forecast_date"),
             (F.hour("ts") + 1).alias("forecast_hour"), "ts", "actual", "predicted",
@@ -126,9 +139,14 @@ def predictions(spark, sf) -> DataFrame:
     )
 
 
+def stored_predictions(spark, sf) -> DataFrame:
+    """Predictions as a written table, the way a backtest leaves them."""
+    return cut_lineage(predictions(spark, sf))
+
+
 def forecast_day(spark, sf) -> DataFrame:
     """Three 24 h forecasts of the last full day: model, hour, site, MW."""
-    p = predictions(spark, sf)
+    p = stored_predictions(spark, sf)
     last = p.agg(F.max("forecast_date").alias("m")).select("m").scalar()
     return p.where(F.col("forecast_date") == last).select(
         "model", "site", "ordinal", "capacity", "forecast_hour", "ts", "actual", F.col("predicted").alias("mw")

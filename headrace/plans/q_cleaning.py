@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from .. import settings as S
 from ..functions.expr import r6
 from ..operators import cleaning as C
+from ..session import cut_lineage
 from . import fixtures as X
 from .fixtures import r6s
 from .registry import Registry
@@ -193,7 +194,7 @@ KNN = {
     f"{r6s(f'coalesce(w.c{i}, (select f from filled f where f.site = w.site and f.target = w.ts and f.c = {i + 1}), m.m{i})')} as {n}"
     for i, n in enumerate(CHANNELS)) + " from wide w join means m on m.site = w.site", KNN)
 def knn_impute(spark, sf):
-    done = C.knn_impute(channel_rows(spark, sf), ["site"], CHANNELS)
+    done = C.knn_impute(cut_lineage(channel_rows(spark, sf)), ["site"], CHANNELS)
     return done.select("site", "ts", *[r6(c).alias(c) for c in CHANNELS])
 
 

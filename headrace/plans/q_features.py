@@ -155,7 +155,7 @@ def target_lags(spark, sf):
 
 
 def filled_panel(spark, sf):
-    return X.panel(spark, sf).withColumn("mw", F.coalesce("mw", F.lit(0.0)))
+    return X.filled(X.panel(spark, sf))
 
 
 SHARES = {
@@ -310,7 +310,7 @@ def naive24_leaderboard(spark, sf):
     whole = F.count("ts").over(series_window(["site"], F.to_date("ts")).rangeBetween(0, 0)) == S.HORIZON
     scored = pairs.withColumn("full", whole).where("full and predicted is not null")
     cap = X.site_dim(spark, sf).select("site", "capacity")
-    return rounded(scored.join(F.broadcast(cap), "site").groupBy("site").agg(F.count(F.lit(1)).alias("n"), *metric_columns()))
+    return rounded(scored.join(cap, "site").groupBy("site").agg(F.count(F.lit(1)).alias("n"), *metric_columns()))
 
 
 # --- many series, long histories -------------------------------------------

@@ -92,7 +92,7 @@ def day_diagnostics_summary(spark, sf):
 # --- comparing models ------------------------------------------------------
 
 def metrics(spark, sf, split=None):
-    p = X.predictions(spark, sf)
+    p = X.stored_predictions(spark, sf)
     return K.forecast_metrics(p if split is None else p.where(F.col("split") == split))
 
 
@@ -138,7 +138,7 @@ def head_to_head(spark, sf):
       select actual - predicted as r, min(actual - predicted) over () as lo, max(actual - predicted) over () as hi
       from predictions where model = 'naive24')) group by bin""")
 def residuals(spark, sf):
-    return rounded(K.residual_histogram(X.predictions(spark, sf).where("model = 'naive24'")))
+    return rounded(K.residual_histogram(X.stored_predictions(spark, sf).where("model = 'naive24'")))
 
 
 @REG.add("scatter_extent", "select model, min(least(actual, predicted)) as low, max(greatest(actual, predicted)) as high from predictions group by model")
@@ -158,10 +158,10 @@ QUANT = "select model, count(*) as n, " + r6s("100 * avg(case when e <= 5 then 1
 
 for _name, _src, _pct in (("", "ea", False), ("_percentage", "ep", True)):
     REG.add(f"error_cdf{_name}", CDF.format(e=r6s("e"), p=r6s("cast(i as double) / n"), src=_src), ERR)(
-        lambda spark, sf, pct=_pct: rounded(K.error_cdf(K.error_values(X.predictions(spark, sf), pct)))
+        lambda spark, sf, pct=_pct: rounded(K.error_cdf(K.error_values(X.stored_predictions(spark, sf), pct)))
     )
     REG.add(f"error_quantiles{_name}", QUANT.format(src=_src), ERR)(
-        lambda spark, sf, pct=_pct: rounded(K.error_quantiles(K.error_values(X.predictions(spark, sf), pct)))
+        lambda spark, sf, pct=_pct: rounded(K.error_quantiles(K.error_values(X.stored_predictions(spark, sf), pct)))
     )
 
 

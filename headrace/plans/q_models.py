@@ -19,7 +19,7 @@ from . import fixtures as X
 from . import q_calibration as QC
 from . import q_outage as QO
 from .fixtures import metric_sql, r6s
-from .q_features import BACKTEST, filled_panel, rounded
+from .q_features import BACKTEST, rounded
 from .registry import Registry
 
 REG = Registry()
@@ -83,18 +83,18 @@ def edges(spark, sf):
     return X.site_dim(spark, sf).select("site", "upstream_site")
 
 
-def training(spark, sf):
-    """Model rows of the training days with every lag present, materialised."""
+def training(spark, sf, series=None):
+    """Model rows with every lag present, labelled by split, materialised."""
     v, t = X.cuts(spark, sf)
-    frame = M.model_frame(X.site_series(spark, sf), edges(spark, sf))
+    frame = M.model_frame(cut_lineage(X.site_series(spark, sf)) if series is None else series, edges(spark, sf))
     need = ["lag168", "target_lag168", M.TARGET]
     return cut_lineage(frame.dropna(subset=need).withColumn("split", P.cut_split("ts", v, t)))
 
 
-def radial_model(spark, sf, k: int = 24):
+def radial_model(spark, sf, k: int = 24, series=None):
     """Per-site radial model: (model table, centers, scaled rows)."""
     names = M.feature_names()
-    rows = training(spark, sf)
+    rows = training(spark, sf, series)
     train = rows.where("split = 'train'")
     scaler = cut_lineage(M.fit_scaler(train, names))
     scaled = M.standard_scale(rows, scaler, names)
@@ -176,8 +176,9 @@ class Bench:
 
     def __init__(self, spark, sf, splits=("validation", "testing")):
         v, t = X.cuts(spark, sf)
-        self.units = filled_panel(spark, sf)
-        self.series = X.site_series(spark, sf)
+        stored = X.stored_panel(spark, sf)
+        self.units = X.filled(stored)
+        self.series = cut_lineage(X.site_series(spark, sf, stored))
         self.unit_dim, self.site_dim = cut_lineage(X.unit_dim(spark, sf)), cut_lineage(X.site_dim(spark, sf))
         days = P.backtest_days(self.series.withColumn("split", P.cut_split("ts", v, t)))
         self.days = cut_lineage(days.where(F.col("split").isin(*splits)))
@@ -215,14 +216,14 @@ def rollout_persistence(spark, sf):
 @REG.add("rollout_24h")
 def rollout_24h(spark, sf):
     b = Bench(spark, sf, ("testing",))
-    model, _, _ = radial_model(spark, sf)
+    model, _, _ = radial_model(spark, sf, series=b.series)
     out = J.rollout_24h(b.states(J.whole_cascade(b.site_dim), fitted(spark, sf), model), "operational")
     return rounded(J.unit_rows(out).select("site", "unit", "origin", "h", "mw"))
 
 
 def backtest(spark, sf, plan=None):
     b = Bench(spark, sf)
-    model, _, _ = radial_model(spark, sf)
+    model, _, _ = radial_model(spark, sf, series=b.series)
     chosen = None if plan is None else plan(b)
     return b, J.rollout_24h(b.states(J.whole_cascade(b.site_dim), fitted(spark, sf), model, plan=chosen))
 
@@ -236,7 +237,7 @@ def rolling_backtest(spark, sf):
 @REG.add("plant_backtest")
 def plant_backtest(spark, sf):
     b = Bench(spark, sf)
-    model, _, _ = radial_model(spark, sf)
+    model, _, _ = radial_model(spark, sf, series=b.series)
     out = J.rollout_24h(b.states(J.single_sites(b.site_dim), fitted(spark, sf), model))
     return rounded(b.scored(out).groupBy("site", "split").agg(F.count(F.lit(1)).alias("n"), *metric_columns()))
 
@@ -274,7 +275,7 @@ def one_step_eval(spark, sf):
 
 def selection_inputs(spark, sf):
     b = Bench(spark, sf, ("validation",))
-    model, centers, scaled = radial_model(spark, sf)
+    model, centers, scaled = radial_model(spark, sf, series=b.series)
     # One-step rows of the same model on validation days.
     rows = M.rbf_predict(scaled.where("split = 'validation'"), model, centers).join(b.site_dim.select("site", "capacity"), "site").select(
         "site", "ts", (F.hour(F.col("ts") + F.expr("interval 1 hour")) + 1).alias("target_hour"), "current", "delta",

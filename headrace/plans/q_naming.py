@@ -219,7 +219,7 @@ def normalize_forecast(spark, sf):
 @REG.add("normalize_predictions", """select case model when 'persistence' then 'RBFNN' when 'naive24' then 'Random Forest' else 'XGBoost' end as model,
     site, ts, actual, predicted from predictions where predicted > 0""")
 def normalize_predictions(spark, sf):
-    p = X.predictions(spark, sf)
+    p = X.stored_predictions(spark, sf)
     spelled = F.when(F.col("model") == "persistence", "rbf").when(F.col("model") == "naive24", "Random-Forest").otherwise(" XGB ")
     raw = p.select(
         spelled.alias("Model"), F.upper("site").alias("Plant"), F.to_date("ts").cast("string").alias("Date"),
@@ -246,8 +246,8 @@ def melt_totals(spark, sf):
 MODELS = ["persistence", "naive24", "naive168"]
 
 
-def test_metrics(spark, sf, split="testing"):
-    p = X.predictions(spark, sf).where(F.col("split") == split)
+def test_metrics(spark, sf, split="testing", p=None):
+    p = (X.predictions(spark, sf) if p is None else p).where(F.col("split") == split)
     return rounded(p.groupBy("model", "site").agg(*metric_columns()))
 
 
@@ -271,7 +271,8 @@ def ordered_category(spark, sf):
 
 
 def wide_metrics(spark, sf):
-    v, t = test_metrics(spark, sf, "validation"), test_metrics(spark, sf)
+    p = X.stored_predictions(spark, sf)
+    v, t = test_metrics(spark, sf, "validation", p), test_metrics(spark, sf, "testing", p)
     names = ["operational_mape", "mae", "rmse", "r2"]
     v = v.select("model", "site", *[F.col(n).alias(f"val_{n}") for n in names])
     return v.join(t.select("model", "site", *[F.col(n).alias(f"test_{n}") for n in names]), ["model", "site"]).withColumn("feature_count", F.lit(1))
@@ -359,7 +360,7 @@ def load_actuals(spark, sf):
          {"spans": """select model, min(ts) as first_ts, max(ts) as last_ts, count(*) as n from predictions
             where model <> 'naive168' or split = 'testing' group by model"""})
 def load_predictions_union(spark, sf):
-    p = X.predictions(spark, sf)
+    p = X.stored_predictions(spark, sf)
     frames = {m: p.where(F.col("model") == m) for m in MODELS}
     frames["naive168"] = frames["naive168"].where("split = 'testing'")
     frames["broken"] = p.select("site", "ts")
@@ -372,14 +373,16 @@ KEEP = "model <> 'naive168' and site in ('view', 'error')"
 @REG.add("upsert_audit", f"""select model, site, split, mae from tm where split = 'testing' and {KEEP}
     union all select model, site, split, mae from tm where split = 'validation' and not ({KEEP})""", METRICS)
 def upsert_audit(spark, sf):
-    shape = lambda split: test_metrics(spark, sf, split).select("model", "site", F.lit(split).alias("split"), "mae")
+    p = X.stored_predictions(spark, sf)
+    shape = lambda split: test_metrics(spark, sf, split, p).select("model", "site", F.lit(split).alias("split"), "mae")
     return store.upsert(shape("validation"), shape("testing").where(KEEP), ["model", "site"])
 
 
 @REG.add("replace_partition_rows", """select t.site, t.model, t.split, t.mae, d.ordinal from tm t join site_dim d on d.site = t.site
     where (t.split = 'testing' and t.site in ('view', 'error')) or (t.split = 'validation' and t.site not in ('view', 'error'))""", METRICS)
 def replace_partition_rows(spark, sf):
-    shape = lambda split: test_metrics(spark, sf, split).select("site", "model", F.lit(split).alias("split"), "mae")
+    p = X.stored_predictions(spark, sf)
+    shape = lambda split: test_metrics(spark, sf, split, p).select("site", "model", F.lit(split).alias("split"), "mae")
     fresh = shape("testing").where("site in ('view', 'error')")
     return store.replace_partition_rows(shape("validation"), fresh, X.site_dim(spark, sf))
 

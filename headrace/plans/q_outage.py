@@ -59,8 +59,9 @@ OUT: dict[str, str] = {
 }
 
 
-def last_plan(spark, sf):
-    return I.outage_plan_last_known(X.panel(spark, sf).select("site", "unit", "ts", "available"), X.origins(spark, sf))
+def last_plan(spark, sf, p=None):
+    p = X.panel(spark, sf) if p is None else p
+    return I.outage_plan_last_known(p.select("site", "unit", "ts", "available"), X.origins(spark, sf))
 
 
 def same_day_plan(spark, sf):
@@ -90,8 +91,8 @@ CAPS = {
 @REG.add("availability_ratio", f"""select b.site, b.ts, {r6s('case when plan <= 0 then 0.0 when base <= 0 then plan / s.capacity else plan / base end')} as ratio
     from cap_last b join cap_panel p on p.site = b.site and p.ts = b.ts join site_dim s on s.site = b.site""", OUT | CAPS)
 def availability_ratio(spark, sf):
-    planned = X.panel(spark, sf).select("site", "unit", "ts", "available")
-    return rounded(I.availability_ratio(last_plan(spark, sf), planned, X.unit_dim(spark, sf), X.site_dim(spark, sf)))
+    p = X.stored_panel(spark, sf)
+    return rounded(I.availability_ratio(last_plan(spark, sf, p), p.select("site", "unit", "ts", "available"), X.unit_dim(spark, sf), X.site_dim(spark, sf)))
 
 
 @REG.add("available_capacity", f"select site, ts, {r6s('plan')} as available_capacity from cap_panel", CAPS)
@@ -109,25 +110,26 @@ def learned_weights(spark, sf):
     return rounded(I.learned_weights(filled_panel(spark, sf), X.unit_dim(spark, sf)).drop("capacity"))
 
 
-def demand(spark, sf):
+def demand(spark, sf, p):
     """A site forecast that often exceeds single caps: yesterday times 1.6."""
-    s = X.site_series(spark, sf)
+    s = X.site_series(spark, sf, p)
     return s.select("site", "ts", (G.seasonal_naive("total", ["site"], 24) * 1.6).alias("total"))
 
 
-def allocation_rows(spark, sf):
-    w = I.learned_weights(filled_panel(spark, sf), X.unit_dim(spark, sf))
-    return w.join(demand(spark, sf), ["site", "ts"])
+def allocation_rows(spark, sf, p):
+    w = I.learned_weights(X.filled(p), X.unit_dim(spark, sf))
+    return w.join(demand(spark, sf, p), ["site", "ts"])
 
 
 @REG.add("allocate_with_caps", f"select site, unit, ts, {r6s('alloc')} as mw from fill{ROUNDS}", OUT)
 def allocate_with_caps(spark, sf):
-    return rounded(I.allocate_with_caps(allocation_rows(spark, sf)).select("site", "unit", "ts", "mw"))
+    return rounded(I.allocate_with_caps(allocation_rows(spark, sf, X.stored_panel(spark, sf))).select("site", "unit", "ts", "mw"))
 
 
 def placed(spark, sf):
-    plan = last_plan(spark, sf).select("site", "unit", "ts", "available")
-    return I.apply_outage(allocation_rows(spark, sf).join(plan, ["site", "unit", "ts"]))
+    p = X.stored_panel(spark, sf)
+    plan = last_plan(spark, sf, p).select("site", "unit", "ts", "available")
+    return I.apply_outage(allocation_rows(spark, sf, p).join(plan, ["site", "unit", "ts"]))
 
 
 @REG.add("apply_outage", f"select site, unit, ts, {r6s('mw')} as mw, {r6s('base_mw')} as base_mw from placed", OUT)
