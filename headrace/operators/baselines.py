@@ -1,4 +1,4 @@
-"""Reference forecasts that need no model."""
+"""Baseline forecasts that need no model."""
 
 from __future__ import annotations
 

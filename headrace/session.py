@@ -39,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
     A temporary folder is used only where that setting is missing and the
     master is local, as in tests.
     """
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if shared is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a shared folder")

@@ -93,3 +93,53 @@ def test_ridge_fit_matches_one_solve(spark):
     row = M.rbf_regression(df, [], gamma=1.0, ridge=1e-9).first()
     np.testing.assert_allclose(row["coef"], [3.0, 1.0, -2.0, 0.5], atol=1e-6)
     assert row["rows"] == 200
+
+
+def test_first_step_of_a_linear_model(spark, world):
+    """Prediction = last value + shrinkage * (coef . scaled inputs) + bias."""
+    names = M.feature_names()
+    rng = np.random.default_rng(4)
+    coef = {s: rng.normal(0, 0.3, len(names) + 1) for s in "ab"}
+    mean, std = rng.normal(size=len(names)), rng.uniform(5, 9, len(names))
+    rows = [(s, coef[s].tolist(), [], mean.tolist(), std.tolist(), 1.0) for s in "ab"]
+    model = spark.createDataFrame(rows, "site string, coef array<double>, centers array<double>, mean array<double>, std array<double>, gamma double")
+    cal = spark.createDataFrame([("a", 0.5, 1.0), ("b", 0.5, 1.0)], "site string, shrinkage double, bias double")
+    frame = M.model_frame(world["series"], world["site_dim"]).toPandas().set_index(["site", "ts"])
+    got = J.rollout_24h(states(world, model=model, calibration=cal)).where("h = 1").toPandas()
+    caps = {s: c for s, _, c, _ in SITES}
+    for r in got.itertuples():
+        x = frame.loc[(r.site, r.origin - pd.Timedelta(hours=1)), names].astype(float).fillna(0.0).to_numpy()
+        want = x[names.index("current")] + 0.5 * (coef[r.site][0] + ((x - mean) / std) @ coef[r.site][1:]) + 1.0
+        assert abs(r.base_prediction - min(max(want, 0.0), caps[r.site] * 1.05)) < 1e-6
+
+
+def test_radial_predictions_agree_between_engines(spark, world):
+    names = ["current", "lag1", "lag24"]
+    rows = M.model_frame(world["series"], world["site_dim"]).dropna(subset=["lag24", M.TARGET])
+    scaler = M.fit_scaler(rows, names)
+    scaled = M.standard_scale(rows, scaler, names)
+    centers = M.kmeans_centers(scaled, 6)
+    model = M.rbf_regression(scaled, centers, gamma=0.3)
+    got = M.rbf_predict(scaled, model, centers).select("site", "x", "delta").toPandas()
+    coef = {r.site: np.array(r.coef) for r in model.collect()}
+    for site, part in got.groupby("site"):
+        phi = M._phi(np.vstack(part["x"]), np.array(centers), 0.3)
+        np.testing.assert_allclose(part["delta"], phi @ coef[site], atol=1e-9)
+
+
+def test_centers_are_padded(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), ([3.0, 4.0],)], "x array<double>")
+    found = M.kmeans_centers(df, 4)
+    assert len(found) == 4 and found[1] == found[2] == found[3]
+
+
+def test_store_retrains_on_a_different_feature_set(spark, world, tmp_path):
+    names = ["current", "lag1"]
+    rows = M.model_frame(world["series"], world["site_dim"]).dropna(subset=["lag1", M.TARGET])
+    model = M.random_forest(rows, names, (3, 3, 2, "sqrt"))
+    M.save_model(model, str(tmp_path), "forest", names)
+    again, meta, retrained = M.load_model(str(tmp_path), names)
+    assert not retrained and meta.first()["features"] == names
+    a, b = (M.predict_delta(m, rows).agg(F.sum("delta")).first()[0] for m in (model, again))
+    assert a == b
+    assert M.load_model(str(tmp_path), ["current", "lag2"], lambda: "new")[::2] == ("new", True)
