@@ -41,22 +41,68 @@ def lags(value: str, w, offsets=S.LAGS, prefix: str = "lag") -> list[Column]:
     return [F.lag(value, n).over(w).alias(f"{prefix}{n}") for n in offsets]
 
 
-def rolling_stats(value: str, keys: list[str], ts: str = "ts", windows=S.ROLL_WINDOWS) -> list[Column]:
+PARTS = ("n", "mean", "m2", "min", "max")
+MAX_TILES = 8
+
+
+def rolling_names(windows=S.ROLL_WINDOWS) -> list[str]:
+    return [f"roll{stat}{n}" for n in windows for stat in ("mean", "std", "min", "max")]
+
+
+def _frame_parts(value: str, w, n: int) -> list[Column]:
+    f = w.rowsBetween(-(n - 1), 0)
+    size = F.count(value).over(f)
+    stats = [size, F.avg(value).over(f), F.var_pop(value).over(f) * size, F.min(value).over(f), F.max(value).over(f)]
+    return [c.alias(f"_{p}{n}") for p, c in zip(PARTS, stats)]
+
+
+def _tile(df: DataFrame, w, tile: int, targets: list[int]) -> DataFrame:
+    """Statistics of longer windows from those of the ``tile`` rows they consist of."""
+    back = range(1, max(targets) // tile)
+    shifted = df.select("*", *[F.lag(f"_{p}{tile}", tile * k).over(w).alias(f"_{p}_{k}") for k in back for p in PARTS])
+    at = lambda p, k: F.col(f"_{p}{tile}") if k == 0 else F.col(f"_{p}_{k}")
+    or0 = lambda c: F.coalesce(c, F.lit(0))
+    tiles = {n: range(n // tile) for n in targets}
+    sums = {f"_n{n}": sum((or0(at("n", k)) for k in ks), F.lit(0)) for n, ks in tiles.items()}
+    means = {f"_mean{n}": F.try_divide(sum((or0(at("n", k) * at("mean", k)) for k in ks), F.lit(0.0)), F.col(f"_n{n}")) for n, ks in tiles.items()}
+    rest = {}
+    for n, ks in tiles.items():
+        off = lambda k: at("mean", k) - F.col(f"_mean{n}")
+        rest[f"_m2{n}"] = sum((or0(at("m2", k) + at("n", k) * off(k) * off(k)) for k in ks), F.lit(0.0))
+        rest[f"_min{n}"] = F.least(*[at("min", k) for k in ks])
+        rest[f"_max{n}"] = F.greatest(*[at("max", k) for k in ks])
+    return shifted.withColumns(sums).withColumns(means).withColumns(rest).drop(*[f"_{p}_{k}" for k in back for p in PARTS])
+
+
+def rolling_stats(df: DataFrame, keys: list[str], value: str, ts: str = "ts", windows=S.ROLL_WINDOWS) -> DataFrame:
     """Trailing mean/std/min/max including the current row.
 
     A window needs max(2, w // 2) values; a missing deviation counts as zero.
+    A sliding frame costs its length for every row, so only the shortest one is
+    computed that way; 6, 12 and 24 are put together from windows of 3, and 48
+    and 168 from windows of 24, read with ``lag`` under the same ordering.
     """
-    out = []
+    w = series_window(keys, ts)
+    todo, ready = sorted(windows), []
+    out = df
+    while todo:
+        # The longest finished window of which something left is a small multiple.
+        tile = next((t for t in reversed(ready) if any(n % t == 0 and n // t <= MAX_TILES for n in todo)), None)
+        if tile is None:
+            out, made = out.select("*", *_frame_parts(value, w, todo[0])), [todo[0]]
+        else:
+            made = [n for n in todo if n % tile == 0 and n // tile <= MAX_TILES]
+            out = _tile(out, w, tile, made)
+        ready, todo = sorted(ready + made), [n for n in todo if n not in made]
+    stats = []
     for n in windows:
-        w = Window.partitionBy(*keys).orderBy(ts).rowsBetween(-(n - 1), 0)
-        enough = F.count(value).over(w) >= max(2, n // 2)
-        out += [
-            F.when(enough, F.avg(value).over(w)).alias(f"rollmean{n}"),
-            F.coalesce(F.when(enough, F.stddev_samp(value).over(w)), F.lit(0.0)).alias(f"rollstd{n}"),
-            F.when(enough, F.min(value).over(w)).alias(f"rollmin{n}"),
-            F.when(enough, F.max(value).over(w)).alias(f"rollmax{n}"),
+        enough, m2 = F.col(f"_n{n}") >= max(2, n // 2), F.col(f"_m2{n}")
+        std = F.sqrt(m2 / F.greatest(F.col(f"_n{n}") - 1, F.lit(1)))
+        stats += [
+            F.when(enough, F.col(f"_mean{n}")).alias(f"rollmean{n}"), F.when(enough, std).otherwise(0.0).alias(f"rollstd{n}"),
+            F.when(enough, F.col(f"_min{n}")).alias(f"rollmin{n}"), F.when(enough, F.col(f"_max{n}")).alias(f"rollmax{n}"),
         ]
-    return out
+    return out.select(*df.columns, *stats)
 
 
 def diffs(value: str, w, offsets=S.DIFFS) -> list[Column]:
@@ -113,9 +159,9 @@ def site_features(series: DataFrame, keys: list[str] = ("site",), value: str = "
     """Every site-level family at once: one shuffle, one sort."""
     keys = list(keys)
     w = series_window(keys, ts)
-    return series.select(
-        "*", *calendar_features(ts), *target_calendar(ts), *lead_target(value, w), *lags(value, w),
-        *rolling_stats(value, keys, ts), *diffs(value, w), *target_lags(value, w),
+    return rolling_stats(series, keys, value, ts).select(
+        *series.columns, *calendar_features(ts), *target_calendar(ts), *lead_target(value, w), *lags(value, w),
+        *rolling_names(), *diffs(value, w), *target_lags(value, w),
     )
 
 

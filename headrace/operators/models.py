@@ -30,7 +30,7 @@ TARGET = "delta_tplus1"
 
 def feature_names() -> list[str]:
     """Inputs shared by training and serving, in model order."""
-    roll = [f"roll{s}{n}" for n in S.ROLL_WINDOWS for s in ("mean", "std", "min", "max")]
+    roll = E.rolling_names()
     return (
         ["target_hour_sin", "target_hour_cos", "target_day_sin", "target_day_cos", "target_is_weekend", "current"]
         + [f"lag{n}" for n in S.LAGS] + roll + [f"diff{n}" for n in S.DIFFS] + ["target_lag24", "target_lag168"]
@@ -44,9 +44,10 @@ def model_frame(series: DataFrame, edges: DataFrame) -> DataFrame:
     own = series.join(edges.select("site", "upstream_site"), "site")
     own = own.join(ups, ["upstream_site", "ts"], "left").withColumn("upstream_current", F.coalesce("upstream_current", F.lit(0.0)))
     w = series_window(["site"])
-    frame = own.withColumn("plant_available", F.when(F.col("units_running") > 0, 1).otherwise(0)).select(
+    rolled = E.rolling_stats(own, ["site"], "total")
+    frame = rolled.withColumn("plant_available", F.when(F.col("units_running") > 0, 1).otherwise(0)).select(
         "site", "ts", "total", "units_running", "plant_available", "upstream_current",
-        *E.target_calendar(), *E.lead_target("total", w), *E.lags("total", w), *E.rolling_stats("total", ["site"]),
+        *E.target_calendar(), *E.lead_target("total", w), *E.lags("total", w), *E.rolling_names(),
         *E.diffs("total", w), *E.target_lags("total", w), *E.lags("upstream_current", w, prefix="upstream_gen_lag"),
     )
     return frame.withColumns({n: F.col(n).cast("double") for n in feature_names()})

@@ -141,7 +141,8 @@ def lags(spark, sf):
 
 @REG.add("rolling_stats", f"select site, ts, {sql_rolling()} from site_series")
 def rolling_stats(spark, sf):
-    return rounded(X.site_series(spark, sf).select("site", "ts", *E.rolling_stats("total", ["site"])))
+    s = X.site_series(spark, sf).select("site", "ts", "total")
+    return rounded(E.rolling_stats(s, ["site"], "total").drop("total"))
 
 
 @REG.add("diffs", "select site, ts, " + ", ".join(f"{r6s(f'total - lag(total, {n}) over w')} as diff{n}" for n in S.DIFFS) + f" from site_series {W}")
@@ -342,7 +343,8 @@ def supplier_days(spark, sf):
 def many_series_leaderboard(spark, sf):
     """Week-ago forecast and rolling level for every supplier series."""
     s = supplier_days(spark, sf)
-    f = s.select("site", F.col("total").alias("actual"), *E.lags("total", series_window(["site"]), [7]), *E.rolling_stats("total", ["site"], windows=[28]))
+    r = E.rolling_stats(s, ["site"], "total", windows=[7, 28])
+    f = r.select("site", F.col("total").alias("actual"), *E.lags("total", series_window(["site"]), [7]), "rollmean28")
     scored = f.where("lag7 is not null and rollmean28 is not null").withColumnRenamed("lag7", "predicted").withColumn("capacity", F.lit(0.0))
     return rounded(scored.groupBy("site").agg(F.count(F.lit(1)).alias("n"), F.avg("rollmean28").alias("mean28"), *metric_columns()))
 

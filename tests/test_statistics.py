@@ -30,13 +30,16 @@ def test_error_cdf_keeps_every_observation(spark, monkeypatch):
 
 def test_rolling_matches_pandas(hourly):
     rng = np.random.default_rng(3)
-    x = np.where(rng.random(60) < 0.2, np.nan, rng.normal(10, 3, 60).round(2))
-    got = hourly({"a": x}).select("ts", *E.rolling_stats("x", ["site"], windows=[3, 12])).orderBy("ts").toPandas()
-    for n in (3, 12):
+    x = np.where(rng.random(400) < 0.2, np.nan, rng.normal(10, 3, 400).round(2))
+    x[100:180], x[250:300] = 5.5, np.nan
+    windows = [3, 6, 12, 24, 48, 168, 5]
+    got = E.rolling_stats(hourly({"a": x}), ["site"], "x", windows=windows).orderBy("ts").toPandas()
+    for n in windows:
         roll = pd.Series(x).rolling(n, min_periods=max(2, n // 2))
-        np.testing.assert_allclose(got[f"rollmean{n}"], roll.mean(), atol=1e-9, equal_nan=True)
-        np.testing.assert_allclose(got[f"rollstd{n}"], roll.std().fillna(0.0), atol=1e-9)
+        np.testing.assert_allclose(got[f"rollmean{n}"].astype(float), roll.mean(), atol=1e-9, equal_nan=True)
+        np.testing.assert_allclose(got[f"rollstd{n}"], roll.std().fillna(0.0), atol=1e-6)
         np.testing.assert_allclose(got[f"rollmax{n}"].astype(float), roll.max(), equal_nan=True)
+        np.testing.assert_allclose(got[f"rollmin{n}"].astype(float), roll.min(), equal_nan=True)
 
 
 def metrics(y, p, cap):
