@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, lang_id, tokens
+from . import chat, decontaminate, html_text, lang_id, mixing, quality, tokens
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -22,6 +22,14 @@ def query(fn):
     return fn
 
 
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+ORACLE["op1_quality"] = quality.SQL
+
+
 @query
 def op2_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -48,6 +56,15 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text"))
+    return mixed.select("doc_id", "mix.source", "mix.lang", "mix.topic", "mix.n_tokens", F.round("mix.probability", 6).alias("probability"), "mix.selected")
+
+
+ORACLE["op7_mixing"] = mixing.sql()
+
+
 @query
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
