@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, lang_id, mixing, quality, tokens
+from . import chat, decontaminate, html_text, lang_id, mixing, quality, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -45,6 +45,15 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digests(chat.format_chats(rows.unionByName(extra), file), file)
 
 
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    names = toxicity.categories_of(labels)
+    scored = toxicity.score(docs, toxicity.train(docs, labels, names))
+    p = {n: F.col("toxicity")[i] for i, n in enumerate(names)}
+    return scored.select("doc_id", *[x.alias(f"p_{n}") for n, x in p.items()], (p["toxic"] >= toxicity.REJECT).alias("toxic"), (p["toxic"] < toxicity.REJECT).alias("kept"))
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
