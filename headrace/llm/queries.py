@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, lang_id, mixing, quality, tokens, toxicity
+from . import chat, decontaminate, html_text, jaccard, lang_id, mixing, quality, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -54,6 +54,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", *[x.alias(f"p_{n}") for n, x in p.items()], (p["toxic"] >= toxicity.REJECT).alias("toxic"), (p["toxic"] < toxicity.REJECT).alias("kept"))
 
 
+@query
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
