@@ -85,17 +85,17 @@ def uniform(key: Column, seed: str = SEED) -> Column:
     return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") / F.lit(float(16**13))
 
 
-def mix(docs: DataFrame, targets: DataFrame | None = None, topic: str | None = None, doc_id: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
-    """``docs`` with a struct column ``mix``: source, lang, topic, n_tokens, probability, selected."""
-    named = docs.withColumn("mix", F.struct(
+def mix(docs: DataFrame, targets: DataFrame | None = None, topic: str | None = None, name: str = "mix", doc_id: str = "doc_id", source: str = "source", lang: str = "lang", text: str = "text", rounds: int = ROUNDS) -> DataFrame:
+    """``docs`` with a struct column ``name``: source, lang, topic, n_tokens, probability, selected."""
+    named = docs.withColumn("__mix", F.struct(
         F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"),
         F.coalesce(F.col(topic).cast("string"), F.lit("")).alias("topic") if topic else topic_of(F.col(text)).alias("topic"), n_tokens(F.col(text)).alias("n_tokens"),
     ))
-    cells = cut_lineage(cells_of(named.select("mix.*")))
+    cells = cut_lineage(cells_of(named.select("__mix.*")))
     raked = cut_lineage(rake(cells, tempered(cells) if targets is None else targets, rounds)).select(*[F.col(d).alias(f"__{d}") for d in DIMENSIONS], F.col("probability").alias("__p"))
-    out = named.join(raked, [F.col(f"mix.{d}") == F.col(f"__{d}") for d in DIMENSIONS], "left")
+    out = named.join(raked, [F.col(f"__mix.{d}") == F.col(f"__{d}") for d in DIMENSIONS], "left")
     p = F.coalesce(F.col("__p"), F.lit(0.0))
-    return out.withColumn("mix", F.struct("mix.source", "mix.lang", "mix.topic", "mix.n_tokens", p.alias("probability"), (uniform(F.col(doc_id)) < p).alias("selected"))).drop(*[f"__{d}" for d in DIMENSIONS], "__p")
+    return out.withColumn(name, F.struct("__mix.source", "__mix.lang", "__mix.topic", "__mix.n_tokens", p.alias("probability"), (uniform(F.col(doc_id)) < p).alias("selected"))).drop(*[f"__{d}" for d in DIMENSIONS], "__p", "__mix")
 
 
 def sql(rounds: int = ROUNDS) -> str:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, jaccard, lang_id, mixing, quality, tokens, toxicity
+from . import chat, decontaminate, html_text, jaccard, lang_id, mixing, quality, suffix, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -91,3 +91,9 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = html_text.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
