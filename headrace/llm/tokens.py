@@ -27,7 +27,6 @@ empty table gives an empty manifest; other columns are not looked at.
 from __future__ import annotations
 
 import itertools
-import os
 import struct
 import uuid
 import zlib
@@ -46,24 +45,69 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage, shared_folder
 from .text import blocks, bounded
 
-#: Ids per data frame, zstandard level, id that ends a document.
-FRAME_IDS, LEVEL, END_ID = 1 << 16, 3, 0
+#: Ids per data frame, zstandard level, id that ends a document, entries of each cache of a worker.
+FRAME_IDS, LEVEL, END_ID, CACHE = 1 << 16, 3, 0, 400_000
 SKIP_INDEX, SKIP_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
+# The pre-tokeniser's pattern of the byte-level vocabularies, and white space.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+SPACES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
+_BESIDE = [[x for c in SPACES if ascii == (c < 128) for x in (f" {chr(c)}", f"{chr(c)} ")] for ascii in (True, False)]
+
+
 class Encoder:
-    """Ids of whole texts; strings of special tokens inside a text are ordinary text."""
+    """Ids of whole texts; strings of special tokens inside a text are ordinary text.
+
+    The pre-tokeniser's pieces are encoded one by one, so equal pieces are given
+    to the tokenizer's model once and kept. The pre-tokeniser never joins what
+    stands before a single space with what follows if neither neighbour of the
+    space is white space: such texts are split at their spaces, and the ids of
+    whole words with what clings to them are kept as well. Both caches are
+    emptied when they reach ``CACHE`` entries.
+    """
 
     def __init__(self, file: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenize = self.tokenizer.model.tokenize
+        self.split = regex.compile(PATTERN).findall
+        self.letters = {b: c for c, b in byte_letters().items()}
+        self.chunks: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def piece(self, p: str) -> bytes:
+        got = self.pieces.get(p)
+        if got is None:
+            got = array("I", [t.id for t in self.tokenize(p.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            if len(self.pieces) >= CACHE:
+                self.pieces.clear()
+            self.pieces[p] = got
+        return got
+
+    def text(self, text: str) -> bytes:
+        return b"".join(map(self.piece, self.split(text)))
 
     def batch(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
-        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        cut = [t.split(" ") if single_spaces(t) else None for t in texts]
+        known = set().union(*[c[1:] for c in cut if c])
+        need = known - self.chunks.keys()
+        if len(self.chunks) + len(need) > CACHE:
+            self.chunks.clear()
+            need = known
+        self.chunks.update((c, self.text(" " + c)) for c in need)
+        get = self.chunks.__getitem__
+        return [self.text(c[0]) + b"".join(map(get, c[1:])) if c else self.text(t) for c, t in zip(cut, texts, strict=True)]
+
+
+def single_spaces(text: str) -> bool:
+    """No space stands at an edge of the text or beside white space."""
+    if not text or text[0] == " " or text[-1] == " ":
+        return False
+    return not any(x in text for x in _BESIDE[0]) and (text.isascii() or not any(x in text for x in _BESIDE[1]))
 
 
 def byte_letters() -> dict[str, int]:
