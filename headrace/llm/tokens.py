@@ -50,10 +50,8 @@ FRAME_IDS, LEVEL, END_ID, CACHE = 1 << 16, 3, 0, 400_000
 SKIP_INDEX, SKIP_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
-# The pre-tokeniser's pattern of the byte-level vocabularies, and white space.
+# The pre-tokeniser's pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-SPACES = [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-_BESIDE = [[x for c in SPACES if ascii == (c < 128) for x in (f" {chr(c)}", f"{chr(c)} ")] for ascii in (True, False)]
 
 
 class Encoder:
@@ -64,7 +62,7 @@ class Encoder:
     stands before a single space with what follows if neither neighbour of the
     space is white space: such texts are split at their spaces, and the ids of
     whole words with what clings to them are kept as well. Both caches are
-    emptied when they reach ``CACHE`` entries.
+    emptied when they reach ``CACHE`` entries (twice that for words).
     """
 
     def __init__(self, file: str):
@@ -90,24 +88,27 @@ class Encoder:
     def text(self, text: str) -> bytes:
         return b"".join(map(self.piece, self.split(text)))
 
-    def batch(self, texts: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each text."""
-        cut = [t.split(" ") if single_spaces(t) else None for t in texts]
-        known = set().union(*[c[1:] for c in cut if c])
-        need = known - self.chunks.keys()
-        if len(self.chunks) + len(need) > CACHE:
+    def chunk(self, c: str) -> bytes:
+        got = self.piece(" " + c) if c.isalpha() else self.text(" " + c)
+        if len(self.chunks) >= 2 * CACHE:
             self.chunks.clear()
-            need = known
-        self.chunks.update((c, self.text(" " + c)) for c in need)
-        get = self.chunks.__getitem__
-        return [self.text(c[0]) + b"".join(map(get, c[1:])) if c else self.text(t) for c, t in zip(cut, texts, strict=True)]
+        self.chunks[c] = got
+        return got
 
+    def encode(self, text: str) -> bytes:
+        """Little-endian 32-bit ids of a text."""
+        cut = text.split(" ")
+        # strip() gives back the same object where no white space stands beside a space.
+        if "" in cut or cut != list(map(str.strip, cut)):
+            return self.text(text)
+        ids = list(map(self.chunks.get, cut))
+        ids[0] = self.text(cut[0])
+        if None in ids:
+            ids = [self.chunk(c) if i is None else i for c, i in zip(cut, ids, strict=True)]
+        return b"".join(ids)
 
-def single_spaces(text: str) -> bool:
-    """No space stands at an edge of the text or beside white space."""
-    if not text or text[0] == " " or text[-1] == " ":
-        return False
-    return not any(x in text for x in _BESIDE[0]) and (text.isascii() or not any(x in text for x in _BESIDE[1]))
+    def batch(self, texts: list[str]) -> list[bytes]:
+        return list(map(self.encode, texts))
 
 
 def byte_letters() -> dict[str, int]:
