@@ -217,7 +217,7 @@ def model_spread(series: DataFrame) -> DataFrame:
 def latest_timestamp(df: DataFrame) -> DataFrame:
     """Latest readable date over the columns named like one.
 
-    Without such a name, the first eight columns count if at least three values
+    Without such a name, every column counts in which at least three values
     and a fifth of all rows can be read.
     """
     parse = lambda c: F.col(c).cast("string").try_cast("timestamp_ntz")
@@ -226,5 +226,5 @@ def latest_timestamp(df: DataFrame) -> DataFrame:
         best = [F.max(parse(c)) for c in named]
     else:
         enough = lambda c: F.count(parse(c)) >= F.greatest(F.lit(3), F.floor(F.count(F.lit(1)) * 0.2))
-        best = [F.when(enough(c), F.max(parse(c))) for c in df.columns[:8]]
+        best = [F.when(enough(c), F.max(parse(c))) for c in df.columns]
     return df.agg((F.greatest(*best) if len(best) > 1 else best[0]).alias("latest"))

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -146,9 +146,13 @@ def rbf_predict(scaled: DataFrame, model: DataFrame, centers: list[list[float]],
 # --- trees -----------------------------------------------------------------
 
 def _tree_inputs(columns: list[str]) -> list:
+    """Sites as indicator columns, so any number of them fits; a missing input is 0, as for the radial model."""
+    filled = ", ".join(f"coalesce(cast(`{c}` as double), 0D) as `_f{i}`" for i, c in enumerate(columns))
     return [
         StringIndexer(inputCol="site", outputCol="_site", handleInvalid="keep", stringOrderType="alphabetAsc"),
-        VectorAssembler(inputCols=["_site", *columns], outputCol="features", handleInvalid="skip"),
+        OneHotEncoder(inputCol="_site", outputCol="_site_is", handleInvalid="keep", dropLast=False),
+        SQLTransformer(statement=f"select *, {filled} from __THIS__"),
+        VectorAssembler(inputCols=["_site_is", *[f"_f{i}" for i in range(len(columns))]], outputCol="features", handleInvalid="keep"),
     ]
 
 
@@ -170,7 +174,7 @@ def boosted_trees(train: DataFrame, columns: list[str], config=S.BOOSTING_CONFIG
 
 
 def predict_delta(model: PipelineModel, df: DataFrame) -> DataFrame:
-    return model.transform(df).withColumnRenamed("prediction", "delta").drop("features", "_site")
+    return model.transform(df).select(*df.columns, F.col("prediction").alias("delta"))
 
 
 # --- store and search space ------------------------------------------------

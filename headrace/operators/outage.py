@@ -81,7 +81,7 @@ def learned_weights(units: DataFrame, unit_dim: DataFrame) -> DataFrame:
     parts are skipped, and capacity decides when none is left. The history is
     kept as one array of shares per unit and day.
     """
-    daily = daily_arrays(unit_shares(units), ["site", "unit"], "share", name="hours")
+    daily = daily_arrays(unit_shares(units), ["site", "unit"], "share", name="hours", by_hour="_by_hour")
     w = Window.partitionBy("site", "unit").orderBy("d")
     back = lambda n: F.collect_list("hours").over(w.rowsBetween(-n, -1))
     recent_days = S.RECENT_SHARE_HOURS // 24
@@ -89,7 +89,7 @@ def learned_weights(units: DataFrame, unit_dim: DataFrame) -> DataFrame:
         "site", "unit", F.col("d").cast("timestamp_ntz").alias("origin"),
         F.element_at(F.lag("hours").over(w), -1).alias("p_now"),
         array_median(F.flatten(back(recent_days))).alias("p_recent"),
-        back(S.SAME_HOUR_SHARES).alias("_days"),
+        F.collect_list("_by_hour").over(w.rowsBetween(-S.SAME_HOUR_SHARES, -1)).alias("_days"),
     ).where(F.size("_days") > 0)
     hourly = horizon(states).withColumn(
         "p_hour", array_median(F.transform("_days", lambda day: F.get(day, F.col("h") - 1)))

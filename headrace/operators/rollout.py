@@ -15,7 +15,7 @@ from .. import settings as S
 from ..functions.expr import add_hours
 from ..functions.rollout_kernel import batches
 from .outage import array_median
-from .slices import daily_arrays
+from .slices import at_hour, daily_arrays, with_origin_days
 
 RESULT = (
     "cascade string, origin timestamp_ntz, site string, h int, base_prediction double, predicted double, "
@@ -53,6 +53,7 @@ def unit_states(units: DataFrame, unit_dim: DataFrame, plan: DataFrame, origins:
     share = F.try_divide(F.greatest("mw", F.lit(0.0)), F.nullif(total, F.lit(0.0)))
     cells = F.sort_array(F.collect_list(F.struct(F.hour("ts").alias("h"), "mw", "share", "available")))
     daily = units.withColumn("share", share).groupBy("site", "unit", F.to_date("ts").alias("d")).agg(cells.alias("c"))
+    daily = with_origin_days(daily, ["site", "unit"], origins)
     w = Window.partitionBy("site", "unit").orderBy("d")
     back = lambda n: F.collect_list("c").over(w.rowsBetween(-n, -1))
     recent, days = F.flatten(back(S.RECENT_SHARE_HOURS // 24)), back(S.SAME_HOUR_SHARES)
@@ -66,7 +67,7 @@ def unit_states(units: DataFrame, unit_dim: DataFrame, plan: DataFrame, origins:
         .select(
             "site", "unit", "origin", F.transform("_r", lambda c: c["mw"]).alias("history"),
             F.element_at("_r", -1)["available"].alias("status"),
-            F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: array_median(F.transform("_d", lambda c: F.get(c, h)["share"]))).alias("hour_median"),
+            F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: array_median(F.transform("_d", lambda c: at_hour(c, h)["share"]))).alias("hour_median"),
         )
     )
     plans = plan.groupBy("site", "unit", "origin").agg(F.sort_array(F.collect_list(F.struct("ts", "available"))).alias("p"))
@@ -89,7 +90,7 @@ def states(
 ) -> DataFrame:
     """One row per (cascade, origin) with the array of its sites."""
     days = -(-S.HISTORY_HOURS // 24)
-    daily = daily_arrays(series, ["site"], "total", name="hours")
+    daily = with_origin_days(daily_arrays(series, ["site"], "total", name="hours"), ["site"], origins)
     w = Window.partitionBy("site").orderBy("d").rowsBetween(-days, -1)
     hist = (
         daily.select("site", F.col("d").cast("timestamp_ntz").alias("origin"), F.flatten(F.collect_list("hours").over(w)).alias("history"))

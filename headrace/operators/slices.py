@@ -24,10 +24,31 @@ def actual_day(df: DataFrame, origins: DataFrame, ts: str = "ts") -> DataFrame:
     return df.withColumn("_d", day_of(ts)).join(days, "_d").drop("_d")
 
 
-def daily_arrays(df: DataFrame, keys: list[str], value: str, ts: str = "ts", name: str = "hours") -> DataFrame:
-    """One row per series and day with its values in hour order (24 at most)."""
+def at_hour(cells, h):
+    """The cell of hour ``h`` in an array of cells with a field ``h``; NULL where the day lacks it."""
+    return F.get(F.filter(cells, lambda c: c["h"] == h), F.lit(0))
+
+
+def daily_arrays(df: DataFrame, keys: list[str], value: str, ts: str = "ts", name: str = "hours", by_hour: str | None = None) -> DataFrame:
+    """One row per series and day with the values present, in hour order (24 at most).
+
+    ``by_hour`` names a second array with exactly 24 places, NULL where an hour is absent.
+    """
     cells = F.sort_array(F.collect_list(F.struct(F.hour(ts).alias("h"), F.col(value).alias("v"))))
-    return df.groupBy(*keys, day_of(ts).alias("d")).agg(F.transform(cells, lambda c: c["v"]).alias(name))
+    daily = df.groupBy(*keys, day_of(ts).alias("d")).agg(cells.alias("_c"))
+    full = [] if by_hour is None else [F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: at_hour(F.col("_c"), h)["v"]).alias(by_hour)]
+    return daily.select(*keys, "d", F.transform("_c", lambda c: c["v"]).alias(name), *full)
+
+
+def with_origin_days(daily: DataFrame, keys: list[str], origins: DataFrame) -> DataFrame:
+    """``daily`` with an empty row for each series and origin day that has none yet.
+
+    A forecast for the day after the last row starts from such a day. The
+    origins are few and travel as one array per series.
+    """
+    days = origins.agg(F.collect_set(F.to_date("origin")).alias("o")).select("o").scalar()
+    wanted = daily.select(*keys).distinct().select(*keys, F.explode(days).alias("d")).join(daily.select(*keys, "d"), [*keys, "d"], "left_anti")
+    return daily.unionByName(wanted.withColumns({c: F.array().cast(t) for c, t in daily.dtypes if t.startswith("array")}))
 
 
 def trailing_days(daily: DataFrame, keys: list[str], name: str, days: int, alias: str) -> DataFrame:
