@@ -138,11 +138,11 @@ def coalesce_duplicates(spark, sf):
 
 
 @REG.add("coerce_numeric", f"""select doc_id, {sql_number('t')} as value, {sql_number('n')} as size from (
-    select doc_id, substr(text, 1, 3) as t, cast(n_chars as varchar) || case when lang = 'en' then '' else ' ' || lang end as n from documents)""")
+    select doc_id, text as t, cast(n_chars as varchar) || case when lang = 'en' then '' else ' ' || lang end as n from documents)""")
 def coerce_numeric(spark, sf):
     d = X.read(spark, sf, "documents")
     size = F.concat(F.col("n_chars").cast("string"), F.when(F.col("lang") == "en", "").otherwise(F.concat(F.lit(" "), "lang")))
-    return d.select("doc_id", N.coerce_numeric(F.substring("text", 1, 3)).alias("value"), N.coerce_numeric(size).alias("size"))
+    return d.select("doc_id", N.coerce_numeric("text").alias("value"), N.coerce_numeric(size).alias("size"))
 
 
 @REG.add("build_timestamp", """select event_id, case when user_id <> 7 and user_id <> 9 then cast(cast(ts as date) as timestamp) + hour(ts) * interval 1 hour end as ts from events""")
@@ -316,12 +316,12 @@ def write_forecast(spark, sf):
     return rounded(back.select("Date", "Hour", *[F.col(c).cast("double").alias(c) for c in back.columns[2:]]))
 
 
-PLAN = [(s, u) for s in SITES for u in UNITS[:2]]
+PLAN = [(s, u) for s in SITES for u in UNITS]
 PLAN_TEXT = "case when x is null then null when x > 20 then '1' when x > 10 then 'n/a' when x > 5 then '0' else '-1' end"
 
 
 @REG.add("load_outage_plan", f"""select p.site, p.unit, p.ts, case when coalesce({sql_number(PLAN_TEXT)}, 1.0) > 0 then 1 else 0 end as available
-    from (select site, unit, ts, mw as x from panel where unit <> 'unit3') p""")
+    from (select site, unit, ts, mw as x from panel) p""")
 def load_outage_plan(spark, sf):
     x = X.panel(spark, sf).groupBy("ts").agg(
         *[F.max(F.when((F.col("site") == s) & (F.col("unit") == u), F.col("mw"))).alias(f"out_{s}_{u}") for s, u in PLAN]

@@ -111,3 +111,10 @@ def test_knn_matches_brute_force(spark, hourly, chunk):
     df = hourly({"a": v[:, 0]}, "p").join(hourly({"a": v[:, 1]}, "q"), ["site", "ts"]).join(hourly({"a": v[:, 2]}, "r"), ["site", "ts"])
     rows = C.knn_impute(df, ["site"], ["p", "q", "r"], chunk_hours=chunk).orderBy("ts").collect()
     np.testing.assert_allclose([[r.p, r.q, r.r] for r in rows], brute_knn(v), atol=1e-9)
+
+
+def test_smooth_takes_alternating_series_of_any_length(hourly):
+    series = {"a": [0.0, 100.0] * 700, "b": [float((i * 37) % 101) for i in range(900)]}
+    got = collect(C.smooth_spikes(hourly(series), ["site"], "x"))
+    for k, x in series.items():
+        np.testing.assert_allclose(got[k], sequential_smooth(x), rtol=0, atol=1e-9, equal_nan=True, err_msg=k)

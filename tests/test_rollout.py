@@ -143,3 +143,59 @@ def test_store_retrains_on_a_different_feature_set(spark, world, tmp_path):
     a, b = (M.predict_delta(m, rows).agg(F.sum("delta")).first()[0] for m in (model, again))
     assert a == b
     assert M.load_model(str(tmp_path), ["current", "lag2"], lambda: "new")[::2] == ("new", True)
+
+
+def test_next_day_after_the_last_row_is_forecast(spark, world):
+    """An origin that has no rows of its own yet starts from the days before it."""
+    origins = spark.createDataFrame([("2024-01-12",), ("2024-01-13",)], "d string").select(F.col("d").cast("timestamp_ntz").alias("origin"))
+    plan = I.outage_plan_last_known(world["units"].select("site", "unit", "ts", "available"), origins).withColumn("available", F.lit(1))
+    w = {**world, "origins": origins}
+    got = J.rollout_24h(states(w, plan)).toPandas()
+    assert got.groupby(["origin", "site"]).size().tolist() == [24] * 4
+    last = world["series"].toPandas().set_index(["site", "ts"])["total"]
+    want = [last[(r.site, r.origin - pd.Timedelta(hours=1))] for r in got.itertuples()]
+    np.testing.assert_allclose(got["predicted"], want, atol=1e-6)
+
+
+def test_same_hour_shares_of_a_partial_first_day(spark):
+    """A series that starts at 05:00: the 05:00 share serves 05:00, and hours before have none."""
+    ts = pd.date_range("2024-01-01 05:00", "2024-01-02 23:00", freq="h")
+    rows = [("a", u, t.to_pydatetime(), float(10 + t.hour if u == "unit1" else 20)) for t in ts for u in ("unit1", "unit2")]
+    units = spark.createDataFrame(rows, "site string, unit string, ts timestamp_ntz, mw double").where("ts < timestamp_ntz'2024-01-02'").unionByName(
+        spark.createDataFrame([("a", u, pd.Timestamp("2024-01-02").to_pydatetime(), 1.0) for u in ("unit1", "unit2")], "site string, unit string, ts timestamp_ntz, mw double"))
+    dim = units.groupBy("site", "unit").agg(F.lit(45.0).alias("capacity"))
+    got = I.learned_weights(units, dim).where("unit = 'unit1' and origin = timestamp_ntz'2024-01-02'").toPandas().set_index("ts")["weight"]
+    share = lambda h: (10 + h) / (30 + h)
+    now, mid = share(23), np.median([share(h) for h in range(5, 24)])
+    peer = np.median([1 - share(h) for h in range(5, 24)])
+    mid = mid / (mid + peer)
+    for h in range(24):
+        parts = [(0.5, now), (0.35, mid)] + ([(0.15, share(h))] if h >= 5 else [])
+        want = sum(w * p for w, p in parts) / sum(w for w, _ in parts)
+        assert got[pd.Timestamp("2024-01-02") + pd.Timedelta(hours=h)] == pytest.approx(want, abs=1e-6), h
+
+
+def test_unit_filling_equals_repeated_rounds():
+    rng = np.random.default_rng(3)
+    caps = np.where(rng.random((400, 4)) < 0.2, 0.0, rng.uniform(1, 40, (400, 4)))
+    weights = np.where(rng.random((400, 4)) < 0.3, 0.0, rng.random((400, 4)))
+    total = rng.uniform(-5, 130, 400)
+    got = R.fill_units(total, weights, caps)
+    for t, w, c, g in zip(total, weights, caps, got):
+        left, room, on = max(0.0, min(t, c.sum())), c.copy(), c > 0
+        out = np.zeros(4)
+        while left > 1e-12 and on.any():
+            share = np.where(on, w, 0.0)
+            share = share if share.sum() > 0 else np.where(on, c, 0.0)
+            add = np.minimum(left * share / share.sum(), room)
+            out, room, left = out + add, room - add, left - add.sum()
+            on = on & (room > 1e-12)
+        np.testing.assert_allclose(g, out, atol=1e-6)
+
+
+def test_trees_take_many_sites_and_missing_inputs(spark):
+    rows = [(f"s{i % 40:02d}", float(i % 7) if i % 5 else None, float(i % 3), float(i % 7)) for i in range(400)]
+    df = spark.createDataFrame(rows, f"site string, a double, b double, {M.TARGET} double")
+    model = M.random_forest(df, ["a", "b"], (3, 3, 1, "all"))
+    out = M.predict_delta(model, df.unionByName(spark.createDataFrame([("new", None, None, 0.0)], df.schema)))
+    assert out.count() == 401 and out.columns == [*df.columns, "delta"] and out.where("delta is null").count() == 0
