@@ -31,6 +31,7 @@ gives no rows; other columns are not looked at.
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -42,11 +43,12 @@ from .text import _BYTE, _STEP, blocks, bounded, bytes_of, mix, powers, runs
 
 LENGTH, GRAM = 100, 37
 #: Bytes of text handled at once, reads of a bucket, reads of a group, bytes merged at once, bytes of a shard.
-PIECE, BUCKET, GROUP, MERGE, SHARD = 1 << 20, 1_000_000, 10_000, 4 << 20, 1 << 20
+PIECE, BUCKET, GROUP, MERGE, SHARD = 1 << 20, 1_000_000, 8_000, 3 << 19, 1 << 19
 _SPAN = LENGTH - GRAM + 1
+SIDE = (LENGTH - GRAM + 1) // 2
 _FIRST = -(1 << 63)
 
-READ = np.dtype([("g", "<u4"), ("r", "<u8"), ("d", "<i8"), ("t", "<i4"), ("s", "<u4"), ("n", "<u2")])
+READ = np.dtype([("g", "<u4"), ("r", "<u8"), ("d", "<i8"), ("t", "<i4"), ("s", "<u4"), ("n", "u1"), ("p", "u1")])
 _POWERS = [powers(PIECE + LENGTH + 1), powers(PIECE + LENGTH + 1, np.uint64(pow(int(_STEP), -1, 1 << 64)))]
 
 
@@ -66,8 +68,8 @@ def _hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((sums[end] - sums[start]) * _POWERS[1][start])
 
 
-def reads_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(gram hash, read hash, first start, number of starts) of the reads of a text of at least ``LENGTH`` bytes."""
+def reads_of(data: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(gram hash, read hash, first start, number of starts, gram's offset in the read) of a text of at least ``LENGTH`` bytes."""
     sums = _sums(data)
     at = np.arange(data.size - GRAM + 1)
     gram = _hash(sums, at, at + GRAM)
@@ -84,7 +86,7 @@ def reads_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     n = np.diff(np.append(first, place.size))
     p = place[first]
     own = _hash(sums, first, first + n + LENGTH - 1) + mix((p - first).astype(np.uint64) * np.uint64(LENGTH) + n.astype(np.uint64))
-    return gram[p], mix(own), first, n
+    return gram[p], mix(own), first, n, p - first
 
 
 def collect_reads(docs: DataFrame, buckets: int) -> DataFrame:
@@ -98,9 +100,9 @@ def collect_reads(docs: DataFrame, buckets: int) -> DataFrame:
                 ids, ties = (np.asarray(c) for c in part.columns[:2])
                 found = []
                 for i, base, piece in pieces(data, bounds):
-                    g, r, s, n = reads_of(piece)
+                    g, r, s, n, p = reads_of(piece)
                     x = np.empty(g.size, READ)
-                    x["g"], x["r"], x["d"], x["t"], x["s"], x["n"] = g >> np.uint64(32), r, ids[i], ties[i], s + base, n
+                    x["g"], x["r"], x["d"], x["t"], x["s"], x["n"], x["p"] = g >> np.uint64(32), r, ids[i], ties[i], s + base, n, p
                     found.append((g % np.uint64(buckets), x))
                 if not found:
                     continue
@@ -138,13 +140,13 @@ def _fold(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x[new], x[~new & ~same]
 
 
-KIND = "g long, m int, d long, t int, s long, n int"
+KIND = "g long, m int, d long, t int, s long, n int, p int"
 
 
 def _rows(x: np.ndarray, m: np.ndarray | int, bucket: int = 0) -> pa.RecordBatch:
     m = np.broadcast_to(np.asarray(m, np.int32), x.size)
     g = x["g"].astype(np.int64) << 20 | bucket & 0xFFFFF
-    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(m), pa.array(x["d"]), pa.array(x["t"]), pa.array(x["s"].astype(np.int64)), pa.array(x["n"].astype(np.int32))], ["g", "m", "d", "t", "s", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(g), pa.array(m), pa.array(x["d"]), pa.array(x["t"]), pa.array(x["s"].astype(np.int64)), pa.array(x["n"].astype(np.int32)), pa.array(x["p"].astype(np.int32))], ["g", "m", "d", "t", "s", "n", "p"])
 
 
 def match_reads(packed: DataFrame, buckets: int) -> DataFrame:
@@ -186,8 +188,8 @@ def match_reads(packed: DataFrame, buckets: int) -> DataFrame:
 
 
 def read_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (g, sub, d, t, s, starts, bytes): the wanted reads with their texts' bytes."""
-    lists = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("g", "m", "s", "n")).alias("w"))
+    """Rows (g, sub, p, d, t, s, starts, bytes): the wanted reads with their texts' bytes."""
+    lists = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("g", "m", "s", "n", "p")).alias("w"))
     joined = docs.join(lists, ["d", "t"]).dropDuplicates(["d", "t"]).select("d", "t", "text", "w")
     bounded(joined)
 
@@ -196,20 +198,20 @@ def read_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for d, t, text, w in zip(*(batch.column(i) for i in range(4)), strict=True):
                 data = np.frombuffer(text.as_buffer(), np.uint8)
                 out = []
-                for g, m, s, n in zip(*(w.values.field(f).to_pylist() for f in ("g", "m", "s", "n")), strict=True):
+                for g, m, s, n, p in zip(*(w.values.field(f).to_pylist() for f in ("g", "m", "s", "n", "p")), strict=True):
                     part = data[s : s + n + LENGTH - 1]
                     if m == 1:
-                        out.append((g, 0, s, np.arange(n, dtype=np.uint16).tobytes(), part.tobytes()))
+                        out.append((g, 0, p, s, np.arange(n, dtype=np.uint16).tobytes(), part.tobytes()))
                     else:
                         at = np.arange(n)
                         sub = (_hash(_sums(part), at, at + LENGTH) % np.uint64(m)).astype(np.int64)
-                        out += [(g, int(k), s, np.flatnonzero(sub == k).astype(np.uint16).tobytes(), part.tobytes()) for k in np.unique(sub)]
+                        out += [(g, int(k), p, s, np.flatnonzero(sub == k).astype(np.uint16).tobytes(), part.tobytes()) for k in np.unique(sub)]
                 if out:
-                    g, k, s, starts, raw = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(k, pa.int32()), pa.array([d.as_py()] * len(g), pa.int64()), pa.array([t.as_py()] * len(g), pa.int32()),
-                                                      pa.array(s, pa.int64()), pa.array(starts, pa.binary()), pa.array(raw, pa.binary())], ["g", "sub", "d", "t", "s", "starts", "bytes"])
+                    g, k, p, s, starts, raw = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(k, pa.int32()), pa.array(p, pa.int32()), pa.array([d.as_py()] * len(g), pa.int64()), pa.array([t.as_py()] * len(g), pa.int32()),
+                                                      pa.array(s, pa.int64()), pa.array(starts, pa.binary()), pa.array(raw, pa.binary())], ["g", "sub", "p", "d", "t", "s", "starts", "bytes"])
 
-    return joined.mapInArrow(run, "g long, sub int, d long, t int, s long, starts binary, bytes binary")
+    return joined.mapInArrow(run, "g long, sub int, p int, d long, t int, s long, starts binary, bytes binary")
 
 
 def transform(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,15 +251,16 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     base = np.cumsum(sizes) - sizes
     order = np.concatenate([x[0] for x in parts])
     symbol = np.concatenate([x[1] for x in parts]).astype(np.uint16)
-    to = np.concatenate([np.where(x[2] >= 0, x[2] + b, -1) for x, b in zip(parts, base, strict=True)])
+    to = np.concatenate([np.where(x[2] >= 0, x[2] + b, -1) for x, b in zip(parts, base, strict=True)]).astype(np.int32)
     shard = np.repeat(np.arange(len(parts)), sizes)
+    del parts
     # Suffixes of no symbol but the end: first of each shard, all different.
     tips = np.concatenate([b + np.arange(e.size) for b, (_, e) in zip(base, shards, strict=True)])
     k, n = tips.size, order.size
     rest = np.ones(n, bool)
     rest[tips] = False
-    now = np.concatenate((tips, np.flatnonzero(rest)))  # the interleave: shard after shard
-    block = np.zeros(n, np.int64)  # by no symbol yet
+    now = np.concatenate((tips, np.flatnonzero(rest))).astype(np.int32)  # the interleave: shard after shard
+    block = np.zeros(n, np.int32)  # by no symbol yet
     common = np.full(n, LENGTH, np.int16)
     common[: k + 1] = 0
     for depth in range(1, LENGTH + 1):
@@ -266,10 +269,10 @@ def merge(shards: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
         by = by[int((s == 0).sum()) :]
         s, was = s[by], block[by]
         part = np.concatenate(([True], (np.diff(s) != 0) | (np.diff(was) != 0)))
-        now = np.concatenate((tips, to[now[by]]))
+        now = np.concatenate((tips, to[now[by]])).astype(np.int32)
         new = part & (common[k:] == LENGTH)
         common[k:][new] = depth - 1
-        block = np.concatenate((np.arange(k), k - 1 + np.cumsum(part)))
+        block = np.concatenate((np.arange(k), k - 1 + np.cumsum(part))).astype(np.int32)
     return shard[now], order[now], common
 
 
@@ -317,19 +320,34 @@ def repeats(reads: list[tuple[int, int, int, bytes, bytes]]) -> list[tuple[int,
     return list(zip(d[later].tolist(), t[later].tolist(), s[later].tolist(), strict=True))
 
 
+def related(group: list[tuple]) -> list[tuple]:
+    """Reads (p, d, t, s, starts, bytes) of a gram that may share a window with another one.
+
+    A window holds ``SIDE`` bytes before the gram or as many behind it, so reads
+    whose bytes on both sides are theirs alone are left out.
+    """
+    sides = [(x[5][x[0] - SIDE : x[0]] if x[0] >= SIDE else b"", x[5][x[0] + GRAM : x[0] + GRAM + SIDE]) for x in group]
+    sides = [(a, b if len(b) == SIDE else b"") for a, b in sides]
+    left, right = Counter(a for a, _ in sides), Counter(b for _, b in sides)
+    return [x[1:] for x, (a, b) in zip(group, sides, strict=True) if a and left[a] > 1 or b and right[b] > 1]
+
+
 def compare(reads: DataFrame) -> DataFrame:
     """Repeated starts among reads of one gram, group by group; several small groups are merged at once."""
 
     def run(batches):
-        key, held, size = None, [], 0
+        key, group, held, size = None, [], [], 0
         for batch in batches:
             for g, sub, *x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (g, sub) != key and size >= MERGE:
-                    yield from _marks(repeats(held))
-                    held, size = [], 0
-                key = (g, sub)
-                held.append(tuple(x))
-                size += len(x[4]) + 1
+                if (g, sub) != key:
+                    held += (more := related(group))
+                    size += sum(len(y[4]) + 1 for y in more)
+                    key, group = (g, sub), []
+                    if size >= MERGE:
+                        yield from _marks(repeats(held))
+                        held, size = [], 0
+                group.append(tuple(x))
+        held += related(group)
         if len(held) > 1:
             yield from _marks(repeats(held))
 
