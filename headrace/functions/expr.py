@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import settings as S
+from ..session import cut_lineage
 
 INF = float("inf")
 
@@ -166,8 +167,8 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     """Exact interpolated quantiles for groups of any size.
 
     The built-in ``percentile`` keeps a whole group's values in one task. Here
-    equal values are merged before the shuffle, the rest is split by a monotone
-    value bucket, and only bucket totals are scanned per group.
+    equal values are merged before the shuffle, the rest is split by sampled
+    ranges, and only range totals are scanned per group.
     """
     ranked = cumulative_counts(df, keys, value)
     wanted = F.array(
@@ -192,20 +193,15 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probs: dict[str,
     return hit.where(lo_in | hi_in).groupBy(*keys).agg(*aggs)
 
 
-def value_bucket(value) -> Column:
-    """A monotone bucket of a double: logarithmic steps, mirrored below zero."""
-    v = col(value)
-    size = F.floor(F.log(F.abs(v) + F.lit(1e-9)) * 128).cast("long") + 4096
-    return F.when(v >= 0, size).otherwise(-size - 1)
-
-
 def cumulative_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Distinct values with ``n``, the rows ``before`` them and the group ``total``."""
-    distinct = (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, value_bucket(value).alias("bucket"), value)
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    """Distinct values with ``n``, the rows ``before`` them and the group ``total``.
+
+    The distinct values are dealt out by sampled ranges of (keys, value), so
+    neither a large group nor a narrow range of values meets in one task; the
+    ranges are written down once, as their numbers must not change on a retry.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    distinct = cut_lineage(counted.repartitionByRange(*keys, value).withColumn("bucket", F.spark_partition_id()))
     inside = Window.partitionBy(*keys, "bucket").orderBy(value)
     local = distinct.withColumn(
         "in_bucket", F.sum("n").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")

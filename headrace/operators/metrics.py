@@ -139,7 +139,7 @@ BLOCK = 4096
 def error_cdf(errors: DataFrame, keys=("model",)) -> DataFrame:
     """One row per observation: sorted error and rank / n.
 
-    A model may own a third of all rows, so ranks come from value buckets (see
+    A model may own a third of all rows, so ranks come from ranges of values (see
     ``cumulative_counts``) rather than from one sorted partition per model, and
     a value repeated very often is expanded in blocks spread over the cluster.
     """
