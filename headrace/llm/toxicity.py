@@ -7,7 +7,7 @@ while a later model is trained: each of ``FOLDS`` parts of the sample is
 predicted by a model that has not seen it. When documents are scored, earlier
 categories come from the models fitted on the whole sample.
 
-The fit is bounded: at most ``SAMPLE`` labelled rows with and as many without
+The fit is one task over a bounded sample: at most ``SAMPLE`` labelled rows with and as many without
 each category, chosen by a hash of the id over the whole table of labels. Only
 features that at least ``MIN_DOCS`` training rows hold and whose rates differ by
 ``MIN_Z`` standard errors enter a model. Scoring reads whole texts, block by
@@ -23,19 +23,19 @@ replaced.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import ALNUM, LOWER, _BYTE, add_column, bytes_of, mix, powers, word_bounds, words
+from .text import ALNUM, LOWER, _BYTE, add_column, bounded, bytes_of, mix, powers, word_bounds, words
 
 #: Bound of the fit: labelled rows with and without each category. Folds, selection of features, penalty, steps.
-SAMPLE, FOLDS, MIN_DOCS, MIN_Z, PENALTY, STEPS = 3000, 3, 4, 3.0, 1e-4, 200
+SAMPLE, FOLDS, MIN_DOCS, MIN_Z, PENALTY, STEPS = 1500, 3, 4, 3.0, 1e-4, 200
 #: Lengths of word beginnings in bytes, probability from which a document is rejected.
 PREFIXES, REJECT = (4, 5, 6), 0.5
 
@@ -113,15 +113,35 @@ def fit(rows: int, doc: np.ndarray, feature: np.ndarray, earlier: np.ndarray, y:
     return Linear(float(params[1][0]), names, params[0], params[2])
 
 
-def fit_chain(texts: pa.Array, labels: np.ndarray, fold: np.ndarray) -> list[Linear]:
-    """A model per category (column of ``labels``, nan: unknown) in chain order."""
-    rows = len(texts)
-    doc, feature = features(texts)
+def _distinct(doc: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.lexsort((feature, doc))
     doc, feature = doc[order], feature[order]
     new = np.ones(doc.size, bool)
-    new[1:] = (np.diff(doc) > 0) | (np.diff(feature) > 0) if doc.size else new[1:]
-    doc, feature = doc[new], feature[new]
+    new[1:] = (doc[1:] != doc[:-1]) | (feature[1:] != feature[:-1])
+    return doc[new], feature[new]
+
+
+def training_features(texts: pa.Array, step: int = 500) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, feature) pairs of features that at least ``MIN_DOCS`` texts hold."""
+    docs, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for i in range(0, len(texts), step):
+        d, f = _distinct(*features(texts.slice(i, step)))
+        docs.append((d + i).astype(np.int32))
+        found.append(f)
+    doc, feature = np.concatenate(docs), np.concatenate(found)
+    del docs, found
+    order = np.argsort(feature, kind="stable")
+    doc, feature = doc[order], feature[order]
+    first = np.flatnonzero(np.concatenate(([True], feature[1:] != feature[:-1]))) if feature.size else np.zeros(0, np.int64)
+    size = np.diff(np.append(first, feature.size))
+    often = np.repeat(size >= MIN_DOCS, size)
+    return doc[often], feature[often]
+
+
+def fit_chain(texts: pa.Array, labels: np.ndarray, fold: np.ndarray) -> list[Linear]:
+    """A model per category (column of ``labels``, nan: unknown) in chain order."""
+    rows = len(texts)
+    doc, feature = training_features(texts)
     earlier, models = np.zeros((rows, 0)), []
     for k in range(labels.shape[1]):
         y, known = np.nan_to_num(labels[:, k]), ~np.isnan(labels[:, k])
@@ -146,10 +166,21 @@ def sample_labels(labels: DataFrame, categories: dict[str, Column], key: str = "
 
 def train(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], key: str = "doc_id", text: str = "text") -> list[Linear]:
     few = sample_labels(labels, categories, key)  # at most 2 * SAMPLE rows a category: bounded, so it may be broadcast
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(few), "k").toPandas()
-    rows = rows.sort_values(["h", "k", "t"], kind="stable", ignore_index=True)
-    y = rows[[f"y{i}" for i in range(len(categories))]].to_numpy(float)
-    return fit_chain(pa.array(rows["t"].where(pd.notna(rows["t"]), None), pa.string()), y, (rows["h"].to_numpy(np.int64) % FOLDS))
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(few), "k").repartition(1).sortWithinPartitions("h", "k", "t")
+    bounded(rows)
+    n = len(categories)
+
+    def run(batches):
+        batches = list(batches)
+        got = (pa.Table.from_batches(batches) if batches else schema.empty_table()).combine_chunks()
+        y = np.column_stack([got[f"y{i}"].to_numpy(zero_copy_only=False) for i in range(n)]).astype(float)
+        models = fit_chain(got["t"].combine_chunks() if got.num_rows else pa.array([], pa.string()), y, got["h"].to_numpy() % FOLDS)
+        yield pa.RecordBatch.from_pydict({"models": pa.array([pickle.dumps(models)], pa.binary())})
+
+    rows = rows.select("h", "t", *[f"y{i}" for i in range(n)])
+    schema = pa.schema([("h", pa.int64()), ("t", pa.string()), *[(f"y{i}", pa.float64()) for i in range(n)]])
+    found = rows.mapInArrow(run, "models binary").collect()
+    return pickle.loads(found[0]["models"]) if found else fit_chain(pa.array([], pa.string()), np.zeros((0, n)), np.zeros(0))
 
 
 def score(docs: DataFrame, models: list[Linear], name: str = "toxicity", text: str = "text") -> DataFrame:
