@@ -1,26 +1,33 @@
 """Exact Jaccard join of word shingles by prefixes under several token orders.
 
-Two sets with similarity t or more share a token among the first
-n - ceil(t n) + 1 of each, whatever the order of tokens. One order ranks tokens by
-frequency and then by hash; it proposes candidates for the whole corpus. The
-proposals are grouped into clusters (connected candidates), and inside a cluster
-a pair is verified only if it also shares prefix tokens under every further
-order of ``ORDERS`` and its lengths fit; the filters are intersected before
-sets are compared.
+Two sets with similarity t or more have at least o = ceil(t n) tokens in common
+(n: the larger size). So, whatever the order of tokens, the first n - o + l tokens
+of each share at least l, and for l = 1 at least one: the prefix filter. Longer
+prefixes are used under a hash order, ordinary ones under an order by rarity, and
+further orders inside groups; a pair is verified if it passes all of them.
 
 Steps, all tables in the shared folder:
 
-1. One pass over the texts: set sizes, and the shingles that several documents
-   of a block share, whose counts are summed. The ``HEAVY`` most frequent ones
-   (a bounded broadcast) rank last, all others by hash.
-2. A second pass packs each document's prefix, under that order, by token
-   bucket. A bucket is read in pieces; each token links its documents to the
-   smallest one, so a token of m documents gives m - 1 proposals, not pairs.
-3. Components of the proposals are the clusters. Equal texts are one node.
-4. Sets of clustered nodes meet in groups of at most two blocks of about
-   ``BLOCK`` tokens; a larger cluster is several blocks and every pair of its
-   blocks a group. Links are counted, and a spanning forest of them goes on.
-5. Components of the links are the classes.
+1. Hash order, l = n / 20: one pass over the texts packs these prefixes by token.
+   Per text the tokens are counted that another text's prefix holds too; texts
+   with fewer than l have no partner and leave (a passage that many texts share
+   does not keep a text alive).
+2. The sets of the others are stored, once for equal texts. Of their longer
+   hash-order prefix (l = n / 4, half the tokens) the document frequencies are
+   counted, and its tokens are ordered by them, rarest first. The prefix filter on
+   that order links each token's texts to the smallest one: m texts give m - 1
+   proposals. Components of the proposals are clusters.
+3. Sets of a cluster meet in groups of at most two blocks of about ``BLOCK``
+   tokens; a larger cluster is several blocks, and every pair of its blocks a
+   group. There a pair must share prefix tokens under every order of ``ORDERS``
+   and fit in length; the filters are intersected, then sets are compared. Links
+   are counted, and a spanning forest of them goes on.
+4. Components of the links are the classes.
+
+Everything between texts travels as packed arrays by token bucket and is read in
+pieces, so a token of any number of texts is handled in bounded memory. The only
+broadcast is a bitmap of fixed size over hashes of the texts left by step 1; it
+saves shuffling the others and decides nothing.
 
 Defined cases: a text without words has an empty set and links with nothing, not
 even another empty one; fewer words than a shingle are one shingle; rows with
@@ -39,11 +46,13 @@ from ..session import cut_lineage
 from .components import components
 from .text import LOWER, NOT_SPACE, add_column, blocks, bounded, bytes_of, mix, runs, shingles, word_bounds, words
 
-#: Words per shingle, similarity as a fraction, bound of the frequency table, least count in a block to be noted.
-SHINGLE, NUM, DEN, HEAVY, NOTED = 5, 3, 4, 1 << 20, 3
-#: Tokens of a block in verification, prefix tokens of a bucket, prefix tokens handled at once.
-BLOCK, BUCKET, PIECE = 1_500_000, 1_000_000, 2_000_000
-#: Further token orders inside clusters: salts of the hash, and whether rare tokens go first.
+#: Words per shingle, similarity as a fraction.
+SHINGLE, NUM, DEN = 5, 3, 4
+#: Divisors of the set size that give l for the two hash-order prefixes; bits of the bitmap (log2).
+FIRST_L, SECOND_L, BITMAP = 20, 4, 24
+#: Tokens of a block in verification, tokens of a bucket, tokens handled at once.
+BLOCK, BUCKET, PIECE = 1_500_000, 1_000_000, 1_000_000
+#: Token orders inside groups: salts of the hash, and whether rare tokens go first.
 ORDERS = ((0x51, True), (0xA7, True), (0xC3, False))
 
 
@@ -59,107 +68,226 @@ def shingle_sets(texts: pa.Array, q: int = SHINGLE) -> tuple[np.ndarray, np.ndar
     return np.concatenate(out) if out else h[:0], np.array([x.size for x in out], np.int64)
 
 
-def prefix_size(n: np.ndarray) -> np.ndarray:
-    return np.where(n > 0, n - -(-n * NUM // DEN) + 1, 0)
+def least_l(n: np.ndarray, divisor: int) -> np.ndarray:
+    """The number of common prefix tokens a set of ``n`` wants for itself."""
+    return np.maximum(n // divisor, 1)
+
+
+def shared_l(n: np.ndarray, divisor: int) -> np.ndarray:
+    """What it shares with any partner: the partner may be smaller and want fewer."""
+    return least_l(-(-n * NUM // DEN), divisor)
+
+
+def prefix_size(n: np.ndarray, l: np.ndarray | int = 1) -> np.ndarray:
+    return np.where(n > 0, np.minimum(n - -(-n * NUM // DEN) + l, n), 0)
+
+
+def _pack(bucket: np.ndarray, fields: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """One row per bucket with the bytes of each field, in the order given."""
+    order = np.argsort(bucket, kind="stable")
+    bucket = bucket[order]
+    first = np.flatnonzero(np.concatenate(([True], np.diff(bucket) > 0))) if bucket.size else np.zeros(0, np.int64)
+    ends = np.append(first[1:], bucket.size)[: first.size]
+    out = [pa.array(bucket[first].astype(np.int64))]
+    for v in fields.values():
+        v = v[order]
+        out.append(pa.array([v[a:b].tobytes() for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary()))
+    return pa.RecordBatch.from_arrays(out, ["bucket", *fields])
+
+
+def _kind(fields) -> str:
+    return ", ".join(["bucket long", *(f"{f} binary" for f in fields)])
+
+
+def _pieces(batches, kinds: dict[str, str]):
+    """(bucket, arrays) in pieces of about ``PIECE`` entries; rows come sorted by bucket."""
+    now, held, size = None, [], 0
+    for batch in batches:
+        for b, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if held and (b != now or size >= PIECE):
+                yield now, [np.concatenate(x) for x in zip(*held, strict=True)]
+                held, size = [], 0
+            now = b
+            held.append([np.frombuffer(x, k) for x, k in zip(raw, kinds.values(), strict=True)])
+            size += held[-1][0].size
+    if held:
+        yield now, [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where sorted keys change."""
+    if not keys[0].size:
+        return np.zeros(0, np.int64)
+    new = np.zeros(keys[0].size - 1, bool)
+    for k in keys:
+        new |= k[1:] != k[:-1]
+    return np.flatnonzero(np.concatenate(([True], new)))
 
 
 def survey(docs: DataFrame) -> DataFrame:
-    """Per document (d, h, m, n), and rows (token, seen) for shingles shared inside a block."""
-    bounded(docs)
+    """Documents (d, h, m) with the size of their set, n."""
+    return add_column(docs.select("d", "h", "m", "t"), "n", "long", "t", lambda b: pa.array(shingle_sets(b.column(b.schema.get_field_index("t")))[1])).drop("t")
 
-    def run(batches):
-        for batch in batches:
-            for part in blocks(batch, "t"):
-                flat, n = shingle_sets(part.column(3))
-                token, seen = np.unique(flat, return_counts=True)
-                often = seen >= NOTED
-                k, rows = int(often.sum()), part.num_rows
-                empty = lambda t: pa.nulls(k, t)
-                yield pa.RecordBatch.from_arrays([
-                    pa.concat_arrays([c, empty(c.type)]) for c in part.columns[:3]] + [
-                    pa.concat_arrays([pa.array(n), empty(pa.int64())]),
-                    pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(token[often].view(np.int64))]),
-                    pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(seen[often].astype(np.int64))]),
-                ], ["d", "h", "m", "n", "token", "seen"])
-
-    return docs.select("d", "h", "m", "t").mapInArrow(run, "d long, h long, m string, n long, token long, seen long")
-
-
-def heavy_tokens(surveyed: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The most frequent shingles, at most ``HEAVY``, sorted, and their counts."""
-    rows = surveyed.filter("token is not null").groupBy("token").agg(F.sum("seen").alias("n")).orderBy(F.desc("n"), "token").limit(HEAVY).toPandas()
-    token, n = rows["token"].to_numpy(np.int64).view(np.uint64), rows["n"].to_numpy(np.int64)
-    order = np.argsort(token)
-    return token[order], n[order]
-
-
-def proposals(docs: DataFrame, heavy: tuple[np.ndarray, np.ndarray], buckets: int) -> DataFrame:
-    """Edges (a, b) between text hashes that share a prefix token of the first order."""
-    box = docs.sparkSession.sparkContext.broadcast(heavy)
+
+def shared_tokens(docs: DataFrame, buckets: int) -> DataFrame:
+    """(h, c): tokens of the first hash-order prefix that another text's prefix holds too (or more)."""
     bounded(docs)
 
     def prefixes(batches):
-        token, count = box.value
         for batch in batches:
             for part in blocks(batch, "t"):
                 flat, n = shingle_sets(part.column(1))
-                owner = np.repeat(np.arange(n.size), n)
-                if token.size and flat.size:
-                    at = np.minimum(np.searchsorted(token, flat), token.size - 1)
-                    rank = np.where(token[at] == flat, count[at], 0)
-                    order = np.argsort(owner * (int(count.max()) + 1) + rank, kind="stable")
-                    flat = flat[order]
-                take = runs(np.cumsum(n) - n, prefix_size(n))
-                flat, owner = flat[take], owner[take]
-                if not flat.size:
+                k = prefix_size(n, least_l(n, FIRST_L))
+                flat, ids = flat[runs(np.cumsum(n) - n, k)], np.repeat(np.asarray(part.column(0)), k)
+                # The token's low half: equal halves only count more.
+                yield _pack((flat >> np.uint64(32)) % np.uint64(buckets), {"token": flat.astype(np.uint32), "id": ids})
+
+    def count(batches):
+        bucket, carry = None, None
+        for b, (token, ids) in _pieces(batches, {"token": "<u4", "id": "<i8"}):
+            if b != bucket:
+                bucket, carry = b, (np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool))
+            token, ids = np.concatenate((carry[0], token)), np.concatenate((carry[1], ids))
+            old = np.concatenate((carry[2], np.zeros(token.size - carry[2].size, bool)))
+            order = np.lexsort((~old, ids, token))
+            token, ids, old = token[order], ids[order], old[order]
+            own = _starts(token, ids)
+            token, ids, old = token[own], ids[own], old[own]
+            first = _starts(token)
+            size = np.diff(np.append(first, token.size))
+            several = (size > 1) | np.logical_or.reduceat(old, first)
+            who, c = np.unique(ids[np.repeat(several, size) & ~old], return_counts=True)
+            carry = token[first], ids[first], several
+            if who.size:
+                yield pa.RecordBatch.from_arrays([pa.array(who), pa.array(c.astype(np.int64))], ["h", "c"])
+
+    packed = docs.select("h", "t").mapInArrow(prefixes, _kind(["token", "id"]))
+    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(count, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+
+
+def sets_of(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """(node, m, h, n, copies, tokens) of the kept texts (h, m, node, n, copies)."""
+    known = kept.select(F.pmod("h", F.lit(1 << BITMAP)).alias("v")).distinct()
+    packed = known.groupBy(F.shiftright("v", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(v % 64 as int)))").alias("x")).toPandas()
+    full = np.zeros((1 << BITMAP) // 64, np.int64)
+    full[packed["w"].to_numpy(np.int64)] = packed["x"].to_numpy(np.int64)
+    box = docs.sparkSession.sparkContext.broadcast(full.view(np.uint8))
+    bounded(docs)
+
+    def run(batches):
+        bits = np.unpackbits(box.value, bitorder="little").astype(bool)
+        for batch in batches:
+            near = bits[np.asarray(batch.column(1)) & ((1 << BITMAP) - 1)]
+            few = batch.filter(pa.array(near))
+            for part in blocks(few, "t"):
+                flat, n = shingle_sets(part.column(3))
+                ends = np.cumsum(n)
+                raw = [flat[b - k : b].tobytes() for b, k in zip(ends.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(raw, pa.binary())], ["d", "m", "tokens"])
+
+    found = docs.select("d", "h", "m", "t").mapInArrow(run, "d long, m string, tokens binary")
+    return found.join(kept.select(F.col("node").alias("d"), "m", "h", "n", "copies"), ["d", "m"]).withColumnRenamed("d", "node")
+
+
+def proposals(sets: DataFrame, buckets: int) -> DataFrame:
+    """Edges (a, b) between hashes of texts that share a token of the prefix by rarity; ``node`` is such a hash here."""
+
+    def long_prefix(batch: pa.RecordBatch):
+        n = np.asarray(batch.column(1))
+        k = prefix_size(n, least_l(n, SECOND_L))
+        flat = np.concatenate([np.frombuffer(x.as_buffer(), "<u8")[:i] for x, i in zip(batch.column(2), k.tolist(), strict=True)]) if len(n) else np.zeros(0, np.uint64)
+        return flat, np.repeat(np.asarray(batch.column(0)), k), np.repeat(n, k)
+
+    def counts(batches):
+        for batch in batches:
+            token, seen = np.unique(long_prefix(batch)[0], return_counts=True)
+            yield _pack((token >> np.uint64(32)) % np.uint64(buckets), {"token": token, "node": seen.astype(np.int64), "n": np.zeros(token.size, np.uint32)})
+
+    def sums(batches):
+        bucket, have = None, None
+        out = lambda: _pack(np.full(have[0].size, bucket), {"token": have[0], "node": have[1], "n": np.zeros(have[0].size, np.uint32)})
+        for b, (token, seen, _) in _pieces(batches, {"token": "<u8", "node": "<i8", "n": "<u4"}):
+            if b != bucket:
+                if have is not None:
+                    yield out()
+                bucket, have = b, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            token, of = np.unique(np.concatenate((have[0], token)), return_inverse=True)
+            have = token, np.bincount(of, np.concatenate((have[1], seen)), minlength=token.size).astype(np.int64)
+        if have is not None:
+            yield out()
+
+    def postings(batches):
+        for batch in batches:
+            flat, node, n = long_prefix(batch)
+            yield _pack((flat >> np.uint64(32)) % np.uint64(buckets), {"token": flat, "node": node, "n": n.astype(np.uint32)})
+
+    def answer(batches):
+        """Frequencies come first in each bucket; each posting of a shared token is sent to its node."""
+        bucket, df = None, None
+        for batch in batches:
+            for b, kind, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                token, node, n = (np.frombuffer(x, k) for x, k in zip(raw, ("<u8", "<i8", "<u4"), strict=True))
+                if kind == 0:
+                    bucket, df = b, (token, node)
                     continue
-                bucket = (flat >> np.uint64(32)) % np.uint64(buckets)
-                order = np.argsort(bucket, kind="stable")
-                bucket, flat = bucket[order], flat[order]
-                ids = np.asarray(part.column(0))[owner[order]]
-                first = np.flatnonzero(np.concatenate(([True], np.diff(bucket) > 0)))
-                ends = np.append(first[1:], bucket.size)
-                # The token's low half and the text's hash: equal halves only propose more.
-                low = flat.astype(np.uint32)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(bucket[first].astype(np.int64)),
-                    pa.array([low[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
-                    pa.array([ids[a:b].tobytes() for a, b in zip(first, ends, strict=True)], pa.binary()),
-                ], ["bucket", "tokens", "ids"])
+                assert b == bucket, "no frequencies for this bucket"
+                f = df[1][np.searchsorted(df[0], token)]
+                own = f > 1
+                token, node, n, f = token[own], node[own], n[own], np.minimum(f[own], 1 << 31)
+                yield _pack(mix(node.view(np.uint64)) % np.uint64(buckets), {"token": token, "node": node, "n": n, "f": f.astype(np.uint32)})
+
+    def choose(batches):
+        """The prefix by rarity of each node, packed by token again. Buckets of nodes are held whole: sets are bounded by texts."""
+        held = []
+        now = None
+
+        def close():
+            token, node, n, f = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((token, f, n, node))
+            token, node, n = token[order], node[order], n[order].astype(np.int64)
+            first = _starts(node, n)
+            size = np.diff(np.append(first, node.size))
+            n = n[first]
+            long = prefix_size(n, least_l(n, SECOND_L))
+            take = np.clip(long - shared_l(n, SECOND_L) + 1 - (long - size), 0, size)  # tokens of frequency 1 go first
+            at = runs(first, take)
+            yield _pack((token[at] >> np.uint64(32)) % np.uint64(buckets), {"token": token[at], "node": node[at]})
 
-    def link(batches):
-        now, held, size = None, [], 0
-        carry = (np.zeros(0, np.uint32), np.zeros(0, np.int64))
         for batch in batches:
-            for b, t, i in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != now or size >= PIECE:
-                    carry, out = _star(held, carry)
-                    yield from out
-                    held, size = [], 0
-                    if b != now:
-                        now, carry = b, (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-                held.append((np.frombuffer(t, np.uint32), np.frombuffer(i, np.int64)))
-                size += held[-1][0].size
-        yield from _star(held, carry)[1]
-
-    packed = docs.select("h", "t").mapInArrow(prefixes, "bucket long, tokens binary, ids binary")
-    return packed.repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(link, "a long, b long").distinct()
-
-
-def _star(held: list, carry: tuple[np.ndarray, np.ndarray]) -> tuple[tuple[np.ndarray, np.ndarray], list[pa.RecordBatch]]:
-    """Link each token's ids to their smallest, known ones (``carry``) included."""
-    if not held:
-        return carry, []
-    token = np.concatenate([carry[0], *(x[0] for x in held)])
-    ids = np.concatenate([carry[1], *(x[1] for x in held)])
-    order = np.lexsort((ids, token))
-    token, ids = token[order], ids[order]
-    first = np.flatnonzero(np.concatenate(([True], np.diff(token) > 0)))
-    least = np.repeat(ids[first], np.diff(np.append(first, token.size)))
-    far = ids != least
-    pairs = np.unique(np.stack([ids[far], least[far]], 1), axis=0)
-    out = [pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])] if len(pairs) else []
-    return (token[first], ids[first]), out
+            for b, *raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and b != now:
+                    yield from close()
+                    held = []
+                now = b
+                held.append([np.frombuffer(x, k) for x, k in zip(raw, ("<u8", "<i8", "<u4", "<u4"), strict=True)])
+        if held:
+            yield from close()
+
+    def link(batches):
+        bucket, carry = None, None
+        for b, (token, node) in _pieces(batches, {"token": "<u8", "node": "<i8"}):
+            if b != bucket:
+                bucket, carry = b, (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            token, node = np.concatenate((carry[0], token)), np.concatenate((carry[1], node))
+            order = np.lexsort((node, token))
+            token, node = token[order], node[order]
+            first = _starts(token)
+            least = np.repeat(node[first], np.diff(np.append(first, token.size)))
+            far = node != least
+            pairs = np.unique(np.stack([node[far], least[far]], 1), axis=0)
+            carry = token[first], node[first]
+            if len(pairs):
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+    own = sets.select(F.col("h").alias("node"), "n", "tokens")
+    bounded(own)
+    fields = _kind(["token", "node", "n"])
+    deal = lambda x, *by: x.repartition(buckets, "bucket").sortWithinPartitions("bucket", *by)
+    df = deal(own.mapInArrow(counts, fields)).mapInArrow(sums, fields).select("bucket", F.lit(0).alias("kind"), "token", "node", "n")
+    both = df.unionByName(own.mapInArrow(postings, fields).select("bucket", F.lit(1).alias("kind"), "token", "node", "n"))
+    answers = deal(both, "kind").mapInArrow(answer, _kind(["token", "node", "n", "f"]))
+    chosen = deal(answers).mapInArrow(choose, _kind(["token", "node"]))
+    return deal(chosen).mapInArrow(link, "a long, b long").distinct()
 
 
 def verified(sets: list[np.ndarray], sides: np.ndarray) -> list[tuple[int, int]]:
@@ -220,11 +348,12 @@ def _forest(n: int, pairs: list[tuple[int, int]]) -> list[int]:
 def links(members: DataFrame) -> DataFrame:
     """(a, b, links): per node of a group its forest root there and the documents it links with.
 
-    ``members``: c, lo, hi (the group), block, node, copies, tokens; sorted by group in each partition.
+    ``members``: c, lo, hi (the group), block, node, copies, tokens, m; sorted by group in each partition.
+    Repeated rows of a text are taken once.
     """
 
     def run(batches):
-        key, group = None, []
+        key, group, seen = None, [], set()
 
         def close():
             if len(group) < 2:
@@ -246,8 +375,10 @@ def links(members: DataFrame) -> DataFrame:
             for c, lo, hi, *rest in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if (c, lo, hi) != key:
                     yield from close()
-                    key, group = (c, lo, hi), []
-                group.append(rest)
+                    key, group, seen = (c, lo, hi), [], set()
+                if (rest[1], rest[4]) not in seen:
+                    seen.add((rest[1], rest[4]))
+                    group.append(rest)
         yield from close()
 
     return members.mapInArrow(run, "a long, b long, links long")
@@ -257,19 +388,22 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """One row per input row: doc_id, n_shingles, component_id (smallest linked id), n_links (documents it links with)."""
     rows = docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     rows = rows.select("d", F.xxhash64("t").alias("h"), F.md5("t").alias("m"), "t")
-    surveyed = cut_lineage(survey(rows))
-    known = surveyed.filter("n is not null")
+    known = cut_lineage(survey(rows))
     total = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    buckets = max(16, -(-total * (DEN - NUM) // DEN // BUCKET))
-    clusters = cut_lineage(components(proposals(rows.filter("d is not null"), heavy_tokens(surveyed), buckets)))
-
+    buckets = max(16, -(-total // (2 * BUCKET)))
+    live = rows.filter("d is not null")
+    shared = shared_tokens(live, buckets)
     nodes = known.filter("d is not null and n > 0").groupBy("h", "m").agg(F.min("d").alias("node"), F.max("n").alias("n"), F.count_distinct("d").alias("copies"))
-    inside = cut_lineage(nodes.join(clusters, F.col("h") == F.col("id")).select("h", "m", "node", "n", "copies", F.col("root").alias("c")))
-    sizes = inside.groupBy("c").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("nb"))
-    placed = inside.join(sizes, "c").withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int"))
-    sets = rows.join(placed.select(F.col("node").alias("d"), "m", "c", "block", "nb", "copies"), ["d", "m"]).dropDuplicates(["d", "m"])
-    sets = add_column(sets, "tokens", "binary", "t", _packed).drop("t")
-    groups = sets.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("c", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block", F.col("d").alias("node"), "copies", "tokens")
+    enough = F.greatest(F.floor(F.ceil(F.col("n") * NUM / DEN) / FIRST_L), F.lit(1))
+    kept = cut_lineage(nodes.join(shared, "h").filter(F.col("c") >= enough).drop("c"))
+    sets = cut_lineage(sets_of(live, kept))
+
+    clusters = components(proposals(sets, buckets)).select(F.col("id").alias("h"), F.col("root").alias("c"))
+    placed = cut_lineage(kept.join(clusters, "h").select("node", "m", "n", "c"))
+    sizes = placed.groupBy("c").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("nb"))
+    placed = placed.join(sizes, "c").withColumn("block", F.pmod(F.xxhash64("node"), F.col("nb")).cast("int")).drop("n")
+    groups = sets.join(placed, ["node", "m"]).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    groups = groups.select("c", F.least("block", "o").alias("lo"), F.greatest("block", "o").alias("hi"), "block", "node", "copies", "tokens", "m")
     found = cut_lineage(links(groups.repartition("c", "lo", "hi").sortWithinPartitions("c", "lo", "hi")))
 
     classes = components(found.select("a", "b").unionByName(_same_id(known)))
@@ -282,12 +416,6 @@ def jaccard_classes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     )
 
 
-def _packed(batch: pa.RecordBatch) -> pa.Array:
-    flat, n = shingle_sets(batch.column(batch.schema.get_field_index("t")))
-    ends = np.cumsum(n)
-    return pa.array([flat[b - k : b].tobytes() for b, k in zip(ends.tolist(), n.tolist(), strict=True)], pa.binary())
-
-
 def _same_id(known: DataFrame) -> DataFrame:
     """Edges between the nodes of different texts under one id."""
     live = known.filter("d is not null and n > 0")
