@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import settings as S
 from ..functions.expr import add_hours
 from ..functions.rollout_kernel import batches
+from ..session import cut_lineage
 from .outage import array_median
 from .slices import at_hour, daily_arrays, with_origin_days
 
@@ -30,9 +31,23 @@ NO_CALIBRATION = {
 }
 
 
-def whole_cascade(site_dim: DataFrame, name: str = "main") -> DataFrame:
-    """All sites of one cascade, all of them forecast."""
-    return site_dim.select(F.lit(name).alias("cascade"), "site", "upstream_site", "capacity", F.lit(True).alias("live"))
+def whole_cascade(site_dim: DataFrame) -> DataFrame:
+    """Every site in the cascade it belongs to, named by its uppermost site; all of them forecast.
+
+    Each round doubles how far up a site looks, so a chain of n sites takes
+    log2(n) rounds over the table of sites. A site whose upstream one is unknown
+    is an uppermost one.
+    """
+    top = cut_lineage(site_dim.alias("s").join(site_dim.select(F.col("site").alias("u")), F.col("s.upstream_site") == F.col("u"), "left").select("site", F.coalesce("u", "site").alias("top")))
+    for _ in range(32):
+        above = top.select(F.col("site").alias("top"), F.col("top").alias("next"))
+        further = cut_lineage(top.join(above, "top").select("site", F.col("next").alias("top"), (F.col("next") != F.col("top")).alias("moved")))
+        top = further.select("site", "top")
+        if further.where("moved").isEmpty():
+            break
+    else:
+        raise ValueError("the sites' upstream links form a circle")
+    return site_dim.join(top, "site").select(F.col("top").alias("cascade"), "site", "upstream_site", "capacity", F.lit(True).alias("live"))
 
 
 def single_sites(site_dim: DataFrame) -> DataFrame:

@@ -199,3 +199,12 @@ def test_trees_take_many_sites_and_missing_inputs(spark):
     model = M.random_forest(df, ["a", "b"], (3, 3, 1, "all"))
     out = M.predict_delta(model, df.unionByName(spark.createDataFrame([("new", None, None, 0.0)], df.schema)))
     assert out.count() == 401 and out.columns == [*df.columns, "delta"] and out.where("delta is null").count() == 0
+
+
+def test_cascades_are_connected_sites(spark):
+    rows = [("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "d"), ("x", None), ("y", "x"), ("z", "gone")]
+    dim = spark.createDataFrame([(s, u, 1.0, 1) for s, u in rows], "site string, upstream_site string, capacity double, ordinal int")
+    got = {r.site: r.cascade for r in J.whole_cascade(dim).collect()}
+    assert got == {**dict.fromkeys("abcde", "a"), "x": "x", "y": "x", "z": "z"}
+    with pytest.raises(ValueError):
+        J.whole_cascade(spark.createDataFrame([("a", "c", 1.0, 1), ("b", "a", 1.0, 1), ("c", "b", 1.0, 1)], dim.schema))
