@@ -90,7 +90,7 @@ def reads_of(data: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def collect_reads(docs: DataFrame, buckets: int) -> DataFrame:
-    """Rows (bucket, reads): packed reads of all texts. ``docs``: d, t, text."""
+    """Rows (bucket, n, reads): packed reads of all texts, in buckets from ``buckets`` on those known to be repeats. ``docs``: d, t, text."""
     bounded(docs)
 
     def run(batches):
@@ -106,8 +106,15 @@ def collect_reads(docs: DataFrame, buckets: int) -> DataFrame:
                     found.append((g % np.uint64(buckets), x))
                 if not found:
                     continue
-                bucket = np.concatenate([b for b, _ in found])
+                bucket = np.concatenate([b for b, _ in found]).astype(np.int64)
                 reads = np.concatenate([x for _, x in found])
+                # A read that an earlier one of this block equals is a repeat already: large groups of copies shrink here.
+                order = _order(reads, bucket)
+                lead, same = _leads(reads[order], bucket[order])
+                later = np.ones(order.size, bool)
+                later[lead] = False
+                own = order[later & ~same]
+                bucket[own] = buckets + own % buckets
                 order = np.argsort(bucket, kind="stable")
                 bucket, reads = bucket[order], reads[order]
                 first = np.flatnonzero(np.concatenate(([True], np.diff(bucket) > 0)))
@@ -128,16 +135,32 @@ def _unpack(n: int, raw: bytes) -> np.ndarray:
     return out
 
 
+def _order(x: np.ndarray, bucket: np.ndarray | int = 0) -> np.ndarray:
+    """By gram, content, document and start."""
+    return np.lexsort((x["s"], x["t"], x["d"], x["r"], x["g"], np.broadcast_to(bucket, x.size)))
+
+
+def _leads(x: np.ndarray, bucket: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the earliest read of each gram and content in ordered reads; which reads equal it in place too.
+
+    Equal rows bring the same start twice: that is not a repeat of itself.
+    """
+    b = np.broadcast_to(bucket, x.size)
+    new = np.ones(x.size, bool)
+    new[1:] = (b[1:] != b[:-1]) | (x["g"][1:] != x["g"][:-1]) | (x["r"][1:] != x["r"][:-1])
+    first = np.flatnonzero(new)
+    lead = np.repeat(first, np.diff(np.append(first, x.size)))
+    return first, (x["d"] == x["d"][lead]) & (x["t"] == x["t"][lead]) & (x["s"] == x["s"][lead])
+
+
 def _fold(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(earliest read of each gram and content, all others)."""
     x = np.concatenate(held)
-    x = x[np.lexsort((x["s"], x["t"], x["d"], x["r"], x["g"]))]
-    new = np.ones(x.size, bool)
-    new[1:] = (np.diff(x["g"].astype(np.int64)) != 0) | (x["r"][1:] != x["r"][:-1])
-    lead = np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), x.size)))
-    # Equal rows bring the same start twice: not a repeat of itself.
-    same = (x["d"] == x["d"][lead]) & (x["t"] == x["t"][lead]) & (x["s"] == x["s"][lead])
-    return x[new], x[~new & ~same]
+    x = x[_order(x)]
+    first, same = _leads(x)
+    later = ~same
+    later[first] = False
+    return x[first], x[later]
 
 
 KIND = "g long, m int, d long, t int, s long, n int, p int"
@@ -173,6 +196,9 @@ def match_reads(packed: DataFrame, buckets: int) -> DataFrame:
 
         for batch in batches:
             for b, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b >= buckets:
+                    yield _rows(_unpack(n, raw), 0)
+                    continue
                 if b != now:
                     if now is not None:
                         yield from close()
