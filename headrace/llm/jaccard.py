@@ -51,7 +51,7 @@ SHINGLE, NUM, DEN = 5, 3, 4
 #: Divisors of the set size that give l for the two hash-order prefixes; bits of the bitmap (log2).
 FIRST_L, SECOND_L, BITMAP = 20, 4, 24
 #: Tokens of a block in verification, tokens of a bucket, tokens handled at once.
-BLOCK, BUCKET, PIECE = 1_500_000, 1_000_000, 1_000_000
+BLOCK, BUCKET, PIECE = 1_000_000, 1_000_000, 1_000_000
 #: Token orders inside groups: salts of the hash, and whether rare tokens go first.
 ORDERS = ((0x51, True), (0xA7, True), (0xC3, False))
 

@@ -46,7 +46,7 @@ from ..session import cut_lineage, shared_folder
 from .text import blocks, bounded
 
 #: Ids per data frame, zstandard level, id that ends a document, entries of each cache of a worker.
-FRAME_IDS, LEVEL, END_ID, CACHE = 1 << 16, 3, 0, 400_000
+FRAME_IDS, LEVEL, END_ID, CACHE = 1 << 16, 3, 0, 200_000
 SKIP_INDEX, SKIP_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
