@@ -9,10 +9,11 @@ earlier (smaller document id, or the same document at a smaller start).
    windows choose the same gram at the same offset, so they meet in reads with
    the same gram. Reads are packed by a hash of their gram; equal reads are
    counted together at once, all but the earliest are repeats as a whole.
-2. Reads of a gram that has several different reads are looked up again in the
-   texts and meet in groups of at most ``GROUP`` reads. The starts of a more
-   frequent gram are dealt to several groups by a hash of their window, so one
-   passage in any number of documents is spread, and no start is lost.
+2. Reads of a gram that has several different reads, at most ``GROUP`` of them, are
+   looked up again in the texts and meet in one group. The starts of a gram with
+   more reads meet by a 128-bit digest of their window instead: the earliest of a
+   digest is found by an aggregation that combines before the shuffle, so one
+   passage in any number of documents, whatever its neighbours, is no group.
 3. In a group, every shard of ``SHARD`` bytes gets its own suffix order and
    transform. The shards are merged by refining their interleave: one round
    sorts the suffixes stably by one more leading symbol, following the
@@ -173,18 +174,29 @@ def _rows(x: np.ndarray, m: np.ndarray | int, bucket: int = 0) -> pa.RecordBatch
 
 
 def match_reads(packed: DataFrame, buckets: int) -> DataFrame:
-    """Rows of repeated reads (m = 0), and of reads to compare with others of their gram (m groups)."""
+    """Rows of repeated reads (m = 0), of reads to compare with the others of their gram (m = 1), at most ``GROUP`` a gram, and of reads of other grams to compare window by window (m = 2)."""
+    most = GROUP
 
     def run(batches):
-        now, held, size, lead = None, [], 0, np.zeros(0, READ)
+        now, held, size, lead, often = None, [], 0, np.zeros(0, READ), np.zeros(0, np.uint32)
 
         def fold():
-            nonlocal held, size, lead
+            nonlocal held, size, lead, often
             if held:
-                lead, rest = _fold([lead, *held])
+                new = np.concatenate(held)
                 held, size = [], 0
+                known = np.isin(new["g"], often)
+                if known.any():
+                    yield _rows(new[known], 2, now)
+                lead, rest = _fold([lead, new[~known]])
                 if rest.size:
                     yield _rows(rest, 0)
+                g, count = np.unique(lead["g"], return_counts=True)
+                if (many := g[count > most]).size:
+                    # Not held any longer: a gram may have any number of different reads.
+                    gone = np.isin(lead["g"], many)
+                    yield _rows(lead[gone], 2, now)
+                    lead, often = lead[~gone], np.concatenate((often, many))
 
         def close():
             yield from fold()
@@ -192,7 +204,7 @@ def match_reads(packed: DataFrame, buckets: int) -> DataFrame:
                 _, of, count = np.unique(lead["g"], return_inverse=True, return_counts=True)
                 several = count[of] > 1
                 if several.any():
-                    yield _rows(lead[several], -(-count[of][several] // GROUP), now)
+                    yield _rows(lead[several], 1, now)
 
         for batch in batches:
             for b, n, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -202,7 +214,7 @@ def match_reads(packed: DataFrame, buckets: int) -> DataFrame:
                 if b != now:
                     if now is not None:
                         yield from close()
-                    now, lead = b, np.zeros(0, READ)
+                    now, lead, often = b, np.zeros(0, READ), np.zeros(0, np.uint32)
                 held.append(_unpack(n, raw))
                 size += n
                 if size >= BUCKET:
@@ -214,7 +226,7 @@ def match_reads(packed: DataFrame, buckets: int) -> DataFrame:
 
 
 def read_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (g, sub, p, d, t, s, starts, bytes): the wanted reads with their texts' bytes."""
+    """Rows (g, m, p, d, t, s, starts, bytes): the wanted reads with their texts' bytes."""
     lists = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("g", "m", "s", "n", "p")).alias("w"))
     joined = docs.join(lists, ["d", "t"]).dropDuplicates(["d", "t"]).select("d", "t", "text", "w")
     bounded(joined)
@@ -225,19 +237,33 @@ def read_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 data = np.frombuffer(text.as_buffer(), np.uint8)
                 out = []
                 for g, m, s, n, p in zip(*(w.values.field(f).to_pylist() for f in ("g", "m", "s", "n", "p")), strict=True):
-                    part = data[s : s + n + LENGTH - 1]
-                    if m == 1:
-                        out.append((g, 0, p, s, np.arange(n, dtype=np.uint16).tobytes(), part.tobytes()))
-                    else:
-                        at = np.arange(n)
-                        sub = (_hash(_sums(part), at, at + LENGTH) % np.uint64(m)).astype(np.int64)
-                        out += [(g, int(k), p, s, np.flatnonzero(sub == k).astype(np.uint16).tobytes(), part.tobytes()) for k in np.unique(sub)]
+                    out.append((g, m, p, s, np.arange(n, dtype=np.uint16).tobytes(), data[s : s + n + LENGTH - 1].tobytes()))
                 if out:
-                    g, k, p, s, starts, raw = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(k, pa.int32()), pa.array(p, pa.int32()), pa.array([d.as_py()] * len(g), pa.int64()), pa.array([t.as_py()] * len(g), pa.int32()),
-                                                      pa.array(s, pa.int64()), pa.array(starts, pa.binary()), pa.array(raw, pa.binary())], ["g", "sub", "p", "d", "t", "s", "starts", "bytes"])
+                    g, m, p, s, starts, raw = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(m, pa.int32()), pa.array(p, pa.int32()), pa.array([d.as_py()] * len(g), pa.int64()), pa.array([t.as_py()] * len(g), pa.int32()),
+                                                      pa.array(s, pa.int64()), pa.array(starts, pa.binary()), pa.array(raw, pa.binary())], ["g", "m", "p", "d", "t", "s", "starts", "bytes"])
 
-    return joined.mapInArrow(run, "g long, sub int, p int, d long, t int, s long, starts binary, bytes binary")
+    return joined.mapInArrow(run, "g long, m int, p int, d long, t int, s long, starts binary, bytes binary")
+
+
+def windows_of(reads: DataFrame) -> DataFrame:
+    """Rows (k, d, t, s): every start of the reads with a digest of its window."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(3).to_pylist()
+            n = np.array([len(x) - LENGTH + 1 for x in texts], np.int64)
+            d, t, s = (np.asarray(c) for c in batch.columns[:3])
+            keys = [hashlib.blake2b(x[i : i + LENGTH], digest_size=16).digest() for x in texts for i in range(len(x) - LENGTH + 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.repeat(d, n)), pa.array(np.repeat(t, n)), pa.array(runs(s, n))], ["k", "d", "t", "s"])
+
+    return reads.select("d", "t", "s", "bytes").mapInArrow(run, "k binary, d long, t int, s long")
+
+
+def later_windows(windows: DataFrame) -> DataFrame:
+    """(d, t, s, n): the starts whose window also starts earlier. A frequent window is combined before the shuffle, and its join may be split."""
+    least = windows.groupBy("k").agg(F.min(F.struct("d", "t", "s")).alias("e"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("k", "e")
+    return windows.join(cut_lineage(least), "k").filter(F.struct("d", "t", "s") > F.col("e")).select("d", "t", "s", F.lit(1).alias("n"))
 
 
 def transform(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -364,11 +390,11 @@ def compare(reads: DataFrame) -> DataFrame:
     def run(batches):
         key, group, held, size = None, [], [], 0
         for batch in batches:
-            for g, sub, *x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (g, sub) != key:
+            for g, *x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if g != key:
                     held += (more := related(group))
                     size += sum(len(y[4]) + 1 for y in more)
-                    key, group = (g, sub), []
+                    key, group = g, []
                     if size >= MERGE:
                         yield from _marks(repeats(held))
                         held, size = [], 0
@@ -394,9 +420,13 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     buckets = max(16, -(-2 * total // (_SPAN + 1) // BUCKET))
     found = cut_lineage(match_reads(collect_reads(rows, buckets), buckets))
     wanted = found.filter("m > 0")
-    size = wanted.agg(F.coalesce(F.sum(F.col("n") + LENGTH), F.lit(0)).alias("n")).first()["n"]
-    groups = read_bytes(rows, wanted).repartition(max(16, -(-size // MERGE)), "g", "sub").sortWithinPartitions("g", "sub")
+    size = wanted.filter("m = 1").agg(F.coalesce(F.sum(F.col("n") + LENGTH), F.lit(0)).alias("n")).first()["n"]
+    reads = cut_lineage(read_bytes(rows, wanted))
+    groups = reads.filter("m = 1").drop("m").repartition(max(16, -(-size // MERGE)), "g").sortWithinPartitions("g")
     marks = found.filter("m = 0").select("d", "t", "s", "n").unionByName(compare(groups))
+    often = reads.filter("m = 2")
+    if not often.isEmpty():
+        marks = marks.unionByName(later_windows(windows_of(often)))
     lists = marks.groupBy("d", "t").agg(F.collect_list(F.struct("s", "n")).alias("w"))
     joined = rows.join(lists, ["d", "t"], "left").select("id", "text", "w")
     bounded(joined)

@@ -56,6 +56,25 @@ def test_passages_runs_and_odd_rows(spark, monkeypatch, small):
     assert suffix.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_one_passage_with_thousands_of_neighbours(spark, monkeypatch):
+    groups, compare = [], suffix.compare
+
+    def seen(reads):
+        groups.append(reads.groupBy("g").count().agg(F.max("count")).first()[0] or 0)
+        return compare(reads)
+
+    monkeypatch.setattr(suffix, "compare", seen)
+    monkeypatch.setattr(suffix, "GROUP", 40)
+    rnd = random.Random(6)
+    text = lambda n: "".join(rnd.choice("abcde ") for _ in range(n))
+    passage, rare = text(220), text(180)
+    rows = [(i, text(70) + passage + text(70)) for i in range(3000)] + [(4000 + i, text(50) + rare + text(50)) for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = suffix.remove_repeats(df)
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in got.collect()), key=str) == brute(keyed(df))
+    assert 0 < groups[0] <= 40
+
+
 def test_merge_gives_order_and_common_prefixes():
     rnd = random.Random(9)
     reads = ["".join(rnd.choice("ab") for _ in range(rnd.randint(1, 40))) for _ in range(30)]
