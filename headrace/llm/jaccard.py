@@ -356,7 +356,8 @@ def links(members: DataFrame) -> DataFrame:
         key, group, seen = None, [], set()
 
         def close():
-            if len(group) < 2:
+            # Between two blocks one of which has no set of the cluster there is nothing to compare: pairs of a block are counted in its own group.
+            if len(group) < 2 or key[1] != key[2] and len({x[0] for x in group}) < 2:
                 return
             node = np.array([x[1] for x in group], np.int64)
             pairs = verified([np.frombuffer(x[3], np.uint64) for x in group], np.array([x[0] for x in group]))

@@ -65,6 +65,19 @@ def test_drifting_copies_and_odd_rows(spark, monkeypatch, block):
     assert jaccard.jaccard_classes(df.limit(0)).count() == 0
 
 
+def test_links_of_blocks_are_counted_once(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 120)
+    rows = []
+    for i in range(10):  # two or three long near copies in two blocks or three, of which some stay empty
+        w = [f"w{i}_{j}" for j in range(100)]
+        rows += [(10 * i + k, " ".join([*w[: 99 - k], f"x{k}"])) for k in range(2 + i % 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = jaccard.jaccard_classes(df).collect()
+    want, n = brute(rows)
+    assert sorted((tuple(r)[:3] for r in got), key=str) == want
+    assert {r.doc_id: r.n_links for r in got} == n
+
+
 def test_components(spark):
     rnd = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 40)] + [(rnd.randrange(100, 200), rnd.randrange(100, 200)) for _ in range(60)] + [(300 + i, 299) for i in range(50)]
