@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_text, jaccard, lang_id, mixing, quality, suffix, tokens, toxicity
+from . import chat, decontaminate, filter_audit, html_text, jaccard, lang_id, mixing, quality, suffix, tokens, toxicity
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -97,3 +97,12 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    return filter_audit.audit(docs, table(spark, sf_dir, "labels"))
+
+
+ORACLE["op13_filter_audit"] = filter_audit.SQL
