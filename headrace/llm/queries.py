@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, filter_audit, html_text, jaccard, lang_id, mixing, quality, suffix, tokens, toxicity, turn_repair
+from . import chat, decontaminate, filter_audit, html_text, jaccard, lang_id, mixing, quality, secret_scan, suffix, tokens, toxicity, turn_repair
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -108,6 +108,11 @@ def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op13_filter_audit"] = filter_audit.SQL
 
 
+@query
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query
 def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turn_repair.damaged_and_repaired(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
