@@ -3,14 +3,18 @@
 A page is cut into blocks at block-level tags. The first pass decides what it
 can: blocks inside menus, footers, adverts, forms and the like, and blocks made
 of links, are boilerplate; longer blocks with enough stop words and few links
-are content; all others stay open. In the second pass an open block inherits
-the label of the nearest decided block of its own section (the innermost
-article or main element, else the body), the earlier one on a tie; a section
-without a decided block is content if it is an article or main element.
+are content; all others stay open. Where no block of a page has enough stop words
+(a language without a list) length and links decide alone. In the second pass an
+open block inherits the label of the nearest decided block of its own section (the
+innermost article or main element, else the body), the earlier one on a tie; a
+section without a decided block is content if it is an article or main element.
+
+Work is linear in the page: what an end tag ends is looked up by name.
 
 Defined cases: null or empty html has no text; unclosed elements end with their
-parent or the page; tags inside scripts, styles and comments are not markup;
-an unended comment or script runs to the end; repeated pages are handled row by
+parent or the page; tags inside scripts, styles and comments are not markup; a
+quote counts only at the start of an attribute's value; an unended comment or
+script runs to the end; repeated pages are handled row by
 row; other columns pass through, one called like the result is replaced.
 """
 
@@ -56,10 +60,13 @@ STOP = set(
     "de la que el en y a los del se las por un para con no una su al lo como más pero sus le ya o este sí porque esta entre cuando muy sin sobre también me hasta hay donde quien desde todo nos".split()
 )
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>[^>=]+|=(?:\s*(?:\"[^\"]*\"|'[^']*'))?+)*+)(?:>|\Z)", re.S)
 _MARK = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
+#: Letters of scripts that put no spaces between words; two of them count as a word.
+_DENSE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+_RAW_END = {name: re.compile(f"</{name}", re.I | re.A) for name in RAW}
 
 
 @dataclass
@@ -94,11 +101,20 @@ def cut_blocks(page: str) -> tuple[list[Block], dict[int, bool]]:
             found.append(now)
         now = Block(stack[-1][2], stack[-1][1])
 
+    #: Places of open elements: of each name, of block elements, of article and main elements.
+    places: dict[str, list[int]] = {}
+    opened, inner = [], [0]
+
     def close(to: int) -> None:
         block = any(x[0] in BLOCK or x[1] != stack[to - 1][1] for x in stack[to:])
         if block:
             flush()
+        for x in stack[to:]:
+            places[x[0]].pop()
         del stack[to:]
+        for of in (opened, inner):
+            while of and of[-1] >= to:
+                of.pop()
         if block:
             flush()
 
@@ -108,7 +124,7 @@ def cut_blocks(page: str) -> tuple[list[Block], dict[int, bool]]:
             if stack[-1][3]:
                 now.linked += len("".join(text.split()))
 
-    at, low = 0, None
+    at = 0
     while (m := _TOKEN.search(page, at)) is not None:
         add(page[at : m.start()])
         at = m.end()
@@ -116,38 +132,21 @@ def cut_blocks(page: str) -> tuple[list[Block], dict[int, bool]]:
         if not name:
             continue
         if m[1]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    close(i)
-                    break
-                if stack[i][0] in SECTION and name not in SECTION | {"body", "html"}:
-                    break
-            else:
-                if name in BLOCK:
+            if not places.get(name):
+                if name in BLOCK and len(inner) < 2:
                     flush()
+            elif places[name][-1] >= inner[-1] or name in SECTION | {"body", "html"}:
+                close(places[name][-1])
             continue
         if name in RAW:
             if not m[3].endswith("/"):
-                low = low or page.lower()
-                end = low.find(f"</{name}", at)
-                at = len(page) if end < 0 else (page.find(">", end) + 1 or len(page))
+                end = _RAW_END[name].search(page, at)
+                at = len(page) if end is None else (page.find(">", end.start()) + 1 or len(page))
             continue
         while len(stack) > 1 and name in ENDS.get(stack[-1][0], ()):
             close(len(stack) - 1)
-        if name in BLOCK and name != "p":
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
-        elif name == "p":
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    close(i)
-                    break
-                if stack[i][0] in BLOCK:
-                    break
+        if name in BLOCK and opened and stack[opened[-1]][0] == "p":
+            close(opened[-1])
         _, bad, section, link = stack[-1]
         if name in VOID:
             if name == "br":
@@ -163,6 +162,11 @@ def cut_blocks(page: str) -> tuple[list[Block], dict[int, bool]]:
         if name in SECTION and not bad:
             section = len(sections)
             sections[section] = True
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            opened.append(len(stack))
+        if name in SECTION:
+            inner.append(len(stack))
         stack.append((name, bad or own, section, link or name == "a"))
         if name in BLOCK or own:
             now = Block(section, bad or own)
@@ -181,6 +185,7 @@ def main_text(page: str | None) -> str:
         b.text = " ".join(html.unescape("".join(b.parts)).split())
         if b.text:
             kept.append(b)
+    long = []
     for b in kept:
         words = _WORD.findall(b.text.lower())
         links = b.linked / max(1, len(b.text) - b.text.count(" "))
@@ -188,6 +193,11 @@ def main_text(page: str | None) -> str:
             b.label = False
         elif len(words) >= LONG_WORDS and sum(w in STOP for w in words) >= STOP_SHARE * len(words):
             b.label = True
+        elif len(words) >= LONG_WORDS or not b.text.isascii() and len(words) + len(_DENSE.findall(b.text)) // 2 >= LONG_WORDS:
+            long.append(b)
+    if not any(b.label for b in kept):
+        for b in long:
+            b.label = True
     decided: dict[int, list[int]] = {}
     for i, b in enumerate(kept):
         if b.label is not None and not b.bad:

@@ -7,8 +7,9 @@ dictionary; the language with the smallest total wins. The margin to the second
 is relative to the second; a text is rejected where it is below ``MARGIN``.
 
 The dictionaries are the only thing learned, from at most ``SAMPLE`` labelled
-texts a language of ``SAMPLE_BYTES``, chosen by a hash of the id and taken whole
-until ``DICTIONARY`` bytes are full: the bound on labelled rows.
+texts a language, those of ``SAMPLE_BYTES`` before shorter and longer ones, else in
+the order of a hash of the id, until ``DICTIONARY`` bytes are full: the bound on
+labelled rows.
 
 Defined cases: a text without a letter (null or empty too) is ``und`` with score
 0 and rejected; languages that tie are taken in order of their name; a null
@@ -19,32 +20,35 @@ result is replaced.
 
 from __future__ import annotations
 
-import re
-
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .text import add_column
 
-#: Bound of the fit: texts a language, least and most bytes of such a text, bytes a dictionary. Then bytes of a stretch, zstandard level, least margin.
+#: Bound of the fit: texts a language, least and most bytes of a text that is taken first, bytes a dictionary. Then bytes of a stretch, zstandard level, least margin.
 SAMPLE, SAMPLE_BYTES, DICTIONARY, STRETCH, LEVEL, MARGIN = 120, (200, 4000), 160_000, 4096, 9, 0.02
 UNKNOWN = "und"
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+#: Marks stay with their letters, numbers of any form go.
+_NOT_LETTERS = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def fold(text: str | None) -> str:
-    return _NOT_LETTERS.sub(" ", text or "").strip().lower()
+    """Lower-case letters and single spaces; empty without a letter."""
+    folded = _NOT_LETTERS.sub(" ", text or "").strip().lower()
+    return folded if folded[:1].isalpha() or _LETTER.search(folded) else ""
 
 
 def dictionaries(docs: DataFrame, labelled: Column, text: str = "text", lang: str = "lang", key: str = "doc_id") -> dict[str, bytes]:
     """Dictionary content per language from a bounded sample of the labelled rows."""
-    rows = docs.filter(labelled & F.col(lang).isNotNull() & F.col(text).isNotNull() & F.octet_length(text).between(*SAMPLE_BYTES))
-    order = Window.partitionBy("lang").orderBy("h", "t")
+    rows = docs.filter(labelled & F.col(lang).isNotNull() & F.col(text).isNotNull())
+    order = Window.partitionBy("lang").orderBy("far", "h", "t")
     few = (
-        rows.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string"), F.lit("sample")).alias("h"), F.col(text).alias("t"))
+        rows.select(F.col(lang).alias("lang"), F.xxhash64(F.col(key).cast("string"), F.lit("sample")).alias("h"), (~F.octet_length(text).between(*SAMPLE_BYTES)).alias("far"), F.substring(text, 1, DICTIONARY).alias("t"))
         .withColumn("r", F.row_number().over(order)).filter(F.col("r") <= SAMPLE).toPandas()
     )
     out = {}

@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -43,3 +44,31 @@ def test_odd_rows(spark):
     assert got.columns == ["page_id", "url", "html", "text"]
     assert sorted((r.page_id or 0, r.text) for r in got.collect()) == [(0, "x"), (1, ""), (1, ""), (3, ""), (4, "")]
     assert html_text.extract_text(df.limit(0)).count() == 0
+
+
+RU = "Это длинный абзац русского текста который содержит много слов и не имеет никаких ссылок внутри себя вообще совсем"
+
+
+def test_pages_without_known_stop_words():
+    t = html_text.main_text
+    assert t(f"<body><nav><a href=x>{RU}</a></nav><p>{RU}</p><p>кратко</p><footer>{RU}</footer></body>") == f"{RU} кратко"
+    assert t(f"<div><p>{RU}</p><p><a href=x>{RU}</a></p><p>{'长' * 60}</p></div>") == f"{RU} {'长' * 60}"
+    # Stop words found: a long block without them is undecided and follows its neighbour.
+    assert t(f"<div><p>{LONG}</p><div class=ad>{RU}</div></div>") == LONG
+
+
+def test_no_text_is_lost():
+    t = html_text.main_text
+    # Characters that lower() lengthens before a script.
+    assert t(f"<article><p>{'İ' * 20}</p><SCRIPT>var x = 1</Script ><p>next paragraph</p></article>") == f"{'İ' * 20} next paragraph"
+    # Quotes inside an unquoted value, beside a name, or around '>'.
+    assert t("<article><p title=it's>one</p><p data-x=a\"b>two</p><p ' class=\"x > y\">three</p><p title='a\"b>c'>four</p>") == "one two three four"
+    assert t("<article>5 < 6 &lt; 7<p>x</article>") == "5 < 6 < 7 x"
+
+
+def test_deep_nesting_is_linear():
+    n = 60_000
+    for page in ("<span>" * n + "</b>" * n, "<b>" * n + "<article>" + "<i>" * n + "</b>" * n, "<p>" * n, "<div><p>" * n, "<a b=\"" * n, "<ul><li>" * n + "</p>" * n, "<table><tr><td>" * n):
+        start = time.time()
+        html_text.main_text(page + "<article>x")
+        assert time.time() - start < 20

@@ -28,3 +28,20 @@ def test_odd_rows(spark):
     none = lang_id.dictionaries(docs.limit(0), F.lit(True))
     assert {r.language.lang for r in lang_id.identify(df, none).collect()} == {"und"}
     assert lang_id.identify(df.limit(0), content).count() == 0
+
+
+def test_numbers_are_no_letters():
+    content = {"de": b"der hund und die katze ", "en": b"the dog and the cat "}
+    code = lang_id.Classifier(content)
+    for text in ("²³", "½ ①", "Ⅷ ٣", "\u0301", "_", "中"):
+        assert (code.predict(text)["lang"] == "und") == (text != "中")
+    assert lang_id.fold("Über-all x² 9 e\u0301t\u00e9") == "über all x e\u0301t\u00e9"
+
+
+def test_languages_with_only_short_or_long_texts_are_learned(spark):
+    rows = [(i, "der hund und die katze", "de") for i in range(5)] + [(10 + i, "the dog and the cat " * 1000, "en") for i in range(3)]
+    rows += [(20 + i, "le chien et le chat de la maison " * 20, "fr") for i in range(3)] + [(30, "le mot", "fr")]
+    content = lang_id.dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True))
+    assert set(content) == {"de", "en", "fr"}
+    assert max(map(len, content.values())) <= lang_id.DICTIONARY and content["fr"].endswith(b"le mot")
+    assert lang_id.Classifier(content).predict("die katze und der hund")["lang"] == "de"
