@@ -61,7 +61,7 @@ class Template:
     """Ids of a byte-level vocabulary plus the reserved ones."""
 
     def __init__(self, file: str):
-        self.code = Encoder(file)
+        self.code = Encoder(file, special=False)
         self.bytes = id_bytes(self.code.tokenizer)
         self.base = len(self.bytes)
 

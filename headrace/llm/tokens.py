@@ -20,8 +20,8 @@ manifest, a Spark table, lists the files of tasks that succeeded: a task that
 is run again leaves an unlisted file, never a wrong one.
 
 Defined cases: a null text is an empty document (only the end id); null ids come
-first; rows with the same id are all written, ordered by a hash of the text; an
-empty table gives an empty manifest; other columns are not looked at.
+first; rows with the same id are all written, ordered by a hash of the text; the
+string of a special token in a text becomes its id, as the library has it; an empty table gives an empty manifest; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -50,53 +50,82 @@ FRAME_IDS, LEVEL, END_ID, CACHE = 1 << 16, 3, 0, 200_000
 SKIP_INDEX, SKIP_SEEK, SEEK_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 
 
+#: Marks that end a word and are a piece of their own there.
+MARKS = frozenset(",.;:!?)]}\"")
+
 # The pre-tokeniser's pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Encoder:
-    """Ids of whole texts; strings of special tokens inside a text are ordinary text.
+    """Ids of whole texts, as the library gives them with ``add_special_tokens=False``.
+
+    Texts that hold the string of a special token go to the library as they are;
+    with ``special=False`` such strings are ordinary text.
 
     The pre-tokeniser's pieces are encoded one by one, so equal pieces are given
     to the tokenizer's model once and kept. The pre-tokeniser never joins what
     stands before a single space with what follows if neither neighbour of the
     space is white space: such texts are split at their spaces, and the ids of
-    whole words with what clings to them are kept as well. Both caches are
-    emptied when they reach ``CACHE`` entries (twice that for words).
+    whole words with what clings to them are kept as well; the same holds for a
+    single line feed, and a mark behind a word is a piece of its own. Each cache
+    has two generations of ``CACHE`` entries: what is still in use outlives the other.
     """
 
-    def __init__(self, file: str):
+    def __init__(self, file: str, special: bool = True):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(file)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
         self.tokenize = self.tokenizer.model.tokenize
         self.split = regex.compile(PATTERN).findall
         self.letters = {b: c for c, b in byte_letters().items()}
         self.chunks: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
+        self.old_chunks, self.old_pieces = self.chunks, self.pieces
 
     def piece(self, p: str) -> bytes:
         got = self.pieces.get(p)
         if got is None:
-            got = array("I", [t.id for t in self.tokenize(p.encode().decode("latin-1").translate(self.letters))]).tobytes()
+            got = self.old_pieces.get(p)
+            if got is None:
+                got = array("I", [t.id for t in self.tokenize(p.encode().decode("latin-1").translate(self.letters))]).tobytes()
             if len(self.pieces) >= CACHE:
-                self.pieces.clear()
+                self.pieces, self.old_pieces = {}, self.pieces
             self.pieces[p] = got
         return got
 
     def text(self, text: str) -> bytes:
         return b"".join(map(self.piece, self.split(text)))
 
+    def word(self, c: str) -> bytes:
+        """Ids of a space and ``c``."""
+        if c.isalpha():
+            return self.piece(" " + c)
+        if c[-1:] in MARKS and c[:-1].isalpha():
+            return self.piece(" " + c[:-1]) + self.piece(c[-1])
+        if "\n" in c:
+            first, *rest = c.split("\n")
+            if all(x and x == x.strip() for x in (first, *rest)):
+                return self.chunk(first) + b"".join([self.piece("\n") + (self.piece(x) if x.isalpha() else self.text(x)) for x in rest])
+        return self.text(" " + c)
+
     def chunk(self, c: str) -> bytes:
-        got = self.piece(" " + c) if c.isalpha() else self.text(" " + c)
-        if len(self.chunks) >= 2 * CACHE:
-            self.chunks.clear()
-        self.chunks[c] = got
+        got = self.chunks.get(c)
+        if got is None:
+            got = self.old_chunks.get(c)
+            if got is None:
+                got = self.word(c)
+            if len(self.chunks) >= CACHE:
+                self.chunks, self.old_chunks = {}, self.chunks
+            self.chunks[c] = got
         return got
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids of a text."""
+        if any(x in text for x in self.special):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         cut = text.split(" ")
         # strip() gives back the same object where no white space stands beside a space.
         if "" in cut or cut != list(map(str.strip, cut)):

@@ -16,7 +16,6 @@ def want(rows):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(FILE)
-    t.encode_special_tokens = True
     start, out = 0, []
     for d, text in rows:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], "<u4").tobytes()
@@ -40,6 +39,26 @@ def test_odd_rows(spark, tmp_path):
     assert empty.count() == 0 and tokens.read_token_files(empty).count() == 0
 
 
+def test_odd_texts_equal_the_library():
+    from tokenizers import Tokenizer
+
+    code, library = tokens.Encoder(FILE), Tokenizer.from_file(FILE)
+    assert np.frombuffer(code.encode("a <|endoftext|> b"), "<u4").tolist() == [64, 220, 50256, 275]
+    parts = ["word", "two.", "it's", "dogs'", "\n", " ", "x\ny", "a.\nB,", "\n\n", "\t", "é", "漢字", "12", "3.", "\x85", "\u2028", "...", '"q"', "'", "'ll", "end?\n", "\nstart", "<|endoftext|>", "<|endof", "ª", "²", "\r\n", ")", "a)"]
+    rng = np.random.default_rng(1)
+    for size in (1, 2, 3, 4, 6, 12) * 400:
+        text = rng.choice(["", " "]).join(rng.choice(parts, size))
+        assert np.frombuffer(code.encode(text), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, repr(text)
+    plain = tokens.Encoder(FILE, special=False)
+    assert 50256 not in np.frombuffer(plain.encode("a <|endoftext|> b"), "<u4")
+
+
+def test_small_caches_change_nothing(monkeypatch):
+    want = tokens.Encoder(FILE).batch(texts := [f"w{i % 7} some word{i} ends.\nNext, {i}" for i in range(200)])
+    monkeypatch.setattr(tokens, "CACHE", 3)
+    assert tokens.Encoder(FILE).batch(texts) == want
+
+
 def test_reader_opens_only_needed_frames_and_sees_damage(tmp_path):
     docs = [np.arange(n, dtype="<u4").tobytes() for n in (5, 300_000, 1, 70_000, 0)]
     path = tmp_path / "x.zst"
