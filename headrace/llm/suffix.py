@@ -17,16 +17,18 @@ earlier (smaller document id, or the same document at a smaller start).
 3. In a group, every shard of ``SHARD`` bytes gets its own suffix order and
    transform. The shards are merged by refining their interleave: one round
    sorts the suffixes stably by one more leading symbol, following the
-   transforms' last-to-first maps, and notes where neighbours part. After
-   ``LENGTH`` rounds the intervals without a parting are the strings of that
-   length that occur more than once; no suffix of the merged text is sorted
-   again. The earliest start of an interval stays, the others are repeats.
+   transforms' last-to-first maps, and notes where neighbours part. An interval
+   left with one suffix is retired, and a suffix is followed only from the depth
+   on at which a whole window can still grow from it. After ``LENGTH`` rounds the
+   intervals left are the strings of that length that occur more than once; no
+   suffix of the merged text is sorted again. The earliest start of an interval
+   stays, the others are repeats.
 4. Repeated starts are gathered per document and cover its bytes.
 
 Defined cases: a null text is empty; texts shorter than ``LENGTH`` stay; matches
 never cross documents; a null id comes first; rows with equal ids are ordered by a
-hash of the text, and equal rows are judged alike, as one document; an empty table
-gives no rows; other columns are not looked at.
+hash of the text that tells them apart, and equal rows are judged alike, as one
+document; an empty table gives no rows; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -36,7 +38,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
@@ -49,7 +51,7 @@ _SPAN = LENGTH - GRAM + 1
 SIDE = (LENGTH - GRAM + 1) // 2
 _FIRST = -(1 << 63)
 
-READ = np.dtype([("g", "<u4"), ("r", "<u8"), ("d", "<i8"), ("t", "<i4"), ("s", "<u4"), ("n", "u1"), ("p", "u1")])
+READ = np.dtype([("g", "<u4"), ("r", "<u8"), ("d", "<i8"), ("t", "<i8"), ("s", "<u4"), ("n", "u1"), ("p", "u1")])
 _POWERS = [powers(PIECE + LENGTH + 1), powers(PIECE + LENGTH + 1, np.uint64(pow(int(_STEP), -1, 1 << 64)))]
 
 
@@ -164,7 +166,7 @@ def _fold(held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return x[first], x[later]
 
 
-KIND = "g long, m int, d long, t int, s long, n int, p int"
+KIND = "g long, m int, d long, t long, s long, n int, p int"
 
 
 def _rows(x: np.ndarray, m: np.ndarray | int, bucket: int = 0) -> pa.RecordBatch:
@@ -226,7 +228,7 @@ def match_reads(packed: DataFrame, buckets: int) -> DataFrame:
 
 
 def read_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Rows (g, m, p, d, t, s, starts, bytes): the wanted reads with their texts' bytes."""
+    """Rows (g, m, p, d, t, s, bytes): the wanted reads with their texts' bytes."""
     lists = wanted.groupBy("d", "t").agg(F.collect_list(F.struct("g", "m", "s", "n", "p")).alias("w"))
     joined = docs.join(lists, ["d", "t"]).dropDuplicates(["d", "t"]).select("d", "t", "text", "w")
     bounded(joined)
@@ -237,13 +239,13 @@ def read_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 data = np.frombuffer(text.as_buffer(), np.uint8)
                 out = []
                 for g, m, s, n, p in zip(*(w.values.field(f).to_pylist() for f in ("g", "m", "s", "n", "p")), strict=True):
-                    out.append((g, m, p, s, np.arange(n, dtype=np.uint16).tobytes(), data[s : s + n + LENGTH - 1].tobytes()))
+                    out.append((g, m, p, s, data[s : s + n + LENGTH - 1].tobytes()))
                 if out:
-                    g, m, p, s, starts, raw = zip(*out, strict=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(m, pa.int32()), pa.array(p, pa.int32()), pa.array([d.as_py()] * len(g), pa.int64()), pa.array([t.as_py()] * len(g), pa.int32()),
-                                                      pa.array(s, pa.int64()), pa.array(starts, pa.binary()), pa.array(raw, pa.binary())], ["g", "m", "p", "d", "t", "s", "starts", "bytes"])
+                    g, m, p, s, raw = zip(*out, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(g, pa.int64()), pa.array(m, pa.int32()), pa.array(p, pa.int32()), pa.array([d.as_py()] * len(g), pa.int64()), pa.array([t.as_py()] * len(g), pa.int64()),
+                                                      pa.array(s, pa.int64()), pa.array(raw, pa.binary())], ["g", "m", "p", "d", "t", "s", "bytes"])
 
-    return joined.mapInArrow(run, "g long, m int, p int, d long, t int, s long, starts binary, bytes binary")
+    return joined.mapInArrow(run, "g long, m int, p int, d long, t long, s long, bytes binary")
 
 
 def windows_of(reads: DataFrame) -> DataFrame:
@@ -257,7 +259,7 @@ def windows_of(reads: DataFrame) -> DataFrame:
             keys = [hashlib.blake2b(x[i : i + LENGTH], digest_size=16).digest() for x in texts for i in range(len(x) - LENGTH + 1)]
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.repeat(d, n)), pa.array(np.repeat(t, n)), pa.array(runs(s, n))], ["k", "d", "t", "s"])
 
-    return reads.select("d", "t", "s", "bytes").mapInArrow(run, "k binary, d long, t int, s long")
+    return reads.select("d", "t", "s", "bytes").mapInArrow(run, "k binary, d long, t long, s long")
 
 
 def later_windows(windows: DataFrame) -> DataFrame:
@@ -296,49 +298,55 @@ def transform(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return order, before, to
 
 
-def merge(shards: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Merge the transforms of shards (data, ends): (shard, position, common prefix with the one before, at most ``LENGTH``)."""
+def merge(shards: list[tuple[np.ndarray, np.ndarray]], length: int | None = None, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Merge the transforms of shards (data, ends): (shard, position, interval) of the suffixes with a common prefix of ``length``.
+
+    Round d refines the interleave of the shards from d - 1 leading symbols to d:
+    suffixes are taken one symbol further left through their transform's map, and a
+    stable sort by that symbol orders them. An interval of one suffix is
+    retired: whatever is put before it stays alone. ``least`` tells for each suffix,
+    shard after shard, the depth at which it is wanted first (a window of
+    ``length`` is reached through ``length`` suffixes, each wanted at its own depth).
+    """
+    length = LENGTH if length is None else length
     parts = [transform(*x) for x in shards]
     sizes = np.array([x[0].size for x in parts])
     base = np.cumsum(sizes) - sizes
     order = np.concatenate([x[0] for x in parts])
     symbol = np.concatenate([x[1] for x in parts]).astype(np.uint16)
     to = np.concatenate([np.where(x[2] >= 0, x[2] + b, -1) for x, b in zip(parts, base, strict=True)]).astype(np.int32)
-    shard = np.repeat(np.arange(len(parts)), sizes)
+    shard = np.repeat(np.arange(len(parts), dtype=np.int32), sizes)
     del parts
-    # Suffixes of no symbol but the end: first of each shard, all different.
-    tips = np.concatenate([b + np.arange(e.size) for b, (_, e) in zip(base, shards, strict=True)])
-    k, n = tips.size, order.size
-    rest = np.ones(n, bool)
-    rest[tips] = False
-    now = np.concatenate((tips, np.flatnonzero(rest))).astype(np.int32)  # the interleave: shard after shard
-    block = np.zeros(n, np.int32)  # by no symbol yet
-    common = np.full(n, LENGTH, np.int16)
-    common[: k + 1] = 0
-    for depth in range(1, LENGTH + 1):
+    # By no symbol yet: all suffixes are one interval, shard after shard.
+    now, block = np.arange(order.size, dtype=np.int32), np.zeros(order.size, np.int32)
+    depth_of = None if least is None else least[base[shard] + order]
+    for depth in range(1, length + 1):
         s = symbol[now]
-        by = np.argsort(s, kind="stable")
-        by = by[int((s == 0).sum()) :]
+        ahead = np.flatnonzero((s > 0) if depth_of is None else (s > 0) & (depth_of[to[now]] <= depth))
+        by = ahead[np.argsort(s[ahead], kind="stable")]
         s, was = s[by], block[by]
-        part = np.concatenate(([True], (np.diff(s) != 0) | (np.diff(was) != 0)))
-        now = np.concatenate((tips, to[now[by]])).astype(np.int32)
-        new = part & (common[k:] == LENGTH)
-        common[k:][new] = depth - 1
-        block = np.concatenate((np.arange(k), k - 1 + np.cumsum(part))).astype(np.int32)
-    return shard[now], order[now], common
+        part = np.ones(by.size, bool)
+        part[1:] = (s[1:] != s[:-1]) | (was[1:] != was[:-1])
+        alone = part.copy()
+        alone[:-1] &= part[1:]
+        stay = ~alone
+        now, block = to[now[by[stay]]], np.cumsum(part[stay], dtype=np.int32)
+        if now.size == 0:
+            break
+    return shard[now], order[now], block
 
 
-def repeats(reads: list[tuple[int, int, int, bytes, bytes]]) -> list[tuple[int, int, int]]:
-    """(d, t, start) of the starts in reads (d, t, s, starts, bytes) whose window also starts earlier."""
+def repeats(reads: list[tuple[int, int, int, bytes]]) -> list[tuple[int, int, int]]:
+    """(d, t, start) of the starts in reads (d, t, s, bytes) whose window also starts earlier."""
     shards, owners, held, size = [], [], [], 0
 
     def close():
         nonlocal held, size
         if held:
-            lens = np.array([len(reads[i][4]) + 1 for i in held])
+            lens = np.array([len(reads[i][3]) + 1 for i in held])
             ends = np.cumsum(lens) - 1
             data = np.zeros(int(lens.sum()), np.int32)
-            raw = np.frombuffer(b"".join(reads[i][4] for i in held), np.uint8).astype(np.int32) + 1
+            raw = np.frombuffer(b"".join(reads[i][3] for i in held), np.uint8).astype(np.int32) + 1
             inside = np.ones(data.size, bool)
             inside[ends] = False
             data[inside] = raw
@@ -348,21 +356,16 @@ def repeats(reads: list[tuple[int, int, int, bytes, bytes]]) -> list[tuple[int,
 
     for i, x in enumerate(reads):
         held.append(i)
-        size += len(x[4]) + 1
+        size += len(x[3]) + 1
         if size >= SHARD:
             close()
     close()
-    shard, place, common = merge(shards)
-    flat_owner = [np.repeat(o, np.diff(np.append(f, d.size))) for (o, f), (d, _) in zip(owners, shards, strict=True)]
-    flat_first = [np.repeat(f, np.diff(np.append(f, d.size))) for (_, f), (d, _) in zip(owners, shards, strict=True)]
+    flat_owner = np.concatenate([np.repeat(o, np.diff(np.append(f, d.size))) for (o, f), (d, _) in zip(owners, shards, strict=True)])
+    flat_offset = np.concatenate([np.arange(d.size) - np.repeat(f, np.diff(np.append(f, d.size))) for (_, f), (d, _) in zip(owners, shards, strict=True)])
     base = np.cumsum([0, *[d.size for d, _ in shards]])[:-1]
-    owner, offset = np.concatenate(flat_owner)[base[shard] + place], place - np.concatenate(flat_first)[base[shard] + place]
-    used = np.zeros((len(reads), max(len(x[4]) for x in reads) + 1), bool)
-    for i, x in enumerate(reads):
-        used[i, np.frombuffer(x[3], np.uint16)] = True
-    group = np.cumsum(common < LENGTH)
-    own = used[owner, offset]
-    group, owner, offset = group[own], owner[own], offset[own]
+    shard, place, group = merge(shards, least=LENGTH - flat_offset)
+    at = base[shard] + place
+    owner, offset = flat_owner[at], flat_offset[at]
     d, t, s = (np.array([x[i] for x in reads], np.int64) for i in range(3))
     d, t, s = d[owner], t[owner], s[owner] + offset
     order = np.lexsort((s, t, d, group))
@@ -373,12 +376,12 @@ def repeats(reads: list[tuple[int, int, int, bytes, bytes]]) -> list[tuple[int,
 
 
 def related(group: list[tuple]) -> list[tuple]:
-    """Reads (p, d, t, s, starts, bytes) of a gram that may share a window with another one.
+    """Reads (p, d, t, s, bytes) of a gram that may share a window with another one.
 
     A window holds ``SIDE`` bytes before the gram or as many behind it, so reads
     whose bytes on both sides are theirs alone are left out.
     """
-    sides = [(x[5][x[0] - SIDE : x[0]] if x[0] >= SIDE else b"", x[5][x[0] + GRAM : x[0] + GRAM + SIDE]) for x in group]
+    sides = [(x[4][x[0] - SIDE : x[0]] if x[0] >= SIDE else b"", x[4][x[0] + GRAM : x[0] + GRAM + SIDE]) for x in group]
     sides = [(a, b if len(b) == SIDE else b"") for a, b in sides]
     left, right = Counter(a for a, _ in sides), Counter(b for _, b in sides)
     return [x[1:] for x, (a, b) in zip(group, sides, strict=True) if a and left[a] > 1 or b and right[b] > 1]
@@ -393,7 +396,7 @@ def compare(reads: DataFrame) -> DataFrame:
             for g, *x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if g != key:
                     held += (more := related(group))
-                    size += sum(len(y[4]) + 1 for y in more)
+                    size += sum(len(y[3]) + 1 for y in more)
                     key, group = g, []
                     if size >= MERGE:
                         yield from _marks(repeats(held))
@@ -403,19 +406,39 @@ def compare(reads: DataFrame) -> DataFrame:
         if len(held) > 1:
             yield from _marks(repeats(held))
 
-    return reads.mapInArrow(run, "d long, t int, s long, n int")
+    return reads.mapInArrow(run, "d long, t long, s long, n int")
 
 
 def _marks(found: list[tuple[int, int, int]]):
     if found:
         d, t, s = zip(*found, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int32()), pa.array(s, pa.int64()), pa.array(np.ones(len(d), np.int32))], ["d", "t", "s", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(t, pa.int64()), pa.array(s, pa.int64()), pa.array(np.ones(len(d), np.int32))], ["d", "t", "s", "n"])
+
+
+def tie(seed: int, text: Column) -> Column:
+    return F.xxhash64(F.lit(seed), text)
+
+
+def tied(rows: DataFrame) -> DataFrame:
+    """Rows (id, d, t, text): ``t`` is a hash that differs between different texts of one id.
+
+    Only rows that share an id can be mixed up. Their texts' 256-bit digests
+    are held against the hash before it is used; should two ever meet in one
+    hash, the next one is taken.
+    """
+    seed = 0
+    while True:
+        keyed = rows.withColumn("t", tie(seed, F.col("text")))
+        sums = keyed.select("d", "t", F.sha2(F.encode("text", "UTF-8"), 256).alias("x")).groupBy("d", "t").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+        if sums.filter("a <> b").isEmpty():
+            return keyed.select("id", "d", "t", "text")
+        seed += 1
 
 
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, spans (byte ranges removed), n_bytes, n_removed, kept (remaining bytes), kept_sha256."""
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(_FIRST)).alias("d"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.select("id", "d", F.hash("text").alias("t"), "text")
+    rows = tied(rows)
     total = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     buckets = max(16, -(-2 * total // (_SPAN + 1) // BUCKET))
     found = cut_lineage(match_reads(collect_reads(rows, buckets), buckets))

@@ -11,6 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def brute(rows, length=100):
+    """Rows (doc_id, order within an id, text); texts are told apart by themselves."""
     data = sorted({(suffix._FIRST if d is None else d, h, (t or "").encode()) for d, h, t in rows})
     seen, gone = set(), {}
     for d, h, b in data:
@@ -20,17 +21,17 @@ def brute(rows, length=100):
             if w in seen:
                 cut[i : i + length] = True
             seen.add(w)
-        gone[d, h] = cut
+        gone[d, b] = cut
     out = []
     for d, h, t in rows:
-        b, cut = np.frombuffer((t or "").encode(), np.uint8), gone[suffix._FIRST if d is None else d, h]
+        b, cut = np.frombuffer((t or "").encode(), np.uint8), gone[suffix._FIRST if d is None else d, (t or "").encode()]
         n = int((np.diff(np.concatenate(([0], cut.astype(int), [0]))) == 1).sum())
         out.append((d, b.size, int(cut.sum()), n, hashlib.sha256(b[~cut].tobytes()).hexdigest()))
     return sorted(out, key=str)
 
 
-def keyed(df):
-    return [tuple(r) for r in df.select("doc_id", F.hash(F.coalesce("text", F.lit(""))), "text").collect()]
+def keyed(df, seed=0):
+    return [tuple(r) for r in df.select("doc_id", suffix.tie(seed, F.coalesce("text", F.lit(""))), "text").collect()]
 
 
 def test_query_equals_brute_force(spark):
@@ -75,19 +76,42 @@ def test_one_passage_with_thousands_of_neighbours(spark, monkeypatch):
     assert 0 < groups[0] <= 40
 
 
-def test_merge_gives_order_and_common_prefixes():
+def test_texts_of_one_id_with_one_hash_are_told_apart(spark, monkeypatch):
+    good = suffix.tie
+    monkeypatch.setattr(suffix, "tie", lambda seed, text: F.lit(5).cast("long") if seed < 2 else good(seed, text))
+    rnd = random.Random(8)
+    text = lambda n: "".join(rnd.choice("abcdefgh ") for _ in range(n))
+    passage = text(256)
+    rows = [(None, passage), (None, text(256)), (None, passage + "x"), (None, None), (3, text(300)), (3, passage[:150]), (3, passage[:150])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, len(r.spans), r.kept_sha256) for r in suffix.remove_repeats(df).collect()), key=str)
+    assert got == brute(keyed(df, 2))
+    assert sum(r[2] == 0 for r in got) >= 3
+
+
+def test_merge_gives_repeated_strings_in_order():
     rnd = random.Random(9)
-    reads = ["".join(rnd.choice("ab") for _ in range(rnd.randint(1, 40))) for _ in range(30)]
-    shards = []
-    for part in (reads[:11], reads[11:12], reads[12:]):
-        lens = np.array([len(x) + 1 for x in part])
-        data = np.concatenate([np.append(np.frombuffer(x.encode(), np.uint8).astype(np.int32) + 1, 0) for x in part])
-        shards.append((data, np.cumsum(lens) - 1))
-    shard, place, common = suffix.merge(shards)
-    strings = []
-    for k, p in zip(shard, place, strict=True):
-        data, ends = shards[k]
-        strings.append(bytes((data[p : ends[np.searchsorted(ends, p)]] - 1).tolist()).decode())
-    assert strings == sorted(strings) and sorted(strings) == sorted(x[i:] for x in reads for i in range(len(x) + 1))
-    lcp = lambda a, b: next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))  # noqa: E731, B905
-    assert common[1:].tolist() == [lcp(a, b) for a, b in zip(strings, strings[1:])]  # noqa: B905
+    for length in (1, 3, 7, 12):
+        reads = ["".join(rnd.choice("ab") for _ in range(rnd.randint(1, 40))) for _ in range(30)]
+        shards, names = [], []
+        for part in (reads[:11], reads[11:12], reads[12:]):
+            lens = np.array([len(x) + 1 for x in part])
+            data = np.concatenate([np.append(np.frombuffer(x.encode(), np.uint8).astype(np.int32) + 1, 0) for x in part])
+            shards.append((data, np.cumsum(lens) - 1))
+            names.append("$".join(part) + "$")
+        offset = np.concatenate([np.concatenate([np.arange(len(x) + 1) for x in n[:-1].split("$")]) for n in names])
+        want = {}
+        for k, name in enumerate(names):
+            for i in range(len(name) - length + 1):
+                if "$" not in (w := name[i : i + length]):
+                    want.setdefault(w, []).append((k, i))
+        want = {w: x for w, x in want.items() if len(x) > 1}
+        for least in (None, length - offset):
+            shard, place, group = suffix.merge(shards, length, least)
+            got = {}
+            for k, p, g in zip(shard.tolist(), place.tolist(), group.tolist(), strict=True):
+                got.setdefault(g, []).append((k, p))
+            strings = [{names[k][p : p + length] for k, p in x} for x in got.values()]
+            assert all(len(x) == 1 for x in strings)
+            assert [min(x) for x in strings] == sorted(want) and list(got) == sorted(got)
+            assert {min(x): sorted(y) for x, y in zip(strings, got.values(), strict=True)} == want
