@@ -49,6 +49,7 @@ LENGTH, GRAM = 100, 37
 PIECE, BUCKET, GROUP, MERGE, SHARD = 1 << 20, 1_000_000, 8_000, 3 << 19, 1 << 19
 _SPAN = LENGTH - GRAM + 1
 SIDE = (LENGTH - GRAM + 1) // 2
+_LEAD = 6
 _FIRST = -(1 << 63)
 
 READ = np.dtype([("g", "<u4"), ("r", "<u8"), ("d", "<i8"), ("t", "<i8"), ("s", "<u4"), ("n", "u1"), ("p", "u1")])
@@ -272,23 +273,41 @@ def transform(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """(suffix order, preceding symbols, last-to-first map) of a shard of reads.
 
     ``data`` has symbol 0 behind each read (at ``ends``) and bytes + 1 elsewhere;
-    ends are ordered by read, so all suffixes differ. They are ordered by doubling.
+    ends are ordered by read, so all suffixes differ. They are ordered by their
+    first ``_LEAD`` symbols, then by doubling, where only ties are sorted again.
     """
     n = data.size
-    rank = data.astype(np.int64) + ends.size
-    rank[ends] = np.arange(ends.size)
     last = np.repeat(ends, np.diff(np.concatenate(([-1], ends))))  # the end of each suffix's read
-    width = 1
+    left = last - np.arange(n)
+    key = np.zeros(n, np.int64)
+    for i in range(_LEAD):
+        key <<= 9
+        key[: n - i] += np.where(left[: n - i] >= i, data[i:], 0)
+    order = np.argsort(key, kind="stable")
+    part = np.ones(n, bool)
+    part[1:] = (np.diff(key[order]) != 0) | (left[order[1:]] < _LEAD)  # an end tells its suffix from all others
+    # A rank is the place of the first of all suffixes tied so far.
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(part, np.arange(n), 0))
+    width = _LEAD
+    tied = np.ones(n, bool)
     while True:
-        ahead = np.arange(n) + width
-        key = rank * (n + ends.size + 300) + np.where(ahead <= last, rank[np.minimum(ahead, n - 1)] + 1, 0)
-        order = np.argsort(key, kind="stable")
-        new = np.concatenate(([0], np.cumsum(np.diff(key[order]) != 0)))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        width *= 2
-        if new[-1] == n - 1:
+        alone = part.copy()
+        alone[:-1] &= part[1:]
+        tied &= ~alone
+        slots = np.flatnonzero(tied)
+        if slots.size == 0:
             break
+        own = order[slots]
+        ahead = own + width
+        key = rank[own] * (n + 1) + np.where(ahead <= last[own], rank[np.minimum(ahead, n - 1)] + 1, 0)
+        by = np.argsort(key, kind="stable")
+        own, key = own[by], key[by]
+        order[slots] = own
+        part[slots[1:]] = np.diff(key) != 0
+        part[slots[0]] = True
+        rank[own] = slots[np.maximum.accumulate(np.where(part[slots], np.arange(slots.size), 0))]
+        width *= 2
     before = np.where(order > 0, data[order - 1], 0)
     # Stable order by preceding symbol gives the places of the suffixes one symbol longer.
     to = np.full(n, -1, np.int64)
