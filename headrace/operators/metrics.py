@@ -59,15 +59,15 @@ def plain_mape(p: DataFrame, keys=("model", "site")) -> DataFrame:
 
 
 def day_diagnostics(actual: DataFrame, forecast: DataFrame, keys=("site", "hour")) -> DataFrame:
-    """Hour-aligned errors of one day: (model, site, hour)."""
+    """Hour-aligned errors: (model, site, hour), or with the day among ``keys`` of any number of days."""
     both = actual.join(forecast, list(keys))
     return both.select("model", *keys, "actual", "predicted", F.abs(F.col("actual") - F.col("predicted")).alias("absolute_error"), _ape().alias("ape"))
 
 
-def day_diagnostics_summary(detail: DataFrame) -> DataFrame:
-    shape = shape_metrics(detail, ("model", "site"), "hour")
-    basic = detail.groupBy("model", "site").agg(mae("actual", "predicted").alias("mae"), rmse("actual", "predicted").alias("rmse"))
-    return shape.join(basic, ["model", "site"])
+def day_diagnostics_summary(detail: DataFrame, keys=("model", "site")) -> DataFrame:
+    shape = shape_metrics(detail, keys, "hour")
+    basic = detail.groupBy(*keys).agg(mae("actual", "predicted").alias("mae"), rmse("actual", "predicted").alias("rmse"))
+    return shape.join(basic, list(keys))
 
 
 # --- comparing models ------------------------------------------------------
@@ -105,17 +105,17 @@ def head_to_head(metrics: DataFrame, primary: str) -> DataFrame:
 
 # --- error distributions ---------------------------------------------------
 
-def residual_histogram(p: DataFrame, bins: int = 60) -> DataFrame:
-    """Equal-width bins of actual - predicted; the last one includes its edge."""
-    r = p.select((F.col("actual") - F.col("predicted")).alias("r"))
-    ends = r.agg(F.struct(F.min("r").alias("lo"), F.max("r").alias("hi")).alias("e")).select("e").scalar()
+def residual_histogram(p: DataFrame, bins: int = 60, keys=("model",)) -> DataFrame:
+    """Equal-width bins of actual - predicted for each of ``keys``; the last one includes its edge."""
+    r = p.select(*keys, (F.col("actual") - F.col("predicted")).alias("r"))
+    ends = r.groupBy(*keys).agg(F.struct(F.min("r").alias("lo"), F.max("r").alias("hi")).alias("e"))
     lo, hi = F.col("e.lo"), F.col("e.hi")
     place = F.floor(F.coalesce(F.try_divide((F.col("r") - lo) * bins, hi - lo), F.lit(0.0)))
-    counted = r.withColumn("e", ends).groupBy(F.least(place, F.lit(bins - 1)).cast("int").alias("bin")).agg(
+    counted = r.join(ends, list(keys)).groupBy(*keys, F.least(place, F.lit(bins - 1)).cast("int").alias("bin")).agg(
         F.count(F.lit(1)).alias("n"), F.first("e").alias("e")
     )
     edge = lambda i: lo + i * (hi - lo) / bins
-    return counted.select("bin", "n", edge(F.col("bin")).alias("bin_from"), edge(F.col("bin") + 1).alias("bin_to"))
+    return counted.select(*keys, "bin", "n", edge(F.col("bin")).alias("bin_from"), edge(F.col("bin") + 1).alias("bin_to"))
 
 
 def scatter_extent(p: DataFrame, keys=("model",)) -> DataFrame:
@@ -169,8 +169,8 @@ def error_quantiles(errors: DataFrame, keys=("model",)) -> DataFrame:
 
 # --- forecast summaries ----------------------------------------------------
 
-def cascade_series(forecast: DataFrame) -> DataFrame:
-    return forecast.groupBy("model", "forecast_hour").agg(F.sum("mw").alias("mw"))
+def cascade_series(forecast: DataFrame, keys=("model",)) -> DataFrame:
+    return forecast.groupBy(*keys, "forecast_hour").agg(F.sum("mw").alias("mw"))
 
 
 def _extreme_hour(pick: str) -> Column:
@@ -180,11 +180,14 @@ def _extreme_hour(pick: str) -> Column:
     return F.min_by("forecast_hour", F.struct("mw", "forecast_hour"))
 
 
-def forecast_kpis(forecast: DataFrame, plan_summary: DataFrame) -> DataFrame:
-    """Cascade energy and peak per model, with the sites under outage."""
-    kpi = cascade_series(forecast).groupBy("model").agg(F.sum("mw").alias("cascade_energy"), F.max("mw").alias("peak"))
-    sites = plan_summary.select(F.coalesce(F.nullif("sites", F.lit("")), F.lit("None")).alias("s")).select("s").scalar()
-    return kpi.withColumn("affected", sites)
+def forecast_kpis(forecast: DataFrame, plan_summary: DataFrame, keys=("forecast_date", "model")) -> DataFrame:
+    """Cascade energy and peak per day and model, with the sites under outage that day.
+
+    ``plan_summary`` has a row per ``forecast_date``.
+    """
+    kpi = cascade_series(forecast, keys).groupBy(*keys).agg(F.sum("mw").alias("cascade_energy"), F.max("mw").alias("peak"))
+    sites = plan_summary.select("forecast_date", F.nullif("sites", F.lit("")).alias("s"))
+    return kpi.join(sites, "forecast_date", "left").withColumn("affected", F.coalesce("s", F.lit("None"))).drop("s")
 
 
 def series_summary(forecast: DataFrame, keys=("model", "site")) -> DataFrame:
@@ -195,23 +198,23 @@ def series_summary(forecast: DataFrame, keys=("model", "site")) -> DataFrame:
     )
 
 
-def cascade_comparison(forecast: DataFrame) -> DataFrame:
-    return cascade_series(forecast).groupBy("model").agg(
+def cascade_comparison(forecast: DataFrame, keys=("model",)) -> DataFrame:
+    return cascade_series(forecast, keys).groupBy(*keys).agg(
         F.avg("mw").alias("mean"), F.min("mw").alias("minimum"), F.max("mw").alias("maximum"),
         _extreme_hour("max").alias("peak_hour"), _extreme_hour("min").alias("lowest_hour"),
     )
 
 
-def pairwise_difference(series: DataFrame, models: list[str]) -> DataFrame:
-    """Mean absolute difference per model pair, from one pivoted row per hour."""
-    wide = series.groupBy("forecast_hour").agg(*[F.max(F.when(F.col("model") == m, F.col("mw"))).alias(m) for m in models])
+def pairwise_difference(series: DataFrame, models: list[str], keys=()) -> DataFrame:
+    """Mean absolute difference per model pair (and ``keys``, such as the day), from one pivoted row per hour."""
+    wide = series.groupBy(*keys, "forecast_hour").agg(*[F.max(F.when(F.col("model") == m, F.col("mw"))).alias(m) for m in models])
     pairs = [(a, b) for i, a in enumerate(models) for b in models[i + 1 :]]
-    means = wide.agg(*[F.avg(F.abs(F.col(a) - F.col(b))).alias(f"{a} vs {b}") for a, b in pairs])
-    return means.unpivot([], [f"{a} vs {b}" for a, b in pairs], "model_pair", "mean_abs_difference").where("mean_abs_difference is not null")
+    means = wide.groupBy(*keys).agg(*[F.avg(F.abs(F.col(a) - F.col(b))).alias(f"{a} vs {b}") for a, b in pairs])
+    return means.unpivot([*keys], [f"{a} vs {b}" for a, b in pairs], "model_pair", "mean_abs_difference").where("mean_abs_difference is not null")
 
 
-def model_spread(series: DataFrame) -> DataFrame:
-    return series.groupBy("forecast_hour").agg(F.min("mw").alias("lowest"), F.max("mw").alias("highest"))
+def model_spread(series: DataFrame, keys=()) -> DataFrame:
+    return series.groupBy(*keys, "forecast_hour").agg(F.min("mw").alias("lowest"), F.max("mw").alias("highest"))
 
 
 def latest_timestamp(df: DataFrame) -> DataFrame:

@@ -172,7 +172,8 @@ def normalize_forecast(raw: DataFrame, sites: list[str], group: list[str] = ())
     out = raw.select(*group, ts.alias("ts"), *[total(s).alias(f"total_gen_{s}") for s in sites],
                      *([coerce_numeric(F.col(f"`{given}`")).alias("_given")] if given else []))
     summed = sum((F.coalesce(F.col(f"total_gen_{s}"), F.lit(0.0)) for s in sites), F.lit(0.0))
-    # One forecast is 24 rows, so ordering it in one group is bounded.
+    # One forecast is 24 rows, so ordering it in one group is bounded; a 25th row is enough to refuse it.
+    out = out if group else out.limit(S.HORIZON + 1)
     w = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(1))
     checked = out.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn(
         "forecast_hour",

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import settings as S
@@ -124,13 +124,11 @@ def origins(spark, sf) -> DataFrame:
 
 
 def predictions(spark, sf) -> DataFrame:
-    """Three baseline models from day 8 on, with capacity and split."""
+    """Three baseline models wherever they have a value, with capacity and split."""
     v, t = cuts(spark, sf)
-    day0 = F.to_date(bounds(spark, sf).select("lo").scalar())
     base = baselines.baseline_predictions(site_series(spark, sf), ["site"])
     return (
-        base.where(F.to_date("ts") >= F.date_add(day0, 7))
-        .join(site_dim(spark, sf).select("site", "capacity", "ordinal"), "site")
+        base.join(site_dim(spark, sf).select("site", "capacity", "ordinal"), "site")
         .select(
             "model", "site", "ordinal", "capacity", F.to_date("ts").alias("forecast_date"),
             (F.hour("ts") + 1).alias("forecast_hour"), "ts", "actual", "predicted",
@@ -144,12 +142,12 @@ def stored_predictions(spark, sf) -> DataFrame:
     return cut_lineage(predictions(spark, sf))
 
 
-def forecast_day(spark, sf) -> DataFrame:
-    """Three 24 h forecasts of the last full day: model, hour, site, MW."""
+def forecasts(spark, sf) -> DataFrame:
+    """All 24 h forecasts: day, model, hour, site, MW. A day a model covers in part is no forecast."""
     p = stored_predictions(spark, sf)
-    last = p.agg(F.max("forecast_date").alias("m")).select("m").scalar()
-    return p.where(F.col("forecast_date") == last).select(
-        "model", "site", "ordinal", "capacity", "forecast_hour", "ts", "actual", F.col("predicted").alias("mw")
+    whole = F.count(F.lit(1)).over(Window.partitionBy("forecast_date", "model", "site")) == S.HORIZON
+    return p.withColumn("_whole", whole).where("_whole").select(
+        "forecast_date", "model", "site", "ordinal", "capacity", "forecast_hour", "ts", "actual", F.col("predicted").alias("mw")
     )
 
 
@@ -196,9 +194,9 @@ CTES: dict[str, str] = {
         case when t.ts < day0.d0 + interval {TRAIN_DAYS} day then 'train'
              when t.ts < day0.d0 + interval {VALIDATION_DAYS} day then 'validation' else 'testing' end as split
         from tall t join site_dim d on d.site = t.site cross join day0
-        where t.predicted is not null and cast(t.ts as date) >= day0.d0 + interval 7 day""",
-    "forecast_day": """select model, site, ordinal, capacity, forecast_hour, ts, actual, predicted as mw from predictions
-        where forecast_date = (select max(forecast_date) from predictions)""",
+        where t.predicted is not null""",
+    "forecasts": """select forecast_date, model, site, ordinal, capacity, forecast_hour, ts, actual, predicted as mw from predictions
+        qualify count(*) over (partition by forecast_date, model, site) = 24""",
 }
 
 

@@ -64,17 +64,15 @@ def plain_mape(spark, sf):
     return rounded(K.plain_mape(X.predictions(spark, sf)))
 
 
-DIAG = {"dd": """select model, site, forecast_hour as hour, actual, mw as predicted, abs(actual - mw) as absolute_error,
-    abs(actual - mw) / greatest(abs(actual), 1e-6) * 100 as ape from forecast_day"""}
+DIAG = {"dd": """select forecast_date, model, site, forecast_hour as hour, actual, mw as predicted, abs(actual - mw) as absolute_error,
+    abs(actual - mw) / greatest(abs(actual), 1e-6) * 100 as ape from forecasts"""}
 
 
 def diagnostics(spark, sf):
-    f = X.forecast_day(spark, sf)
-    forecast = f.select("model", "site", F.col("forecast_hour").alias("hour"), F.col("mw").alias("predicted"))
-    day = F.to_date(f.agg(F.max("ts").alias("m")).select("m").scalar())
-    s = X.site_series(spark, sf)
-    actual = s.where(F.to_date("ts") == day).select("site", (F.hour("ts") + 1).alias("hour"), F.col("total").alias("actual"))
-    return K.day_diagnostics(actual, forecast)
+    f = X.forecasts(spark, sf)
+    forecast = f.select("forecast_date", "model", "site", F.col("forecast_hour").alias("hour"), F.col("mw").alias("predicted"))
+    actual = X.site_series(spark, sf).select(F.to_date("ts").alias("forecast_date"), "site", (F.hour("ts") + 1).alias("hour"), F.col("total").alias("actual"))
+    return K.day_diagnostics(actual, forecast, ("forecast_date", "site", "hour"))
 
 
 @REG.add("day_diagnostics", rows_sql("select * from dd", ["absolute_error", "ape"]), DIAG)
@@ -82,11 +80,11 @@ def day_diagnostics(spark, sf):
     return rounded(diagnostics(spark, sf))
 
 
-@REG.add("day_diagnostics_summary", f"""select s.*, m.mae, m.rmse from ({shape_sql('dd', 'model, site', 'hour')}) s
-    join (select model, site, {r6s('avg(absolute_error)')} as mae, {r6s('sqrt(avg(absolute_error * absolute_error))')} as rmse from dd group by all) m
-    on m.model = s.model and m.site = s.site""", DIAG)
+@REG.add("day_diagnostics_summary", f"""select s.*, m.mae, m.rmse from ({shape_sql('dd', 'forecast_date, model, site', 'hour')}) s
+    join (select forecast_date, model, site, {r6s('avg(absolute_error)')} as mae, {r6s('sqrt(avg(absolute_error * absolute_error))')} as rmse from dd group by all) m
+    on m.forecast_date = s.forecast_date and m.model = s.model and m.site = s.site""", DIAG)
 def day_diagnostics_summary(spark, sf):
-    return shaped(K.day_diagnostics_summary(diagnostics(spark, sf)))
+    return shaped(K.day_diagnostics_summary(diagnostics(spark, sf), ("forecast_date", "model", "site")))
 
 
 # --- comparing models ------------------------------------------------------
@@ -133,12 +131,12 @@ def head_to_head(spark, sf):
 
 # --- error distributions ---------------------------------------------------
 
-@REG.add("residuals", f"""select bin, count(*) as n, {r6s('min(lo) + bin * (min(hi) - min(lo)) / 60')} as bin_from, {r6s('min(lo) + (bin + 1) * (min(hi) - min(lo)) / 60')} as bin_to
-    from (select cast(least(floor((r - lo) * 60 / (hi - lo)), 59) as integer) as bin, lo, hi from (
-      select actual - predicted as r, min(actual - predicted) over () as lo, max(actual - predicted) over () as hi
-      from predictions where model = 'naive24')) group by bin""")
+@REG.add("residuals", f"""select model, bin, count(*) as n, {r6s('min(lo) + bin * (min(hi) - min(lo)) / 60')} as bin_from, {r6s('min(lo) + (bin + 1) * (min(hi) - min(lo)) / 60')} as bin_to
+    from (select model, cast(least(floor((r - lo) * 60 / (hi - lo)), 59) as integer) as bin, lo, hi from (
+      select model, actual - predicted as r, min(actual - predicted) over w as lo, max(actual - predicted) over w as hi
+      from predictions window w as (partition by model))) group by model, bin""")
 def residuals(spark, sf):
-    return rounded(K.residual_histogram(X.stored_predictions(spark, sf).where("model = 'naive24'")))
+    return rounded(K.residual_histogram(X.stored_predictions(spark, sf)))
 
 
 @REG.add("scatter_extent", "select model, min(least(actual, predicted)) as low, max(greatest(actual, predicted)) as high from predictions group by model")
@@ -168,9 +166,9 @@ for _name, _src, _pct in (("", "ea", False), ("_percentage", "ep", True)):
 # --- forecast summaries ----------------------------------------------------
 
 SUMS = {
-    "cs": "select model, forecast_hour, sum(mw) as mw from forecast_day group by all",
-    "first_max": "select *, row_number() over (partition by model order by mw desc, forecast_hour) as hi, row_number() over (partition by model order by mw, forecast_hour) as lo from cs",
+    "cs": "select forecast_date, model, forecast_hour, sum(mw) as mw from forecasts group by all",
 }
+DAY = ("forecast_date", "model")
 
 
 def five(keys: str, src: str) -> str:
@@ -178,40 +176,41 @@ def five(keys: str, src: str) -> str:
         (list(forecast_hour order by mw desc, forecast_hour))[1] as peak_hour, {r6s('sum(mw)')} as energy from {src} group by {keys}"""
 
 
-@REG.add("forecast_kpis", f"""select model, {r6s('sum(mw)')} as cascade_energy, {r6s('max(mw)')} as peak,
-    (select coalesce(nullif(string_agg(distinct site, ',' order by site), ''), 'None') from plan_last where available <= 0) as affected
-    from cs group by model""", SUMS | QO.OUT)
+@REG.add("forecast_kpis", f"""select cs.forecast_date, model, {r6s('sum(mw)')} as cascade_energy, {r6s('max(mw)')} as peak, coalesce(any_value(p.sites), 'None') as affected
+    from cs left join (select cast(origin as date) as d, string_agg(distinct site, ',' order by site) as sites from plan_last where available <= 0 group by 1) p on p.d = cs.forecast_date
+    group by cs.forecast_date, model""", SUMS | QO.OUT)
 def forecast_kpis(spark, sf):
-    return rounded(K.forecast_kpis(X.forecast_day(spark, sf), I.outage_summary(QO.last_plan(spark, sf))))
+    plan = QO.last_plan(spark, sf).withColumn("forecast_date", F.to_date("origin"))
+    return rounded(K.forecast_kpis(X.forecasts(spark, sf), I.outage_summary(plan, ("forecast_date",))))
 
 
-@REG.add("series_summary", five("model", "cs"), SUMS)
+@REG.add("series_summary", five("forecast_date, model", "cs"), SUMS)
 def series_summary(spark, sf):
-    return rounded(K.series_summary(K.cascade_series(X.forecast_day(spark, sf)), ("model",)))
+    return rounded(K.series_summary(K.cascade_series(X.forecasts(spark, sf), DAY), DAY))
 
 
-@REG.add("all_sites_summary", five("model, site", "forecast_day"), SUMS)
+@REG.add("all_sites_summary", five("forecast_date, model, site", "forecasts"), SUMS)
 def all_sites_summary(spark, sf):
-    return rounded(K.series_summary(X.forecast_day(spark, sf)))
+    return rounded(K.series_summary(X.forecasts(spark, sf), (*DAY, "site")))
 
 
-@REG.add("cascade_comparison", f"""select model, {r6s('avg(mw)')} as mean, {r6s('min(mw)')} as minimum, {r6s('max(mw)')} as maximum,
+@REG.add("cascade_comparison", f"""select forecast_date, model, {r6s('avg(mw)')} as mean, {r6s('min(mw)')} as minimum, {r6s('max(mw)')} as maximum,
     (list(forecast_hour order by mw desc, forecast_hour))[1] as peak_hour, (list(forecast_hour order by mw, forecast_hour))[1] as lowest_hour
-    from cs group by model""", SUMS)
+    from cs group by forecast_date, model""", SUMS)
 def cascade_comparison(spark, sf):
-    return rounded(K.cascade_comparison(X.forecast_day(spark, sf)))
+    return rounded(K.cascade_comparison(X.forecasts(spark, sf), DAY))
 
 
-@REG.add("pairwise_difference", f"""select a.model || ' vs ' || b.model as model_pair, {r6s('avg(abs(a.mw - b.mw))')} as mean_abs_difference
-    from cs a join cs b on b.forecast_hour = a.forecast_hour and (a.model, b.model) in (('persistence', 'naive24'), ('persistence', 'naive168'), ('naive24', 'naive168'))
-    group by a.model, b.model""", SUMS)
+@REG.add("pairwise_difference", f"""select a.forecast_date, a.model || ' vs ' || b.model as model_pair, {r6s('avg(abs(a.mw - b.mw))')} as mean_abs_difference
+    from cs a join cs b on b.forecast_date = a.forecast_date and b.forecast_hour = a.forecast_hour and (a.model, b.model) in (('persistence', 'naive24'), ('persistence', 'naive168'), ('naive24', 'naive168'))
+    group by a.forecast_date, a.model, b.model""", SUMS)
 def pairwise_difference(spark, sf):
-    return rounded(K.pairwise_difference(K.cascade_series(X.forecast_day(spark, sf)), MODELS))
+    return rounded(K.pairwise_difference(K.cascade_series(X.forecasts(spark, sf), DAY), MODELS, ("forecast_date",)))
 
 
-@REG.add("model_spread", f"select forecast_hour, {r6s('min(mw)')} as lowest, {r6s('max(mw)')} as highest from cs group by forecast_hour", SUMS)
+@REG.add("model_spread", f"select forecast_date, forecast_hour, {r6s('min(mw)')} as lowest, {r6s('max(mw)')} as highest from cs group by forecast_date, forecast_hour", SUMS)
 def model_spread(spark, sf):
-    return rounded(K.model_spread(K.cascade_series(X.forecast_day(spark, sf))))
+    return rounded(K.model_spread(K.cascade_series(X.forecasts(spark, sf), DAY), ("forecast_date",)))
 
 
 @REG.add("latest_timestamp", "select greatest(max(o_orderdate), max(try_cast(o_orderpriority as timestamp))) as latest from orders")

@@ -201,19 +201,19 @@ def project_public(spark, sf):
     return N.with_aliases(N.project_public(wide_panel(spark, sf)), {"click_total": "total_gen_click"})
 
 
-def forecast_wide(spark, sf, name=lambda s: f"total_gen_{s}", keys=("model",)):
-    f = X.forecast_day(spark, sf)
+def forecast_wide(spark, sf, name=lambda s: f"total_gen_{s}", keys=("forecast_date", "model")):
+    f = X.forecasts(spark, sf)
     return f.groupBy(*keys, F.to_date("ts").alias("Date"), F.col("forecast_hour").alias("Hour")).agg(
         *[F.max(F.when(F.col("site") == s, F.col("mw"))).alias(name(s)) for s in SITES]
     )
 
 
-@REG.add("normalize_forecast", "select model, ts, cast(ts as date) as date, forecast_hour, " + ", ".join(
-    f"max(case when site = '{s}' then mw end) as total_gen_{s}" for s in SITES) + f", {r6s('sum(mw)')} as total_cascade_generation from forecast_day group by model, ts, forecast_hour")
+@REG.add("normalize_forecast", "select forecast_date, model, ts, cast(ts as date) as date, forecast_hour, " + ", ".join(
+    f"max(case when site = '{s}' then mw end) as total_gen_{s}" for s in SITES) + f", {r6s('sum(mw)')} as total_cascade_generation from forecasts group by forecast_date, model, ts, forecast_hour")
 def normalize_forecast(spark, sf):
     styles = {"click": "Total_Gen_Click_MW", "view": "Total_Generation_View(MW)", "signup": "total-signup", "purchase": "TOTAL GEN PURCHASE MW", "error": "total_gen_error"}
     raw = forecast_wide(spark, sf, lambda s: styles[s])
-    return rounded(N.normalize_forecast(raw, SITES, ["model"]), skip=("model", "ts", "date", *TOTALS))
+    return rounded(N.normalize_forecast(raw, SITES, ["forecast_date", "model"]), skip=("forecast_date", "model", "ts", "date", *TOTALS))
 
 
 @REG.add("normalize_predictions", """select case model when 'persistence' then 'RBFNN' when 'naive24' then 'Random Forest' else 'XGBoost' end as model,
@@ -237,10 +237,10 @@ def align_features(spark, sf):
     return N.align_features(f, ["lag24", "rain_lag1", "current", "lag1"], ["site", "ts"])[0]
 
 
-@REG.add("melt_totals", "select model, forecast_hour, site, mw from forecast_day")
+@REG.add("melt_totals", "select forecast_date, model, forecast_hour, site, mw from forecasts")
 def melt_totals(spark, sf):
     wide = forecast_wide(spark, sf).withColumnRenamed("Hour", "forecast_hour")
-    return N.melt_totals(wide, SITES, ["model", "forecast_hour"])
+    return N.melt_totals(wide, SITES, ["forecast_date", "model", "forecast_hour"])
 
 
 MODELS = ["persistence", "naive24", "naive168"]
@@ -305,15 +305,15 @@ def load_panel(spark, sf):
     return tables.load_panel(spark, folder).select("site", "unit", "ts", "mw")
 
 
-@REG.add("write_forecast", "select strftime(ts, '%Y-%m-%d') as Date, case when hour(ts) = 0 then '00:00' else hour(ts) || ':00' end as Hour, "
+@REG.add("write_forecast", "select model, strftime(ts, '%Y-%m-%d') as Date, case when hour(ts) = 0 then '00:00' else hour(ts) || ':00' end as Hour, "
          + ", ".join(f"max(case when site = '{s}' then mw end) as Total_Gen_{s.capitalize()}_MW" for s in SITES)
-         + f", {r6s('sum(mw)')} as Total_Cascade_Generation_MW from forecast_day where model = 'naive24' group by ts")
+         + f", {r6s('sum(mw)')} as Total_Cascade_Generation_MW from forecasts group by model, ts")
 def write_forecast(spark, sf):
     path = tables.scratch(spark, "forecast")
-    f = N.normalize_forecast(forecast_wide(spark, sf).where("model = 'naive24'").drop("model"), SITES).drop("date")
-    tables.write_forecast(f, path)
+    f = N.normalize_forecast(forecast_wide(spark, sf), SITES, ["forecast_date", "model"]).drop("date", "forecast_date")
+    tables.write_forecast(f, path, ["model"])
     back = spark.read.csv(path, header=True)
-    return rounded(back.select("Date", "Hour", *[F.col(c).cast("double").alias(c) for c in back.columns[2:]]))
+    return rounded(back.select("model", "Date", "Hour", *[F.col(c).cast("double").alias(c) for c in back.columns if c not in ("model", "Date", "Hour")]))
 
 
 PLAN = [(s, u) for s in SITES for u in UNITS]

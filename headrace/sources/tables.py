@@ -63,16 +63,18 @@ def write_panel(df: DataFrame, path: str) -> None:
     prepare_panel(df).hint("rebalance", "month").write.mode("overwrite").partitionBy("month").parquet(path)
 
 
-def write_forecast(df: DataFrame, path: str) -> None:
-    """Display columns only: title case with units, hour as a label."""
-    technical = {"ts", "forecast_hour", "model_version", "ordinal"}
+def write_forecast(df: DataFrame, path: str, by: list[str] = ()) -> None:
+    """Display columns only: title case with units, hour as a label.
+
+    Hours of a day are in order in one file; days are dealt out, with a folder for each value of ``by``.
+    """
+    technical = {"ts", "forecast_hour", "model_version", "ordinal", *by}
     shown = {c: "_".join(w.capitalize() for w in c.split("_")) + ("_MW" if re.search("gen|cascade", c) else "") for c in df.columns if c not in technical}
-    out = df.orderBy("ts").select(
-        F.date_format(F.to_date("ts"), "yyyy-MM-dd").alias("Date"), N.hour_label(F.hour("ts") + 1).alias("Hour"),
+    out = df.withColumn("_d", F.to_date("ts")).repartition(*by, "_d").sortWithinPartitions(*by, "ts").select(
+        *by, F.date_format(F.to_date("ts"), "yyyy-MM-dd").alias("Date"), N.hour_label(F.hour("ts") + 1).alias("Hour"),
         *[F.col(c).alias(n) for c, n in shown.items()],
     )
-    # A forecast has 24 rows per cascade and model: one file is the format.
-    out.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    out.write.mode("overwrite").partitionBy(*by).csv(path, header=True)
 
 
 def load_outage_plan(raw: DataFrame) -> DataFrame:
