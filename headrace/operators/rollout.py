@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions.expr import add_hours
-from ..functions.rollout_kernel import batches
+from ..functions.rollout_kernel import batches, tree_group
+from ..functions.tree_kernel import ARRAYS
 from ..session import cut_lineage
 from .outage import array_median
 from .slices import at_hour, daily_arrays, with_origin_days
@@ -118,15 +119,30 @@ def states(
     return rows.groupBy("cascade", "origin").agg(F.collect_list(packed).alias("sites"))
 
 
-def rollout_24h(state: DataFrame, feed_back: str = "backtest", partitions: int | None = None) -> DataFrame:
+ORIGINS_TOGETHER = 32
+
+
+def rollout_24h(state: DataFrame, feed_back: str = "backtest", partitions: int | None = None, trees: DataFrame | None = None) -> DataFrame:
     """(cascade, origin, site, h) with the predicted total and unit values.
 
     The stage is bound by arithmetic, not bytes, so states are spread over all
     cores instead of being merged into few partitions by size.
+
+    ``trees`` are ensembles per site (or per cascade and site, for candidates). They
+    are large beside a state, so they do not travel with each: up to
+    ``ORIGINS_TOGETHER`` days of a cascade meet its sites' ensembles once.
     """
-    n = partitions or 2 * state.sparkSession.sparkContext.defaultParallelism
-    out = state.repartition(n, "cascade", "origin").mapInPandas(batches(feed_back), RESULT)
-    return out.withColumn("ts", add_hours("origin", F.col("h") - 1))
+    if trees is None:
+        n = partitions or 2 * state.sparkSession.sparkContext.defaultParallelism
+        out = state.repartition(n, "cascade", "origin").mapInPandas(batches(feed_back), RESULT)
+        return out.withColumn("ts", add_hours("origin", F.col("h") - 1))
+    chunk = F.floor(F.datediff(F.col("origin"), F.lit("1970-01-01").cast("date")) / ORIGINS_TOGETHER)
+    state = cut_lineage(state.withColumn("chunk", chunk))
+    places = state.select(F.col("cascade").alias("cascade"), F.col("chunk").alias("chunk"), F.explode("sites.site").alias("site")).distinct()
+    keys = ["cascade", "site"] if "cascade" in trees.columns else ["site"]
+    own = places.join(trees.select(*keys, "base", *ARRAYS), keys)
+    pairs = state.groupBy("cascade", "chunk").cogroup(own.groupBy("cascade", "chunk"))
+    return pairs.applyInPandas(tree_group(feed_back), RESULT).withColumn("ts", add_hours("origin", F.col("h") - 1))
 
 
 def unit_rows(forecast: DataFrame) -> DataFrame:

@@ -33,13 +33,14 @@ def screen(rows: DataFrame, finalists: int = S.FINALISTS_PRIMARY, weight: float
 
 def rolling_scores(
     make_states: Callable[[DataFrame, DataFrame], DataFrame], members: DataFrame, calibration: DataFrame,
-    series: DataFrame, capacity: DataFrame, weight: float = S.R2_WEIGHT_PRIMARY,
+    series: DataFrame, capacity: DataFrame, weight: float = S.R2_WEIGHT_PRIMARY, trees: DataFrame | None = None,
 ) -> DataFrame:
     """Rolling 24-hour metrics and score per (cascade, site); cascade = candidate.
 
-    ``make_states(members, calibration)`` builds the rollout states.
+    ``make_states(members, calibration)`` builds the rollout states; ``trees`` are
+    the candidates' ensembles by (cascade, site).
     """
-    forecast = J.rollout_24h(make_states(members, calibration))
+    forecast = J.rollout_24h(make_states(members, calibration), trees=trees)
     joined = J.attach_actuals(forecast, series).join(capacity.select("site", "capacity"), "site")
     scored = joined.groupBy("cascade", "site").agg(
         F.count_distinct("origin").alias("forecast_days"), F.count(F.lit(1)).alias("forecast_hours"), *metric_columns()
@@ -68,6 +69,39 @@ def two_stage_select(
     return ranked.groupBy("site").agg(F.count(F.lit(1)).alias("finalists"), best.alias("b")).select("site", "finalists", "b.*").drop("score")
 
 
+def screen_points(rows: DataFrame, finalists: int, weight: float) -> DataFrame:
+    """Best ``finalists`` per site of all (search point, shrinkage) pairs by one-step score; ``rows`` have ``point`` and ``delta``."""
+    grid = F.array(*[F.struct(F.lit(i + 1).alias("k"), F.lit(s).alias("shrinkage")) for i, s in enumerate(S.SHRINKAGE_GRID)])
+    scored = (
+        rows.withColumn("g", F.explode(grid)).select("*", "g.*").withColumn("cand", H.level_from_delta(shrinkage=F.col("shrinkage")))
+        .groupBy("site", "point", "k", "shrinkage").agg(*metric_columns("actual", "cand")).withColumn("score", score_struct(weight))
+    )
+    # Bounded: one row per search point, grid point and site.
+    rank = F.row_number().over(Window.partitionBy("site").orderBy("score", "point", "k"))
+    return scored.withColumn("rank", rank).where(F.col("rank") <= finalists).select("site", "point", "k", "shrinkage", "rank")
+
+
+def select_models(
+    rows: DataFrame, models: DataFrame, make_states, singles: DataFrame, series: DataFrame, capacity: DataFrame,
+    finalists: int = S.FINALISTS_RIVAL, weight: float = S.R2_WEIGHT_RIVAL,
+) -> DataFrame:
+    """Every search point and shrinkage screened by one-step score, finalists by the rolling 24-hour score.
+
+    ``models`` are tree ensembles by (site, point). All finalists of all sites are
+    cascades of one rollout; each takes its own ensemble along.
+    """
+    top = cut_lineage(screen_points(rows, finalists, weight))
+    tag = F.concat_ws("|", F.col("point"), F.col("k"))
+    named = top.withColumn("cascade", F.concat_ws("|", "site", tag))
+    members = candidate_members(singles, top, tag)
+    calibration = named.select("cascade", "site", "shrinkage", F.lit(0.0).alias("bias"))
+    trees = named.select("cascade", "site", "point").join(models.drop("family", "rows"), ["site", "point"])
+    scores = rolling_scores(make_states, members, calibration, series, capacity, weight, trees)
+    ranked = scores.join(named.select("cascade", "site", "point", "k", "shrinkage"), ["cascade", "site"])
+    best = F.min(F.struct("score", "point", "k", "shrinkage", "forecast_days", "operational_mape", "mae", "rmse", "r2"))
+    return ranked.groupBy("site").agg(F.count(F.lit(1)).alias("finalists"), best.alias("b")).select("site", "finalists", "b.*").drop("score")
+
+
 STEPS = ("bin", "hour", "blend")
 FIELDS = {"bin": ["bin_scale", "bin_edges", "bin_shifts"], "hour": ["hour_scale", "hour_shift"], "blend": ["blend_weight"]}
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import settings as S
@@ -13,6 +16,7 @@ from ..operators import outage as I
 from ..operators import rollout as J
 from ..operators import selection as Z
 from ..operators import splits as P
+from ..operators import trees as T
 from ..session import cut_lineage
 from ..sources.tables import scratch
 from . import fixtures as X
@@ -129,23 +133,86 @@ def rbf_regression(spark, sf):
     return rounded(delta_scores(M.rbf_predict(scaled, model, centers), "radial"))
 
 
-# Shortened searches: the full configurations in ``settings`` are arguments.
-FOREST = (40, 8, 6, "sqrt")
-BOOSTING = (20, 0.05, 3, 0.95, 0.95, 1.0)
+def tree_search(spark, sf, family):
+    """Every search point of the family for every site, and its scores by split."""
+    rows, names = training(spark, sf), M.feature_names()
+    points = T.search_points(family, X.site_dim(spark, sf))
+    models = cut_lineage(T.fit(rows.where("split = 'train'"), names, family, points))
+    scored = T.predict(rows.select("site", "split", "current", "tplus1", *[n for n in names if n != "current"]), models, names)
+    scored = scored.withColumn("actual", F.col("tplus1")).withColumn("predicted", F.greatest(F.col("current") + F.col("delta"), F.lit(0.0))).withColumn("capacity", F.lit(1.0))
+    return rounded(scored.groupBy("family", "point", "site", "split").agg(F.count(F.lit(1)).alias("n"), *metric_columns()))
 
 
 @REG.add("random_forest")
 def random_forest(spark, sf):
-    rows = training(spark, sf)
-    model = M.random_forest(rows.where("split = 'train'"), M.feature_names(), FOREST)
-    return rounded(delta_scores(M.predict_delta(model, rows), "forest"))
+    return tree_search(spark, sf, "forest")
 
 
 @REG.add("boosted_trees")
 def boosted_trees(spark, sf):
-    rows = training(spark, sf)
-    model = M.boosted_trees(rows.where("split = 'train'"), M.feature_names(), BOOSTING)
-    return rounded(delta_scores(M.predict_delta(model, rows), "boosting"))
+    return tree_search(spark, sf, "boosting")
+
+
+# Training in SQL: two rounds of stumps on inputs of few values, so that bins are the values themselves.
+STUMP = ["hour", "weekday", "units_running"]
+RATE, L2 = 0.5, 2.0
+
+
+def _stump(i: int, last: str) -> dict[str, str]:
+    """Tables of one round: residuals by input and value, the best split of each site, and the new prediction."""
+    long = " union all ".join(f"select site, {j} as f, {c} as v, r from res{i}" for j, c in enumerate(STUMP))
+    return {
+        f"res{i}": f"select *, y - p{i} as r from {last}",
+        f"cell{i}": f"select site, f, v, sum(r) as s, count(*) as n from ({long}) group by all",
+        f"cut{i}": f"""select site, f, v, lead(v) over w as nv, sum(s) over w as sl, sum(n) over w as nl, sum(s) over (partition by site, f) as st, sum(n) over (partition by site, f) as nt
+            from cell{i} window w as (partition by site, f order by v)""",
+        f"best{i}": f"""select * from (select *, sl * sl / (nl + {L2}) + (st - sl) * (st - sl) / (nt - nl + {L2}) - st * st / (nt + {L2}) as gain from cut{i} where nv is not null)
+            where gain > 1e-9 qualify row_number() over (partition by site order by round(gain, 6) desc, f, v) = 1""",
+        f"pred{i + 1}": f"""select a.site, a.ts, {', '.join('a.' + c for c in STUMP)}, a.y, a.p{i} + {RATE} * coalesce(
+            case when case b.f {' '.join(f'when {j} then a.{c}' for j, c in enumerate(STUMP))} end <= (b.v + b.nv) / 2 then b.sl / (b.nl + {L2}) else (b.st - b.sl) / (b.nt - b.nl + {L2}) end,
+            m.s / (m.n + {L2})) as p{i + 1} from {last} a left join best{i} b on b.site = a.site join (select site, sum(r) as s, count(*) as n from res{i} group by site) m on m.site = a.site""",
+    }
+
+
+STUMPS = {
+    "pred0": """select site, ts, cast(hour(ts) as double) as hour, cast(dayofweek(ts) as double) as weekday, cast(units_running as double) as units_running, total as y,
+        avg(total) over (partition by site) as p0 from site_series""",
+    **_stump(0, "pred0"), **_stump(1, "pred1"),
+}
+
+
+@REG.add("boosted_stumps", f"select site, ts, {r6s('p2')} as predicted from pred2", STUMPS)
+def boosted_stumps(spark, sf):
+    """Second-order boosting, two rounds of depth one, trained and applied on all rows."""
+    rows = X.site_series(spark, sf).select("site", "ts", F.hour("ts").cast("double").alias("hour"), (F.dayofweek("ts") - 1).cast("double").alias("weekday"), F.col("units_running").cast("double").alias("units_running"), "total")
+    rows = cut_lineage(rows)
+    model = T.fit(rows, STUMP, "boosting", [(2, RATE, 1, 1.0, 1.0, L2)], y="total")
+    return rounded(T.predict(rows, model, STUMP).select("site", "ts", F.col("delta").alias("predicted")))
+
+
+# An exported ensemble of two trees: node, input, threshold, left, right, value.
+EXPORT = [
+    (0, 0, 40.0, 2, 3, 0.0), (1, 1, 25.5, 4, 5, 0.0), (2, 2, 30.25, 6, 7, 0.0), (3, -1, 0.0, -1, -1, -3.5),
+    (4, -1, 0.0, -1, -1, 1.25), (5, 0, 90.0, 8, 9, 0.0), (6, -1, 0.0, -1, -1, 2.0), (7, -1, 0.0, -1, -1, -0.75), (8, -1, 0.0, -1, -1, 0.5), (9, -1, 0.0, -1, -1, -6.0),
+]
+EXPORT_BASE = 0.125
+WALK = {
+    "sx": SCALE["sx"], "sc": SCALE["sc"],
+    "node(i, f, t, l, r, v)": "values " + ", ".join(str(n) for n in EXPORT),
+    "walk": """select site, ts, current, lag1, lag24, 0 as recursive_step, root as i from sc cross join (select unnest([0, 1]) as root)
+        union all select site, ts, current, lag1, lag24, recursive_step + 1, case when case f when 0 then current when 1 then lag1 else lag24 end <= t then l else r end
+        from walk join node using (i) where f >= 0""",
+}
+
+
+@REG.add("tree_arrays", f"select site, ts, {r6s(f'{EXPORT_BASE} + sum(v)')} as delta from walk join node using (i) where f < 0 group by site, ts", WALK)
+def tree_arrays(spark, sf):
+    """Predictions of a stored ensemble, every leaf found by SQL on the other side."""
+    rows = cut_lineage(small_rows(spark, sf))
+    cols = list(zip(*[n[1:] for n in EXPORT], strict=True))
+    arrays = [F.array(*[F.lit(v) for v in c]).cast(t).alias(n) for n, c, t in zip(("feature", "threshold", "left", "right", "value"), cols, ("array<int>", "array<double>", "array<int>", "array<int>", "array<double>"), strict=True)]
+    model = rows.select("site").distinct().select("site", F.lit("forest").alias("family"), F.lit(1).alias("point"), F.lit(EXPORT_BASE).alias("base"), F.lit(0).cast("long").alias("rows"), *arrays, F.array(F.lit(0), F.lit(1)).alias("roots"))
+    return rounded(T.predict(rows, model, SMALL).select("site", "ts", "delta"))
 
 
 @REG.add("predict_delta")
@@ -273,6 +340,38 @@ def one_step_eval(spark, sf):
     return rounded(out.groupBy("site", "split").agg(F.count(F.lit(1)).alias("n"), *metric_columns("actual", "pred")))
 
 
+@REG.add("tree_backtests")
+def tree_backtests(spark, sf):
+    """J3 and J4 of both tree families: all sites together, and each with its upstream site held.
+
+    Families and kinds are cascades of their own, so one rollout does all four.
+    """
+    b = Bench(spark, sf)
+    rows = cut_lineage(training(spark, sf, b.series).where("split = 'train'"))
+    fits = [T.fit(rows, M.feature_names(), family, [config]) for family, config in (("forest", S.FOREST_CONFIGS[0]), ("boosting", S.BOOSTING_CONFIGS[0]))]
+    models = cut_lineage(reduce(DataFrame.unionByName, fits))
+    kinds = [m(b.site_dim).withColumn("kind", F.lit(k)) for k, m in (("cascade", J.whole_cascade), ("plant", J.single_sites))]
+    members = reduce(DataFrame.unionByName, kinds).withColumn("family", F.explode(F.array(F.lit("forest"), F.lit("boosting"))))
+    members = cut_lineage(members.withColumn("cascade", F.concat_ws("|", "kind", "family", "cascade")))
+    trees = models.drop("point", "rows").join(members.select("cascade", "site", "family"), ["site", "family"])
+    out = J.rollout_24h(b.states(members.drop("kind", "family"), fitted(spark, sf)), trees=trees)
+    kind, family = (F.split("cascade", r"\|")[i] for i in (0, 1))
+    scored = b.scored(out).groupBy(family.alias("family"), kind.alias("kind"), "site", "split")
+    return rounded(scored.agg(F.count(F.lit(1)).alias("n"), *metric_columns()))
+
+
+@REG.add("select_boosted")
+def select_boosted(spark, sf):
+    """All search points and shrinkage values of the boosted trees, three finalists by rolling score."""
+    b = Bench(spark, sf, ("validation",))
+    rows, names = training(spark, sf, b.series), M.feature_names()
+    models = cut_lineage(T.fit(rows.where("split = 'train'"), names, "boosting", T.search_points("boosting", b.site_dim)))
+    ahead = T.predict(rows.where("split = 'validation'").select("site", "tplus1", *names), models, names)
+    ahead = cut_lineage(ahead.join(b.site_dim.select("site", "capacity"), "site").select("site", "point", "current", "delta", F.col("tplus1").alias("actual"), "capacity"))
+    make = lambda members, calibration: b.states(members, calibration, keys=("cascade", "site"))
+    return rounded(Z.select_models(ahead, models, make, J.single_sites(b.site_dim), b.series, b.site_dim))
+
+
 def selection_inputs(spark, sf):
     b = Bench(spark, sf, ("validation",))
     model, centers, scaled = radial_model(spark, sf, series=b.series)

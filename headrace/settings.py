@@ -129,6 +129,14 @@ FOREST_CONFIGS = [
     (420, None, 3, "0.85"),
 ]
 
+# Further forest points by place of the site in the cascade.
+FOREST_EXTRA_CONFIGS = {
+    2: [
+        (300, 6, 10, "sqrt"),
+        (360, 10, 12, "0.40"),
+    ],
+}
+
 # Boosted trees: (rounds, learning rate, depth, row share, column share, L2).
 BOOSTING_CONFIGS = [
     (260, 0.05, 3, 0.95, 0.95, 1.0),
