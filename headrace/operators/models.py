@@ -1,10 +1,12 @@
 """Models of the hourly change, fitted as Spark jobs.
 
-Trees are one MLlib model over all sites (site as a feature). The radial-basis
-model is fitted per site from normal equations: every task adds up the Gram
-matrices of the sites it sees, only those fixed-size sums are shuffled, and one
-small system per site is solved. A site with very many rows is therefore spread
-over all tasks that hold its rows.
+The radial-basis model is fitted per site. Its centers come from Lloyd rounds in
+which all sites share one aggregation. Its weights come from normal equations:
+every task adds up the Gram matrices of the sites it sees, a bounded number of them
+at a time, only those fixed-size sums are shuffled, and one small system per site is
+solved. A site with very many rows is therefore spread over all tasks that hold its
+rows. Trees over all sites (site as an input) are one MLlib model; trees per site
+are in ``trees``.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions.expr import constant_array, series_window
+from ..session import cut_lineage
 from . import features as E
 
 TARGET = "delta_tplus1"
@@ -84,6 +87,46 @@ def kmeans_centers(scaled: DataFrame, k: int, x: str = "x", seed: int = 42, iter
     return found + [found[-1]] * (k - len(found))
 
 
+def lloyd_round(rows: DataFrame, centers: DataFrame, x: str = "x") -> DataFrame:
+    """(site, centers, moved): one round of all sites in one aggregation.
+
+    Every row goes to the nearest center of its site, the first on a tie; sums by
+    (site, center) are added up map-side. A center without rows stays. ``moved`` is
+    the largest squared step of a site's centers.
+    """
+    gap = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
+    size = F.size(F.get("centers", F.lit(0)))
+    near = F.array_min(F.transform("centers", lambda c, i: F.struct(gap(c, F.col(x)).alias("d"), i.alias("i"))))
+    nearest = rows.join(centers.select("site", "centers"), "site").select("site", x, near.alias("n"))
+    tall = nearest.select("site", F.col("n.i").alias("i"), F.posexplode(x).alias("j", "v"))
+    means = tall.groupBy("site", "i", "j").agg(F.avg("v").alias("m"))
+    new = means.groupBy("site", "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "m"))), lambda r: r["m"]).alias("c"))
+    new = new.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("new"))
+    both = centers.select("site", "centers").join(new, "site", "left")
+    moved = F.transform("centers", lambda c, i: F.coalesce(F.try_element_at("new", i), c))
+    step = F.array_max(F.zip_with("centers", "next", gap))
+    return both.withColumn("next", moved).select("site", F.col("next").alias("centers"), F.when(size > 0, step).otherwise(0.0).alias("moved"))
+
+
+def site_centers(scaled: DataFrame, k: int, x: str = "x", seed: int = 42, rounds: int = 300, tolerance: float = 1e-4) -> DataFrame:
+    """(site, centers): ``k`` centers per site, the last repeated where a site has fewer rows.
+
+    Seeded by rows of smallest hash; stops when no center of any site moves by more
+    than ``tolerance`` (squared). Each round's centers are written, k times the
+    number of inputs a site.
+    """
+    order = Window.partitionBy("site").orderBy(F.xxhash64(F.lit(seed), x), x)
+    first = scaled.select("site", x).distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
+    found = first.groupBy("site").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", x))), lambda r: r[x]).alias("c"))
+    padded = F.concat("c", F.array_repeat(F.element_at("c", -1), F.lit(k) - F.size("c")))
+    centers = cut_lineage(found.select("site", padded.alias("centers")))
+    for _ in range(rounds):
+        centers = cut_lineage(lloyd_round(scaled, centers, x))
+        if centers.where(F.col("moved") > tolerance).isEmpty():
+            break
+    return centers.select("site", "centers")
+
+
 def rbf_expand(x, centers: Column, gamma: Column) -> Column:
     """exp(-gamma_i * |x - c_i|^2) for arrays of centers and widths."""
     x = F.col(x) if isinstance(x, str) else x
@@ -99,48 +142,86 @@ def _phi(x: np.ndarray, centers: np.ndarray, gamma: float) -> np.ndarray:
     return np.hstack([np.ones((len(x), 1)), x])
 
 
+#: Gram matrices a task holds before it hands them on.
+SITES_HELD = 64
+
+
 def rbf_regression(
-    scaled: DataFrame, centers: list[list[float]], gamma: float, ridge: float = 1.0, x: str = "x", y: str = TARGET
+    scaled: DataFrame, centers: list[list[float]] | DataFrame, gamma: float, ridge: float = 1.0, x: str = "x", y: str = TARGET, held: int | None = None,
 ) -> DataFrame:
-    """(site, coef, centers, gamma, rows): ridge weights per site."""
-    c = np.asarray(centers, dtype=float)
+    """(site, coef, centers, gamma, rows): ridge weights per site.
+
+    ``centers`` are shared by all sites or a table of :func:`site_centers`. At most
+    ``held`` matrices are in a task's memory while rows are added up, and one when
+    the parts of a site, ordered, are put together.
+    """
+    own, most = isinstance(centers, DataFrame), held or SITES_HELD
+    if own:
+        wide = F.transform("centers", lambda _: F.lit(float(gamma)))
+        scaled = scaled.drop("centers").join(centers, "site").withColumn(x, rbf_expand(x, F.col("centers"), wide))
+    c = np.asarray([] if own else centers, dtype=float)
 
     def partial(batches):
         sums: dict[str, list] = {}
+
+        def out():
+            return pd.DataFrame([(k, g.ravel().tolist(), b.tolist(), n) for k, (g, b, n) in sums.items()], columns=["site", "gram", "xty", "n"])
+
         for pdf in batches:
             for site, part in pdf.groupby("site", sort=False):
+                if site not in sums and len(sums) >= most:
+                    yield out()
+                    sums.clear()
                 p = _phi(np.vstack(part["x"].to_numpy()).astype(float), c, gamma)
                 t = part["y"].to_numpy(dtype=float)
                 s = sums.setdefault(site, [0.0, 0.0, 0])
                 s[0], s[1], s[2] = s[0] + p.T @ p, s[1] + p.T @ t, s[2] + len(t)
         if sums:
-            yield pd.DataFrame(
-                [(k, g.ravel().tolist(), b.tolist(), n) for k, (g, b, n) in sums.items()], columns=["site", "gram", "xty", "n"]
-            )
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        xty = np.sum([np.asarray(v) for v in pdf["xty"]], axis=0)
-        gram = np.sum([np.asarray(v) for v in pdf["gram"]], axis=0).reshape(len(xty), len(xty))
-        penalty = ridge * np.eye(len(xty))
-        penalty[0, 0] = 1e-9
-        coef = np.linalg.solve(gram + penalty, xty)
-        return pd.DataFrame({"site": [pdf["site"].iloc[0]], "coef": [coef.tolist()], "rows": [int(pdf["n"].sum())]})
+            yield out()
+
+    def solve(batches):
+        site, gram, xty, n = None, 0.0, 0.0, 0
+
+        def out():
+            penalty = ridge * np.eye(len(xty))
+            penalty[0, 0] = 1e-9
+            coef = np.linalg.solve(gram.reshape(len(xty), len(xty)) + penalty, xty)
+            return pd.DataFrame({"site": [site], "coef": [coef.tolist()], "rows": [n]})
+
+        for pdf in batches:
+            for s, g, b, m in zip(pdf["site"], pdf["gram"], pdf["xty"], pdf["n"], strict=True):
+                if s != site:
+                    if site is not None:
+                        yield out()
+                    site, gram, xty, n = s, 0.0, 0.0, 0
+                gram, xty, n = gram + np.asarray(g), xty + np.asarray(b), n + int(m)
+        if site is not None:
+            yield out()
 
     sums = scaled.select("site", F.col(x).alias("x"), F.col(y).alias("y")).dropna().mapInPandas(
         partial, "site string, gram array<double>, xty array<double>, n long"
     )
-    fit = sums.groupBy("site").applyInPandas(solve, "site string, coef array<double>, rows long")
+    fit = sums.repartition("site").sortWithinPartitions("site").mapInPandas(solve, "site string, coef array<double>, rows long")
+    if own:
+        return fit.join(centers.select("site", F.flatten("centers").alias("centers")), "site").withColumn("gamma", F.lit(float(gamma)))
     return fit.withColumn("centers", constant_array(c.ravel().tolist())).withColumn("gamma", F.lit(float(gamma)))
 
 
-def rbf_predict(scaled: DataFrame, model: DataFrame, centers: list[list[float]], x: str = "x") -> DataFrame:
-    """``delta`` from per-site weights, JVM-side."""
-    cs = constant_array(centers)
+def rbf_predict(scaled: DataFrame, model: DataFrame, centers: list[list[float]] | None = None, x: str = "x") -> DataFrame:
+    """``delta`` from per-site weights, JVM-side; without ``centers`` each site has those of its model."""
+    if centers is None:
+        units = F.size("coef") - 1
+        width = F.try_divide(F.size("centers"), units).cast("int")
+        cs = F.transform(F.sequence(F.lit(0), units - 1), lambda i: F.slice("centers", i * width + 1, width))
+        scaled, model = scaled.drop("centers"), model.select("site", "coef", "gamma", "centers")
+    else:
+        cs, model = constant_array(centers), model.select("site", "coef", "gamma")
     phi = rbf_expand(x, cs, F.transform(cs, lambda _: F.col("gamma")))
     dot = F.aggregate(
         F.zip_with(phi, F.slice("coef", F.lit(2), F.size("coef") - 1), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v
     )
-    return scaled.join(model.select("site", "coef", "gamma"), "site").withColumn("delta", F.get("coef", F.lit(0)) + dot).drop("coef", "gamma")
+    out = scaled.join(model, "site").withColumn("delta", F.get("coef", F.lit(0)) + dot).drop("coef", "gamma")
+    return out.drop("centers") if centers is None else out
 
 
 # --- trees -----------------------------------------------------------------

@@ -95,33 +95,77 @@ def training(spark, sf, series=None):
     return cut_lineage(frame.dropna(subset=need).withColumn("split", P.cut_split("ts", v, t)))
 
 
-def radial_model(spark, sf, k: int = 24, series=None):
-    """Per-site radial model: (model table, centers, scaled rows)."""
+def radial_model(spark, sf, k: int = S.RBF_BASE_CONFIGS[0][0], series=None):
+    """Radial model with centers and weights of each site: (model table, scaled rows)."""
     names = M.feature_names()
     rows = training(spark, sf, series)
     train = rows.where("split = 'train'")
     scaler = cut_lineage(M.fit_scaler(train, names))
-    scaled = M.standard_scale(rows, scaler, names)
+    scaled = cut_lineage(M.standard_scale(rows, scaler, names))
     fit_rows = scaled.where("split = 'train'")
-    centers = M.kmeans_centers(fit_rows, k)
-    model = M.rbf_regression(fit_rows, centers, gamma=1.0 / len(names))
-    return cut_lineage(model.join(scaler, "site")), centers, scaled
+    model = M.rbf_regression(fit_rows, M.site_centers(fit_rows, k), gamma=S.RBF_BASE_CONFIGS[0][2] / len(names))
+    return cut_lineage(model.join(scaler, "site")), scaled
 
 
 @REG.add("kmeans_centers")
 def kmeans_centers(spark, sf):
     names = M.feature_names()
     rows = training(spark, sf).where("split = 'train'")
-    scaled = M.standard_scale(rows, M.fit_scaler(rows, names), names)
-    found = M.kmeans_centers(scaled, 24)
-    cs = F.transform(constant_array(found), lambda c, i: F.struct(i.alias("i"), c.alias("c")))
+    scaled = cut_lineage(M.standard_scale(rows, M.fit_scaler(rows, names), names))
+    found = M.site_centers(scaled, S.RBF_BASE_CONFIGS[0][0])
     gap = lambda c: F.aggregate(F.zip_with("x", c, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, v: s + v)
-    near = F.array_min(F.transform(cs, lambda r: F.struct(gap(r["c"]).alias("d"), r["i"].alias("i"))))
-    return scaled.select(near.alias("n")).groupBy(F.col("n.i").alias("center")).agg(
+    near = F.array_min(F.transform("centers", lambda c, i: F.struct(gap(c).alias("d"), i.alias("i"))))
+    return scaled.join(found, "site").select("site", near.alias("n")).groupBy("site", F.col("n.i").alias("center")).agg(
         F.count(F.lit(1)).alias("rows"), r6(F.avg("n.d")).alias("mean_square_distance")
     )
 
 
+# One round from the first three rows of each site, and a ridge fit of two inputs by Cramer's rule.
+ROUND = {
+    "sx": SCALE["sx"],
+    "sc": "select site, ts, current / 100 as current, lag1 / 100 as lag1, lag24 / 100 as lag24 from sx where lag24 is not null",
+    "c3": f"select site, row_number() over (partition by site order by ts) - 1 as i, {', '.join(SMALL)} from sc qualify i < 3",
+    "near": f"""select sc.*, c3.i from sc join c3 on c3.site = sc.site
+        qualify row_number() over (partition by sc.site, sc.ts order by {' + '.join(f'(sc.{c} - c3.{c}) * (sc.{c} - c3.{c})' for c in SMALL)}, c3.i) = 1""",
+    "moved": "select site, i, " + ", ".join(f"avg({c}) as {c}" for c in SMALL) + " from near group by site, i",
+}
+
+
+def small_arrays(spark, sf):
+    return small_rows(spark, sf).select("site", "ts", F.array(*[F.col(c) / 100 for c in SMALL]).alias("x"))
+
+
+@REG.add("lloyd_round", "select c3.site, cast(c3.i as integer) as center, " + ", ".join(f"{r6s(f'coalesce(m.{c}, c3.{c})')} as {c}" for c in SMALL)
+         + " from c3 left join moved m on m.site = c3.site and m.i = c3.i", ROUND)
+def lloyd_round(spark, sf):
+    rows = cut_lineage(small_arrays(spark, sf))
+    first = rows.withColumn("r", F.row_number().over(series_window(["site"]))).where("r <= 3")
+    start = cut_lineage(first.groupBy("site").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "x"))), lambda r: r["x"]).alias("centers")))
+    out = M.lloyd_round(rows, start).select("site", F.posexplode("centers").alias("center", "c"))
+    return out.select("site", "center", *[r6(F.get("c", F.lit(i))).alias(c) for i, c in enumerate(SMALL)])
+
+
+RIDGE = {
+    "sx": SCALE["sx"],
+    "rows2": "select site, current / 100 as a, lag24 / 100 as b, (lead(current) over (partition by site order by ts) - current) / 100 as y from sx",
+    "kept2": "select * from rows2 where a is not null and b is not null and y is not null",
+    "g2": """select site, count(*) + 1e-9 as n, sum(a) as sa, sum(b) as sb, sum(y) as sy, sum(a * a) + 1 as aa, sum(a * b) as ab, sum(b * b) + 1 as bb,
+        sum(a * y) as ay, sum(b * y) as byy, count(*) as cnt from kept2 group by site""",
+    "det": "select *, n * (aa * bb - ab * ab) - sa * (sa * bb - ab * sb) + sb * (sa * ab - aa * sb) as d from g2",
+}
+
+
+@REG.add("ridge_fit", f"""select site, cnt as rows, {r6s('(sy * (aa * bb - ab * ab) - sa * (ay * bb - ab * byy) + sb * (ay * ab - aa * byy)) / d')} as c0,
+    {r6s('(n * (ay * bb - ab * byy) - sy * (sa * bb - ab * sb) + sb * (sa * byy - ay * sb)) / d')} as c1,
+    {r6s('(n * (aa * byy - ay * ab) - sa * (sa * byy - ay * sb) + sy * (sa * ab - aa * sb)) / d')} as c2 from det""", RIDGE)
+def ridge_fit(spark, sf):
+    """Normal equations of two inputs, the linear case of the radial model's output layer."""
+    w = series_window(["site"])
+    rows = X.site_series(spark, sf).select("site", (F.col("total") / 100).alias("a"), (F.lag("total", 24).over(w) / 100).alias("b"), ((F.lead("total").over(w) - F.col("total")) / 100).alias(M.TARGET)).dropna()
+    fit = M.rbf_regression(rows.withColumn("x", F.array("a", "b")), [], gamma=1.0)
+    return fit.select("site", "rows", *[r6(F.get("coef", F.lit(i))).alias(f"c{i}") for i in range(3)])
+
+
 def delta_scores(df, model):
     scored = df.withColumn("actual", F.col("tplus1")).withColumn("predicted", F.greatest(F.col("current") + F.col("delta"), F.lit(0.0)))
     return scored.withColumn("capacity", F.lit(1.0)).groupBy(F.lit(model).alias("model"), "site", "split").agg(F.count(F.lit(1)).alias("n"), *metric_columns())
@@ -129,8 +173,8 @@ def delta_scores(df, model):
 
 @REG.add("rbf_regression")
 def rbf_regression(spark, sf):
-    model, centers, scaled = radial_model(spark, sf)
-    return rounded(delta_scores(M.rbf_predict(scaled, model, centers), "radial"))
+    model, scaled = radial_model(spark, sf)
+    return rounded(delta_scores(M.rbf_predict(scaled, model), "radial"))
 
 
 def tree_search(spark, sf, family):
@@ -217,8 +261,8 @@ def tree_arrays(spark, sf):
 
 @REG.add("predict_delta")
 def predict_delta(spark, sf):
-    model, centers, scaled = radial_model(spark, sf)
-    return rounded(M.rbf_predict(scaled.where("split = 'testing'"), model, centers).select("site", "ts", "delta"))
+    model, scaled = radial_model(spark, sf)
+    return rounded(M.rbf_predict(scaled.where("split = 'testing'"), model).select("site", "ts", "delta"))
 
 
 @REG.add("model_store")
@@ -283,14 +327,14 @@ def rollout_persistence(spark, sf):
 @REG.add("rollout_24h")
 def rollout_24h(spark, sf):
     b = Bench(spark, sf, ("testing",))
-    model, _, _ = radial_model(spark, sf, series=b.series)
+    model, _ = radial_model(spark, sf, series=b.series)
     out = J.rollout_24h(b.states(J.whole_cascade(b.site_dim), fitted(spark, sf), model), "operational")
     return rounded(J.unit_rows(out).select("site", "unit", "origin", "h", "mw"))
 
 
 def backtest(spark, sf, plan=None):
     b = Bench(spark, sf)
-    model, _, _ = radial_model(spark, sf, series=b.series)
+    model, _ = radial_model(spark, sf, series=b.series)
     chosen = None if plan is None else plan(b)
     return b, J.rollout_24h(b.states(J.whole_cascade(b.site_dim), fitted(spark, sf), model, plan=chosen))
 
@@ -304,7 +348,7 @@ def rolling_backtest(spark, sf):
 @REG.add("plant_backtest")
 def plant_backtest(spark, sf):
     b = Bench(spark, sf)
-    model, _, _ = radial_model(spark, sf, series=b.series)
+    model, _ = radial_model(spark, sf, series=b.series)
     out = J.rollout_24h(b.states(J.single_sites(b.site_dim), fitted(spark, sf), model))
     return rounded(b.scored(out).groupBy("site", "split").agg(F.count(F.lit(1)).alias("n"), *metric_columns()))
 
@@ -374,9 +418,9 @@ def select_boosted(spark, sf):
 
 def selection_inputs(spark, sf):
     b = Bench(spark, sf, ("validation",))
-    model, centers, scaled = radial_model(spark, sf, series=b.series)
+    model, scaled = radial_model(spark, sf, series=b.series)
     # One-step rows of the same model on validation days.
-    rows = M.rbf_predict(scaled.where("split = 'validation'"), model, centers).join(b.site_dim.select("site", "capacity"), "site").select(
+    rows = M.rbf_predict(scaled.where("split = 'validation'"), model).join(b.site_dim.select("site", "capacity"), "site").select(
         "site", "ts", (F.hour(F.col("ts") + F.expr("interval 1 hour")) + 1).alias("target_hour"), "current", "delta",
         F.col("tplus1").alias("actual"), F.col("target_lag24").alias("anchor"), "capacity",
     )

@@ -208,3 +208,41 @@ def test_cascades_are_connected_sites(spark):
     assert got == {**dict.fromkeys("abcde", "a"), "x": "x", "y": "x", "z": "z"}
     with pytest.raises(ValueError):
         J.whole_cascade(spark.createDataFrame([("a", "c", 1.0, 1), ("b", "a", 1.0, 1), ("c", "b", 1.0, 1)], dim.schema))
+
+
+def test_centers_per_site_equal_plain_rounds(spark):
+    rng = np.random.default_rng(12)
+    sites = [f"s{i:03d}" for i in range(100)]
+    x = {s: np.round(rng.normal(size=(30 if i else 2, 3)) + i % 5, 3) for i, s in enumerate(sites)}
+    df = spark.createDataFrame([(s, r.tolist()) for s, v in x.items() for r in v], "site string, x array<double>").repartition(6).cache()
+    start = {r.site: np.array(r.centers) for r in M.site_centers(df, 4, rounds=0).collect()}
+    got = {r.site: np.array(r.centers) for r in M.site_centers(df, 4, rounds=3, tolerance=-1.0).collect()}
+    assert set(got) == set(sites)
+    for s in sites:
+        c = start[s].copy()
+        assert all(any(np.array_equal(p, r) for r in x[s]) for p in c)
+        for _ in range(3):
+            near = ((x[s][:, None] - c[None]) ** 2).sum(-1).argmin(1)
+            c = np.array([x[s][near == i].mean(0) if (near == i).any() else c[i] for i in range(4)])
+        np.testing.assert_allclose(got[s], c)
+    done = M.site_centers(df, 4)
+    again = M.lloyd_round(df, done)
+    assert again.agg(F.max("moved")).first()[0] <= 1e-4
+
+
+def test_radial_model_with_centers_per_site(spark):
+    """Thousands of sites, a few matrices held at a time."""
+    rng = np.random.default_rng(13)
+    rows = [(f"s{i % 5000}", rng.normal(size=2).round(3).tolist(), float(rng.normal())) for i in range(30_000)]
+    df = spark.createDataFrame(rows, f"site string, x array<double>, {M.TARGET} double").repartition(4).cache()
+    centers = df.groupBy("site").agg(F.slice(F.sort_array(F.collect_list("x")), 1, 3).alias("centers")).cache()
+    model = M.rbf_regression(df, centers, gamma=0.7, held=7).cache()
+    assert model.count() == 5000
+    wanted = df.where("site in ('s0', 's17', 's4999')")
+    got = M.rbf_predict(wanted, model.where("site in ('s0', 's17', 's4999')")).toPandas()
+    cs = {r.site: np.array(r.centers) for r in centers.where("site in ('s0', 's17', 's4999')").collect()}
+    for site, part in got.groupby("site"):
+        phi = M._phi(np.vstack(part["x"]), cs[site], 0.7)
+        penalty = np.diag([1e-9, 1, 1, 1])
+        coef = np.linalg.solve(phi.T @ phi + penalty, phi.T @ part[M.TARGET].to_numpy())
+        np.testing.assert_allclose(part["delta"], phi @ coef, atol=1e-8)
