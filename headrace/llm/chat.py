@@ -13,8 +13,12 @@ with ``<|begin|>``. The loss mask is the prefix sum of +1 at the first id of eac
 assistant text and -1 behind its ``<|end|>``: the model learns to end a turn, and
 no header is trained on.
 
-Turns are encoded row by row; only their ids, roles and lengths meet per
-conversation, whose row is the output itself.
+Rows are dealt to tasks by ranges of (conversation, turn, role, text) and written in
+order as pieces of bounded rows and bytes, a short conversation as one. A turn lies
+in one piece, so a piece's mask is its own prefix sum. A row ahead of every
+conversation stands for its ``<|begin|>``. Equal rows travel as one with a count,
+in shares of ``COPIES``, so neither a conversation nor a row repeated any number of
+times meets in one task or row.
 
 Defined cases: null texts and roles are empty; a null turn comes first; turns with
 equal numbers are ordered by role, then text, and repeated rows are all kept; a
@@ -29,10 +33,14 @@ import re
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .text import add_column
+from ..session import cut_lineage
+from .text import blocks, bounded
 from .tokens import Encoder, id_bytes
 
 #: Control strings of the template, in the order of their reserved ids, and the role that is trained on.
@@ -93,57 +101,139 @@ def template(file: str) -> Template:
     return _TEMPLATES[file]
 
 
-def format_chats(rows: DataFrame, file: str, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """One row per conversation: its id, n_turns, input_ids, loss_mask (a byte per id), formatted."""
-    turns = rows.select(F.col(conv_id).alias("c"), F.col(turn).alias("n"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+#: Turns and bytes of text in a piece (a longer turn is a piece alone), copies of a row in one share.
+PIECE_ROWS, PIECE_BYTES, COPIES = 4096, 1 << 20, 256
+_FORMATTED = "piece long, whole boolean, n_turns long, input_ids array<int>, loss_mask binary, formatted string"
 
-    def run(batch: pa.RecordBatch) -> pa.Array:
-        to = template(file)
-        roles, texts = ([escape(x) for x in batch.column(i).to_pylist()] for i in (2, 3))
-        heads, bodies = ([np.frombuffer(x, "<u4") for x in to.code.batch(y)] for y in (roles, texts))
-        marks = [np.array([to.base + k], np.uint32) for k in (TURN, SAYS, END)]
-        out = []
-        for r, t, h, b in zip(roles, texts, heads, bodies, strict=True):
-            ids = np.concatenate((marks[0], h, marks[1], b, marks[2])).astype(np.int32)
-            out.append({"ids": ids, "body": h.size + 2, "shown": f"{RESERVED[TURN]}{r}{RESERVED[SAYS]}{t}{RESERVED[END]}"})
-        return pa.array(out, pa.struct([("ids", pa.list_(pa.int32())), ("body", pa.int32()), ("shown", pa.string())]))
 
-    coded = add_column(turns, "x", "struct<ids: array<int>, body: int, shown: string>", "t", run)
-    whole = coded.groupBy("c").agg(F.sort_array(F.collect_list(F.struct("n", "r", "t", "x"))).alias("w")).select("c", F.transform("w", lambda w: F.struct(w["x"]["ids"].alias("ids"), w["x"]["body"].alias("body"), w["x"]["shown"].alias("shown"), (w["r"] == LEARN_FROM).alias("learn"))).alias("w"))
-    schema = "c " + dict(whole.dtypes)["c"] + ", n_turns long, input_ids array<int>, loss_mask binary, formatted string"
+def format_chats(rows: DataFrame, file: str, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", piece_rows: int = PIECE_ROWS) -> DataFrame:
+    """Formatted conversations in pieces: its id, piece (ascending), whole (the only one), n_turns, input_ids, loss_mask (a byte per id), formatted."""
+    bounded(rows)
+    turns = rows.select(F.col(conv_id).alias("c"), F.col(turn).alias("n"), F.coalesce(F.col(role), F.lit("")).alias("r"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    same = turns.groupBy("c", "n", "r", "t").agg(F.count(F.lit(1)).alias("copies"))
+    share = F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(copies - 1) div {COPIES}")))
+    same = same.withColumn("i", share).select("c", F.lit(1).alias("k"), "n", "r", "t", "i", F.least(F.lit(COPIES), F.col("copies") - F.col("i") * COPIES).cast("int").alias("copies"))
+    none = lambda name: F.lit(None).cast(dict(same.dtypes)[name]).alias(name)
+    heads = turns.select("c").distinct().select("c", F.lit(0).alias("k"), *map(none, ("n", "r", "t", "i")), F.lit(0).alias("copies"))
+    ordered = same.unionByName(heads).repartitionByRange("c", "k", "n", "r", F.left("t", F.lit(256)), "i").sortWithinPartitions("c", "k", "n", "r", "t", "i")
+    schema = T._parse_datatype_string(f"c {dict(same.dtypes)['c']}, {_FORMATTED}")
+    want = to_arrow_schema(schema)
+
+    def scan(batches):
+        to, base = template(file), TaskContext.get().partitionId() << 32
+        marks = [np.array([to.base + k], np.int32) for k in (BEGIN, TURN, SAYS, END)]
+        conv, first, cuts, made = None, True, 0, 0
+        own = None  # ids, steps of the mask as (place, change), shown strings, turns, bytes, ids so far
+
+        def out(whole):
+            nonlocal made
+            made += 1
+            ids, places, shown, turns, _, size = own
+            step = np.zeros(size + 1, np.int64)
+            for a, b in places:
+                step[a] += 1
+                step[b] -= 1
+            mask = np.cumsum(step)[:-1].astype(np.uint8)
+            row = [[conv], [base + made], [whole], [turns], [np.concatenate(ids)], [mask.tobytes()], ["".join(shown)]]
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(row, want, strict=True)], schema=want)
+
+        def add(ids, learn, shown, turns, held):
+            places = own[1]
+            if learn is not None:
+                places.append((own[5] + learn[0], own[5] + learn[1]))
+            own[0].append(ids)
+            own[2].append(shown)
+            own[3] += turns
+            own[4] += held
+            own[5] += ids.size
 
-    def assemble(batches):
-        to = template(file)
         for batch in batches:
-            for i in range(batch.num_rows):
-                w = batch.column(1)[i].values
-                ids = w.field("ids")
-                flat, first = ids.flatten().to_numpy(), np.asarray(ids.offsets) - ids.offsets[0].as_py()
-                ids = np.concatenate((np.array([to.base + BEGIN], np.int32), flat))
-                learn = w.field("learn").to_numpy(zero_copy_only=False)
-                step = np.zeros(ids.size + 1, np.int64)
-                np.add.at(step, 1 + first[:-1][learn] + w.field("body").to_numpy()[learn], 1)
-                np.add.at(step, 1 + first[1:][learn], -1)
-                mask = np.cumsum(step)[:-1].astype(np.uint8)
-                shown = RESERVED[BEGIN] + "".join(w.field("shown").to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), pa.array([len(w)], pa.int64()), pa.array([ids]), pa.array([mask.tobytes()], pa.binary()), pa.array([shown])], ["c", "n_turns", "input_ids", "loss_mask", "formatted"])
-
-    return whole.mapInArrow(assemble, schema).withColumnRenamed("c", conv_id)
+            for small in blocks(batch, "t"):
+                roles, texts = ([escape(x or "") for x in small.column(i).to_pylist()] for i in (3, 4))
+                heads, bodies = ([np.frombuffer(x, "<u4").astype(np.int32) for x in to.code.batch(y)] for y in (roles, texts))
+                plain, kinds, copies = (small.column(i).to_pylist() for i in (3, 1, 6))
+                for c, k, said, n, r, t, h, b in zip(small.column(0).to_pylist(), kinds, plain, copies, roles, texts, heads, bodies, strict=True):
+                    if own is None or c != conv:
+                        if own is not None:
+                            # Only the first and the last conversation of a range may go on in another one.
+                            yield out(not first and cuts == 0)
+                            first, cuts = False, 0
+                        conv, own = c, [[], [], [], 0, 0, 0]
+                    if k == 0:
+                        add(marks[0], None, RESERVED[BEGIN], 0, 0)
+                        continue
+                    ids = np.concatenate((marks[1], h, marks[2], b, marks[3]))
+                    learn = (h.size + 2, ids.size) if said == LEARN_FROM else None
+                    shown = f"{RESERVED[TURN]}{r}{RESERVED[SAYS]}{t}{RESERVED[END]}"
+                    for _ in range(n):
+                        if own[3] >= piece_rows or own[4] >= PIECE_BYTES:
+                            yield out(False)
+                            own, cuts = [[], [], [], 0, 0, 0], cuts + 1
+                        add(ids, learn, shown, 1, len(shown))
+        if own is not None:
+            yield out(False)
+
+    return ordered.mapInArrow(scan, schema).withColumnRenamed("c", conv_id)
 
 
 def chat_digests(chats: DataFrame, file: str, conv_id: str = "conv_id") -> DataFrame:
-    """Digests per conversation, read back from its ids, mask and formatted string."""
-    schema = f"{conv_id} {dict(chats.dtypes)[conv_id]}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-
-    def run(batches):
+    """Digests per conversation, read back from the ids, masks and formatted strings of its pieces.
+
+    Pieces of long conversations stream through one task in order; one is held at a time.
+    """
+    kind = dict(chats.dtypes)[conv_id]
+    key = to_arrow_schema(T._parse_datatype_string(f"c {kind}")).field("c").type
+    fields = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    names = [x.split()[0] for x in fields.split(", ")]
+
+    class Sums:
+        def __init__(self):
+            self.n, self.lost, self.chars = 0, 0, 0
+            self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
+
+        def add(self, said: str, n: int, lost: str, chars: int):
+            self.n, self.lost, self.chars = self.n + n, self.lost + len(lost), self.chars + chars
+            self.turns.update(said.encode())
+            self.loss.update(lost.encode())
+
+        def out(self):
+            return [self.n, self.turns.hexdigest(), self.lost, self.loss.hexdigest(), self.chars]
+
+    def read(batches):
+        """Digests of whole conversations; of other pieces what was read from them."""
         to = template(file)
         for batch in batches:
+            rows = []
             for i in range(batch.num_rows):
-                ids = batch.column(1)[i].values.to_numpy()
+                ids = batch.column(3)[i].values.to_numpy()
                 turns = to.turns(ids)
-                lost = to.learned(ids, np.frombuffer(batch.column(2)[i].as_py(), np.uint8))
-                said = hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
-                out = [[len(turns)], [said], [len(lost)], [hashlib.sha256(lost.encode()).hexdigest()], [len(batch.column(3)[i].as_py())]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, 1), *map(pa.array, out)], [conv_id, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+                lost = to.learned(ids, np.frombuffer(batch.column(4)[i].as_py(), np.uint8))
+                said, chars = "".join(f"{r}\n{t}\n" for r, t in turns), len(batch.column(5)[i].as_py())
+                whole = batch.column(2)[i].as_py()
+                sums = Sums()
+                if whole:
+                    sums.add(said, len(turns), lost, chars)
+                rows.append([*(sums.out() if whole else [len(turns), None, None, None, chars]), None if whole else said, None if whole else lost])
+            cols = [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *cols], ["c", "piece", "whole", *names, "said", "lost"])
+
+    def join(batches):
+        conv, sums = None, None
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array([conv], key), *map(pa.array, zip(sums.out()))], ["c", *names])  # noqa: B905
 
-    return chats.select(conv_id, "input_ids", "loss_mask", "formatted").mapInArrow(run, schema)
+        for batch in batches:
+            for c, n, chars, said, lost in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if sums is None or c != conv:
+                    if sums is not None:
+                        yield out()
+                    conv, sums = c, Sums()
+                sums.add(said, n, lost, chars)
+        if sums is not None:
+            yield out()
+
+    chats = chats.select(F.col(conv_id).alias("c"), "piece", "whole", "input_ids", "loss_mask", "formatted")
+    first = cut_lineage(chats.mapInArrow(read, f"c {kind}, piece long, whole boolean, {fields}, said string, lost string"))
+    rest = first.filter("not whole").repartition("c").sortWithinPartitions("c", "piece").select("c", "n_turns", "formatted_chars", "said", "lost")
+    return first.filter("whole").select("c", *names).unionByName(rest.mapInArrow(join, f"c {kind}, {fields}")).withColumnRenamed("c", conv_id)

@@ -46,6 +46,25 @@ def test_odd_rows_ids_and_mask(spark):
     assert chat.format_chats(df.limit(0), FILE).count() == 0
 
 
+def test_long_conversations_and_copies_in_bounded_rows(spark):
+    rows = [(1, i // 3, ["user", "assistant", "tool"][i % 3], f"turn {i} <|end|> of many") for i in range(3000)]
+    rows += [(1, 400, "assistant", "the same again")] * 1500 + [(None, None, "assistant", "x")] * 700
+    rows += [(c, t, "assistant" if t % 2 else "user", f"{c} says {t}") for c in range(2, 300) for t in range(4)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)
+    for piece in (64, 4096):
+        chats = chat.format_chats(df, FILE, piece_rows=piece).cache()
+        sizes = [r.n_turns for r in chats.select("n_turns").collect()]
+        assert sum(sizes) == len(rows) and max(sizes) <= piece
+        assert {r[0]: tuple(r)[1:5] for r in chat.chat_digests(chats, FILE).collect()} == want(rows)
+        base, ids = chat.template(FILE).base, {}
+        for r in chats.orderBy("piece").collect():
+            assert len(r.input_ids) == len(r.loss_mask)
+            ids.setdefault(r.conv_id, []).extend(r.input_ids)
+        assert all(x.count(base) == 1 and x[0] == base for x in ids.values())
+    # The largest turn of a small piece limit in bytes.
+    assert chats.filter("whole").count() > 250
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.sampled_from(["<", "</s>", "[INST]", "\\", "|", "end|>", "<|end|>", "[", "/INST]", "s>", "a", "<s>"]), max_size=12))
 def test_escaping_is_reversible_and_hides_control_strings(parts):
