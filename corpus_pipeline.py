@@ -3,7 +3,9 @@
 Each stage takes the documents its predecessor kept and, but for the last,
 returns documents of the same columns. Null texts and ids, repeated rows and
 empty tables are handled as the operators say; documents without an id are kept
-by the near-copy stage, and rows that repeat an id leave it once.
+by the near-copy stage, and rows that repeat an id leave it once, as the row with
+the smallest text. Columns that a stage adds and drops take names no document
+column has.
 """
 
 from __future__ import annotations
@@ -16,30 +18,42 @@ from headrace.llm import decontaminate, jaccard, mixing, tokens, toxicity
 from headrace.session import cut_lineage
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxic probability, last of the chain, is below the limit."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     names = toxicity.categories_of(labels)
-    scored = toxicity.score(docs, toxicity.train(docs, labels, names), "__p")
-    return scored.filter(F.col("__p")[list(names).index("toxic")] < toxicity.REJECT).select(*docs.columns)
+    p = free_name(docs, "p")
+    scored = toxicity.score(docs, toxicity.train(docs, labels, names), p)
+    return scored.filter(F.col(p)[list(names).index("toxic")] < toxicity.REJECT).select(*docs.columns)
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class of linked texts."""
     first = jaccard.jaccard_classes(docs.select("doc_id", "text")).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    kept = docs.join(first, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct("text", *rest)).alias("row")).select("doc_id", "row.*")
     return kept.unionByName(docs.filter("doc_id is null")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of a benchmark item occurs."""
-    hits = decontaminate.benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "__hits")
-    return hits.filter(F.size("__hits.spans") == 0).select(*docs.columns)
+    name = free_name(docs, "hits")
+    hits = decontaminate.benchmark_hits(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), name)
+    return hits.filter(F.size(f"{name}.spans") == 0).select(*docs.columns)
 
 
 def sample_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents drawn with the calibrated probability of their source, language and topic."""
-    return mixing.mix(docs, name="__m").filter("__m.selected").select(*docs.columns)
+    name = free_name(docs, "mix")
+    return mixing.mix(docs, name=name).filter(F.col(f"{name}.selected")).select(*docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
