@@ -13,7 +13,7 @@ from ..functions.expr import add_hours, carry_forward, col, running_number
 NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
 
 # Prefixes that carry no information once the measure is known.
-GROUP_PREFIXES = ["generated_mw_", "outage_of_plants_", "spillage_", "spillway_gate_opening_in_meters_", "elevation_"]
+GROUP_PREFIXES = ["generated_mw_", "outage_of_plants_", "spillage_", "spillway_gate_opening_in_meters_", "total_gate_open_per_[a-z]+_in_meters_", "elevation_"]
 
 # Accepted spellings of model names.
 MODEL_ALIASES = {

@@ -33,7 +33,7 @@ def test_flexible_timestamp(spark, stamp, date, hour, want):
 
 @pytest.mark.parametrize("raw,want", [
     ("gen_abc_1_abc_1_unit2", "gen_abc1_abc_1_unit2"), ("gen_abc1_gen_abc1_unit2", "gen_abc1_unit2"), ("out_abc1_abc1_unit1", "out_abc1_unit1"),
-    ("gen_abc1_total_gen_abc1", "total_gen_abc1"), ("Daily Rainfall (mm)", "rainfall"),
+    ("gen_abc1_total_gen_abc1", "total_gen_abc1"), ("Daily Rainfall (mm)", "rainfall"), ("Total Gate Open per Abc in meters Tot Abc 1", "tot_abc1"), ("Spillway Gate Opening in meters Spill Abc 4 Gate 2", "spill_abc4_gate_2"),
 ])
 def test_standard_names(spark, raw, want):
     assert one(spark, N.standard_name("x"), x=raw) == want
