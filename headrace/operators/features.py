@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions.expr import add_hours, col, series_window
+from .slices import assert_before_origin, last_known
 
 
 def _wave(x, period: float, prefix: str) -> list[Column]:
@@ -181,10 +182,11 @@ def feature_select(columns: list[str]) -> list[str]:
     return chosen
 
 
-def serving_row(last: DataFrame, names: list[str], origin: str = "origin", step: int = 1) -> DataFrame:
+def serving_row(last: DataFrame, names: list[str], origin: str = "origin", step: int | Column = 1) -> DataFrame:
     """Inputs for ``origin + step``: lags from the last row, calendar of the target hour.
 
-    Calendar fields describe the predicted hour both here and in training.
+    Calendar fields describe the predicted hour both here and in training. A step
+    that is a column is returned as ``h``.
     """
     target = add_hours(origin, step - 1)
     fields = {}
@@ -193,6 +195,19 @@ def serving_row(last: DataFrame, names: list[str], origin: str = "origin", step:
         tags = ["hour_sin", "hour_cos", "day_sin", "day_cos"] + (["month_sin", "month_cos"] if prefix == "" else []) + ["is_weekend"]
         fields.update({prefix + t: c for t, c in zip(tags, cols)})
     return last.select(
-        "site", origin,
+        "site", origin, *([] if isinstance(step, int) else [step.alias("h")]),
         *[(fields[n] if n in fields else F.coalesce(F.col(n).cast("double"), F.lit(0.0))).alias(n) for n in names],
     )
+
+
+def serving_rows(frame: DataFrame, names: list[str], origins: DataFrame, steps: int = S.HORIZON) -> DataFrame:
+    """(site, origin, h, inputs) for every origin and step, from the training frame itself.
+
+    The as-of step keeps a day's last row, so no row meets more origins than it
+    serves; steps are exploded last. Sites without a row before an origin have none.
+    """
+    inputs = [n for n in names if n in frame.columns]
+    known = last_known(frame.select("site", "ts", F.struct(*inputs).alias("_row")), ["site"], "_row", origins)
+    checked = assert_before_origin(known, "ts_known").where("ts_known is not null")
+    each = checked.select("site", "origin", "_row.*", F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("_h"))
+    return serving_row(each, names, step=F.col("_h"))

@@ -18,6 +18,46 @@ def history_before(df: DataFrame, origin, ts: str = "ts") -> DataFrame:
     return df.where(F.col(ts) < origin)
 
 
+def known_from(df: DataFrame, origins: DataFrame, ts: str = "ts") -> DataFrame:
+    """Rows before any origin, each with ``known_from``, the first origin day after it.
+
+    The history of an origin is the rows with ``known_from <= origin``, so one copy of
+    the rows serves all origins. The day's origin is found once per day and joined back.
+    """
+    days = df.select(day_of(ts).alias("_d")).distinct().withColumn("_all", _origin_days(origins))
+    first = F.array_min(F.filter("_all", lambda o: o > F.col("_d")))
+    found = days.select("_d", first.cast("timestamp_ntz").alias("known_from")).where("known_from is not null")
+    return df.withColumn("_d", day_of(ts)).join(found, "_d").drop("_d")
+
+
+def _origin_days(origins: DataFrame):
+    """The origin days as one array, for expressions; one place per day."""
+    return origins.agg(F.collect_set(F.to_date("origin")).alias("o")).select("o").scalar()
+
+
+def history_by_origin(df: DataFrame, keys: list[str], value: str, origins: DataFrame, ts: str = "ts") -> DataFrame:
+    """Size, span, sum and newest value of the history before every origin.
+
+    Each row is added up once, under the first origin that knows it; running sums
+    over a series' origins give the histories, and an origin without new rows repeats
+    the one before. Sums are decimal, hence exact. Origins without history are left out.
+    """
+    money = F.sum(F.col(value).cast("decimal(18,6)"))
+    parts = known_from(df, origins, ts).groupBy(*keys, "known_from").agg(
+        F.count(F.lit(1)).alias("n"), F.min(ts).alias("first_ts"), F.max(ts).alias("last_ts"), money.alias("s"), F.max_by(value, ts).alias("newest")
+    )
+    w = Window.partitionBy(*keys).orderBy("known_from")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    until = F.to_date(F.lead("known_from").over(w))
+    return parts.select(
+        *keys, F.sum("n").over(so_far).alias("n"), F.min("first_ts").over(so_far).alias("first_ts"), "last_ts", "newest",
+        F.sum("s").over(so_far).cast("double").alias("total"), F.to_date("known_from").alias("_from"), until.alias("_until"),
+    ).withColumn("_all", _origin_days(origins)).select(
+        *keys, F.explode(F.filter("_all", lambda o: (o >= F.col("_from")) & (F.col("_until").isNull() | (o < F.col("_until"))))).alias("_o"),
+        "n", "first_ts", "last_ts", "newest", "total",
+    ).select(*keys, F.col("_o").cast("timestamp_ntz").alias("origin"), "n", "first_ts", "last_ts", "newest", "total")
+
+
 def actual_day(df: DataFrame, origins: DataFrame, ts: str = "ts") -> DataFrame:
     """Rows of each origin day: an equi-join on the date."""
     days = origins.select(F.to_date("origin").alias("_d"), "origin")

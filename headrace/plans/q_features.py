@@ -9,8 +9,10 @@ from ..functions.expr import metric_columns, r6, series_window
 from ..operators import baselines as G
 from ..operators import cleaning as D
 from ..operators import features as E
+from ..operators import models as M
 from ..operators import slices as C
 from ..operators import splits as P
+from ..session import cut_lineage
 from . import fixtures as X
 from .fixtures import metric_sql, r6s, rows_sql
 from .registry import Registry
@@ -26,10 +28,17 @@ def rounded(df, skip=("site", "unit", "ts", "origin", "model", "d", "split")):
 
 # --- slices ----------------------------------------------------------------
 
-@REG.add("history_before", "select site, ts, total from site_series, day0 where ts < d0 + interval 25 day")
+@REG.add("history_before", """select s.site, s.ts, s.total, min(o.origin) as known_from from site_series s
+    join origins o on s.ts < o.origin group by s.site, s.ts, s.total""")
 def history_before(spark, sf):
-    _, testing = X.cuts(spark, sf)
-    return C.history_before(X.site_series(spark, sf), testing).select("site", "ts", "total")
+    """The histories of all origins: rows with ``known_from`` up to the origin."""
+    return C.known_from(X.site_series(spark, sf), X.origins(spark, sf)).select("site", "ts", "total", "known_from")
+
+
+@REG.add("history_by_origin", """select s.site, o.origin, count(*) as n, min(s.ts) as first_ts, max(s.ts) as last_ts, arg_max(s.total, s.ts) as newest,
+    cast(sum(cast(s.total as decimal(18,6))) as double) as total from site_series s join origins o on s.ts < o.origin group by s.site, o.origin""")
+def history_by_origin(spark, sf):
+    return C.history_by_origin(X.site_series(spark, sf), ["site"], "total", X.origins(spark, sf))
 
 
 @REG.add("actual_day", "select s.site, o.origin, s.ts, s.total from site_series s join origins o on cast(s.ts as date) = cast(o.origin as date)")
@@ -223,24 +232,24 @@ def feature_select(spark, sf):
     return tall.withColumn("position", order[F.col("feature")])
 
 
-SERVING = ["hour_sin", "hour_cos", "target_hour_sin", "target_hour_cos", "day_sin", "is_weekend", "current", "lag1", "lag24", "lag168", "rollmean24", "rollstd6", "target_lag24", "units_running"]
+SERVING = ["hour_sin", "hour_cos", "day_sin", "day_cos", "month_sin", "month_cos", "is_weekend", *M.feature_names()]
+_CALENDAR = [n for n in SERVING if n.split("target_")[-1] in SERVING[:7]]
+ASOF = FRAME | {
+    "fu": """select f.*, coalesce(p.total, 0.0) as upstream_current from ff f join site_dim d on d.site = f.site
+        left join site_series p on p.site = d.upstream_site and p.ts = f.ts""",
+    "fs": f"""select *, {sql_lags('upstream_current', prefix='upstream_gen_lag')}, case when units_running > 0 then 1 else 0 end as plant_available from fu {W}""",
+    "newest": """select o.origin, f.* from fs f join (select site, origin, max(ts) as ts from site_series join origins on ts < origin group by all) o on o.site = f.site and o.ts = f.ts""",
+    "ahead": "select *, origin + (h - 1) * interval 1 hour as target from (select *, cast(unnest(range(1, 25)) as integer) as h from newest)",
+}
 
 
-@REG.add("serving_row", f"""select site, origin, {r6s('sin(2 * pi() * hour(origin) / 24)')} as hour_sin, {r6s('cos(2 * pi() * hour(origin) / 24)')} as hour_cos,
-    {r6s('sin(2 * pi() * hour(origin) / 24)')} as target_hour_sin, {r6s('cos(2 * pi() * hour(origin) / 24)')} as target_hour_cos,
-    {r6s('sin(2 * pi() * (isodow(origin) - 1) / 7)')} as day_sin, case when isodow(origin) >= 6 then 1 else 0 end as is_weekend,
-    total as current, lag1, lag24, lag168, {r6s('rollmean24')} as rollmean24, {r6s('rollstd6')} as rollstd6, target_lag24, cast(units_running as double) as units_running
-    from (select site, ts, total, units_running, lag(total, 1) over w as lag1, lag(total, 24) over w as lag24, lag(total, 168) over w as lag168,
-      avg(total) over (partition by site order by ts rows 23 preceding) as rollmean24,
-      stddev_samp(total) over (partition by site order by ts rows 5 preceding) as rollstd6,
-      lag(total, 23) over w as target_lag24 from site_series {W}) f
-    join (select cast(d0 as timestamp) + interval 25 day as origin from day0) o on f.ts = o.origin - interval 1 hour""")
+@REG.add("serving_row", f"""select site, origin, h, {sql_calendar('target')}, {sql_calendar('target', 'target_', False)},
+    {', '.join(f"{r6s(f'coalesce(cast({n} as double), 0.0)')} as {n}" for n in SERVING if n not in _CALENDAR)} from ahead""", ASOF)
 def serving_row(spark, sf):
-    _, origin = X.cuts(spark, sf)
-    recent = X.site_series(spark, sf).where((F.col("ts") < origin) & (F.col("ts") >= origin - F.expr("interval 240 hours")))
-    f = E.site_features(recent).withColumn("origin", origin)
-    last = f.groupBy("site", "origin").agg(F.max_by(F.struct(*f.drop("site", "origin").columns), "ts").alias("r")).select("site", "origin", "r.*")
-    return rounded(E.serving_row(last, SERVING))
+    """Every origin and step with the full list of model inputs."""
+    series = cut_lineage(X.site_series(spark, sf))
+    frame = M.model_frame(series, X.site_dim(spark, sf).select("site", "upstream_site"))
+    return rounded(E.serving_rows(frame, SERVING, X.origins(spark, sf)))
 
 
 # --- splits ----------------------------------------------------------------
