@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .. import settings as S
 from ..functions.expr import cap_clip, clip, metric_columns, operational_threshold, score_struct
+from ..session import cut_lineage
 
 
 def level_from_delta(current="current", delta="delta", capacity="capacity", shrinkage=1.0, bias=0.0) -> Column:
@@ -145,13 +146,36 @@ def fit_bin_calibration(
     return chosen.select(*best.columns, "b.edges", "b.corrections")
 
 
+def fit_bin_calibration_by_site(rows: DataFrame, rules: DataFrame, weight: float = S.R2_WEIGHT_PRIMARY) -> DataFrame:
+    """Bins whose basis and largest count are each site's own: (site, basis, q, scale, edges, corrections).
+
+    ``rules`` has ``site, basis, wide``: the basis is "current" or "pred" (the base
+    prediction), and ``wide`` sites try up to 40 bins instead of 20. Sites without a
+    rule have neither.
+    """
+    own = rows.join(rules.select("site", "basis", "wide"), "site", "left").withColumns({
+        "basis": F.coalesce("basis", F.lit("current")), "wide": F.coalesce("wide", F.lit(False)),
+    })
+    value = F.when(F.col("basis") == "pred", F.col("pred")).otherwise(F.col("current"))
+    own = cut_lineage(own.withColumn("_basis", value))
+    part = lambda wide: fit_bin_calibration(own.where(F.col("wide") == wide), "_basis", S.BIN_QUANTILES_WIDE if wide else S.BIN_QUANTILES, weight=weight)
+    fits = part(False).unionByName(part(True))
+    return fits.join(own.groupBy("site").agg(F.first("basis").alias("basis"), F.first("wide").alias("wide")), "site")
+
+
 def apply_bin_calibration(rows: DataFrame, fit: DataFrame, basis: str = "current") -> DataFrame:
-    """Add scale * correction of the value's bin; unknown bins add nothing."""
-    own = fit.select("site", "scale", "edges", "corrections")
-    shift = F.coalesce(F.try_element_at("corrections", bin_id(basis)), F.lit(0.0))
-    done = cap_clip(F.col("pred") + F.col("scale") * shift, "capacity")
+    """Add scale * correction of the value's bin; unknown bins add nothing.
+
+    A fit with a column ``basis`` names it for each site.
+    """
+    named = "basis" in fit.columns
+    own = fit.select("site", "scale", "edges", "corrections", *([F.col("basis").alias("_basis")] if named else []))
     out = rows.join(own, "site", "left")
-    return out.withColumn("pred", F.when(F.col("scale").isNotNull(), done).otherwise(F.col("pred"))).drop("scale", "edges", "corrections")
+    if named:
+        out = out.withColumn("_value", F.when(F.col("_basis") == "pred", F.col("pred")).otherwise(F.col("current")))
+    shift = F.coalesce(F.try_element_at("corrections", bin_id("_value" if named else basis)), F.lit(0.0))
+    done = cap_clip(F.col("pred") + F.col("scale") * shift, "capacity")
+    return out.withColumn("pred", F.when(F.col("scale").isNotNull(), done).otherwise(F.col("pred"))).drop("scale", "edges", "corrections", "_basis", "_value")
 
 
 # --- hour of day -----------------------------------------------------------
@@ -210,6 +234,12 @@ def fit_level_anchor_blend(rows: DataFrame, weight: float = S.R2_WEIGHT_RIVAL) -
     return fit_grid(rows, params, anchor_blend(F.col("anchor_weight"), F.col("current_weight")), weight)
 
 
+def apply_level_anchor_blend(rows: DataFrame, fit: DataFrame) -> DataFrame:
+    out = rows.join(fit.select("site", "current_weight", "anchor_weight"), "site", "left")
+    mixed = F.when(F.col("anchor_weight").isNotNull(), anchor_blend(F.col("anchor_weight"), F.col("current_weight"))).otherwise(F.col("pred"))
+    return out.withColumn("pred", mixed).drop("current_weight", "anchor_weight")
+
+
 def tune_saved_blend(stored: DataFrame, history: DataFrame, weights=S.SAVED_BLEND_WEIGHTS, weight: float = S.R2_WEIGHT_PRIMARY) -> DataFrame:
     """Blend weight for stored validation predictions, with its acceptance gate.
 

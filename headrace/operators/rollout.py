@@ -27,8 +27,8 @@ NO_MODEL = {
     "coef": "array<double>", "centers": "array<double>", "mean": "array<double>", "std": "array<double>", "gamma": "double",
 }
 NO_CALIBRATION = {
-    "shrinkage": "double", "bias": "double", "bin_scale": "double", "bin_edges": "array<double>", "bin_shifts": "map<int,double>",
-    "hour_scale": "double", "hour_shift": "array<double>", "blend_weight": "double", "ramp": "double",
+    "shrinkage": "double", "bias": "double", "bin_scale": "double", "bin_edges": "array<double>", "bin_shifts": "map<int,double>", "bin_basis": "string",
+    "hour_scale": "double", "hour_shift": "array<double>", "blend_weight": "double", "anchor_weight": "double", "anchor_current": "double", "ramp": "double",
 }
 
 
@@ -158,14 +158,22 @@ def attach_actuals(forecast: DataFrame, series: DataFrame) -> DataFrame:
     return forecast.join(actual, ["site", "ts"])
 
 
-def pack_calibration(shrink: DataFrame, bins=None, hourly=None, profile=None, ramps=None) -> DataFrame:
+def pack_bins(fit: DataFrame, basis: str = "current") -> DataFrame:
+    """A fit of value bins as calibration columns; ``basis`` is what its edges are on, "current" or "pred"."""
+    own = F.col("basis") if "basis" in fit.columns else F.lit(basis)
+    return fit.select("site", F.col("scale").alias("bin_scale"), F.col("edges").alias("bin_edges"), F.col("corrections").alias("bin_shifts"), own.alias("bin_basis"))
+
+
+def pack_calibration(shrink: DataFrame, bins=None, hourly=None, profile=None, ramps=None, level=None) -> DataFrame:
     """Fitted steps -> one calibration row per site; absent steps stay NULL."""
     out = shrink.select("site", "shrinkage", "bias")
     if bins is not None:
-        out = out.join(bins.select("site", F.col("scale").alias("bin_scale"), F.col("edges").alias("bin_edges"), F.col("corrections").alias("bin_shifts")), "site", "left")
+        out = out.join(pack_bins(bins), "site", "left")
     if hourly is not None:
         by_hour = F.transform(F.sequence(F.lit(1), F.lit(24)), lambda h: F.coalesce(F.try_element_at("corrections", h), F.lit(0.0)))
         out = out.join(hourly.select("site", F.col("scale").alias("hour_scale"), by_hour.alias("hour_shift")), "site", "left")
     if profile is not None:
         out = out.join(profile.select("site", "blend_weight"), "site", "left")
+    if level is not None:
+        out = out.join(level.select("site", "anchor_weight", F.col("current_weight").alias("anchor_current")), "site", "left")
     return out if ramps is None else out.join(ramps.select("site", "ramp"), "site", "left")

@@ -102,34 +102,41 @@ def select_models(
     return ranked.groupBy("site").agg(F.count(F.lit(1)).alias("finalists"), best.alias("b")).select("site", "finalists", "b.*").drop("score")
 
 
-STEPS = ("bin", "hour", "blend")
-FIELDS = {"bin": ["bin_scale", "bin_edges", "bin_shifts"], "hour": ["hour_scale", "hour_shift"], "blend": ["blend_weight"]}
+STEPS = ("bin", "hour", "blend", "anchor")
+FIELDS = {
+    "bin": ["bin_scale", "bin_edges", "bin_shifts", "bin_basis"], "hour": ["hour_scale", "hour_shift"], "blend": ["blend_weight"],
+    "anchor": ["anchor_weight", "anchor_current"],
+}
 
 
 def staged_accept(
     rows: DataFrame, make_states, singles: DataFrame, series: DataFrame, capacity: DataFrame,
-    ramps: DataFrame | None = None, strict: bool = True, weight: float = S.R2_WEIGHT_PRIMARY,
+    ramps: DataFrame | None = None, strict: bool = True, weight: float = S.R2_WEIGHT_PRIMARY, steps=STEPS, bin_rules: DataFrame | None = None,
 ) -> DataFrame:
-    """Add bins, hourly correction and blend in turn; keep what helps each site.
+    """Add bins, hourly correction, blend and level anchor in turn; keep what helps each site.
 
     Each stage fits on the one-step predictions accepted so far and is judged
-    by the rolling score (``<``, or ``<=`` with ``strict=False``). Three stages,
-    one rollout job each, in which both variants of every site run together.
+    by the rolling score (``<``, or ``<=`` with ``strict=False``). At most four
+    stages, one rollout job each, in which both variants of every site run together.
+    ``bin_rules`` are those of :func:`calibration.fit_bin_calibration_by_site`.
     """
     shrink = cut_lineage(H.fit_shrinkage_bias(rows, weight))
     accepted = J.pack_calibration(shrink, ramps=ramps)
     current = cut_lineage(H.apply_shrinkage_bias(rows, shrink))
     log = shrink.select("site", "shrinkage", "bias")
-    for step in STEPS:
+    for step in steps:
         if step == "bin":
-            fit, apply = H.fit_bin_calibration(current, weight=weight), H.apply_bin_calibration
-            packed = fit.select("site", F.col("scale").alias("bin_scale"), F.col("edges").alias("bin_edges"), F.col("corrections").alias("bin_shifts"))
+            fit = H.fit_bin_calibration(current, weight=weight) if bin_rules is None else H.fit_bin_calibration_by_site(current, bin_rules, weight)
+            packed, apply = J.pack_bins(fit), H.apply_bin_calibration
         elif step == "hour":
             fit, apply = H.fit_hourly_correction(current, weight=weight), H.apply_hourly_correction
             packed = J.pack_calibration(shrink, hourly=fit).select("site", "hour_scale", "hour_shift")
-        else:
+        elif step == "blend":
             fit, apply = H.fit_profile_blend(current, weight), H.apply_profile_blend
             packed = fit.select("site", "blend_weight")
+        else:
+            fit, apply = H.fit_level_anchor_blend(current, weight), H.apply_level_anchor_blend
+            packed = J.pack_calibration(shrink, level=fit).select("site", *FIELDS["anchor"])
         packed = cut_lineage(packed)
         both = accepted.withColumn("_v", F.lit("without")).unionByName(
             accepted.drop(*FIELDS[step]).join(packed, "site").withColumn("_v", F.lit("with")), allowMissingColumns=True

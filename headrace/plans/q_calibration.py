@@ -6,6 +6,8 @@ target hour minus the current value, so no trained model is needed.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from .. import settings as S
@@ -136,6 +138,47 @@ def apply_bin_calibration(spark, sf):
     return rounded(H.apply_bin_calibration(rows, H.fit_bin_calibration(rows)).select("site", "ts", "pred"))
 
 
+# One site with its bins on the base prediction and up to 40 of them; the same SQL on that basis.
+OWN_BINS = "purchase"
+_OWN = ("cp", "bl", "bq", "be", "bb", "bm", "bc", "bfit", "bapply")
+
+
+def _own(sql: str) -> str:
+    """The definition of a bin table over the tables of sites with rules of their own."""
+    sql = sql.replace("order by current", "order by basis").replace("round(current, 9)", "round(basis, 9)")
+    sql = sql.replace(f"range({S.BIN_QUANTILES[0]}, {S.BIN_QUANTILES[-1] + 1})", f"range({S.BIN_QUANTILES_WIDE[0]}, {S.BIN_QUANTILES_WIDE[-1] + 1})")
+    sql = sql.replace("from bl cross join bq", f"from bl cross join bq where q <= {S.BIN_QUANTILES[-1]} or site = '{OWN_BINS}'")
+    return re.sub(rf"\b({'|'.join(_OWN)})\b", r"\1_own", sql)
+
+
+OWN = CAL | {"cp_own": f"select *, case when site = '{OWN_BINS}' then pred else current end as basis from cp"}
+OWN |= {f"{n}_own": _own(CAL[n]) for n in _OWN if n != "cp"}
+
+
+def bin_rules(spark, sf):
+    return X.site_dim(spark, sf).select("site", F.when(F.col("site") == OWN_BINS, "pred").otherwise("current").alias("basis"), (F.col("site") == OWN_BINS).alias("wide"))
+
+
+@REG.add("bin_calibration_by_site", f"""select f.site, case when f.site = '{OWN_BINS}' then 'pred' else 'current' end as basis, f.q, f.scale, cast(len(e.edges) as integer) as n_edges,
+    {r6s('f.s1')} as s1 from bfit_own f left join be_own e on e.site = f.site and e.q = f.q""", OWN)
+def bin_calibration_by_site(spark, sf):
+    fit = H.fit_bin_calibration_by_site(with_pred(spark, sf), bin_rules(spark, sf))
+    return rounded(fit.select("site", "basis", "q", "scale", F.when(F.col("edges").isNotNull(), F.size("edges")).alias("n_edges"), "s1"))
+
+
+@REG.add("apply_bins_by_site", f"select site, ts, {r6s('pred')} as pred from bapply_own", OWN)
+def apply_bins_by_site(spark, sf):
+    rows = with_pred(spark, sf)
+    return rounded(H.apply_bin_calibration(rows, H.fit_bin_calibration_by_site(rows, bin_rules(spark, sf))).select("site", "ts", "pred"))
+
+
+@REG.add("apply_level_anchor", f"""select cp.site, cp.ts, {r6s(f"case when f.k = 0 then pred else {clip_sql('((1 - least(f.w, 0.85)) * pred + least(f.w, 0.85) * (f.cw * current + (1 - f.cw) * anchor))')} end")} as pred
+    from cp join afit f on f.site = cp.site""", CAL)
+def apply_level_anchor(spark, sf):
+    rows = with_pred(spark, sf)
+    return rounded(H.apply_level_anchor_blend(rows, H.fit_level_anchor_blend(rows)).select("site", "ts", "pred"))
+
+
 @REG.add("fit_hourly_correction", f"""select f.site, f.scale, {r6s('f.s1')} as s1, (select count(*) from hmed m where m.site = f.site) as hours,
     {r6s('(select sum(shift) from hmed m where m.site = f.site)')} as shift_sum from hfit f""", CAL)
 def fit_hourly_correction(spark, sf):

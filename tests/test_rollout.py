@@ -246,3 +246,48 @@ def test_radial_model_with_centers_per_site(spark):
         penalty = np.diag([1e-9, 1, 1, 1])
         coef = np.linalg.solve(phi.T @ phi + penalty, phi.T @ part[M.TARGET].to_numpy())
         np.testing.assert_allclose(part["delta"], phi @ coef, atol=1e-8)
+
+
+def test_bins_and_anchor_of_the_first_step(spark, world):
+    """Persistence plus a bias, then bins on either basis, then the level anchor: as the one-step operators have it."""
+    from headrace.operators import calibration as H
+
+    edges = [0.0, 20.0, 35.0, 50.0, 120.0]
+    fit = spark.createDataFrame(
+        [("a", "pred", 0.5, edges, {0: 3.0, 1: -4.0, 2: 6.0, 3: -8.0}), ("b", "current", 1.5, edges[1:], {0: 2.0, 2: -1.0})],
+        "site string, basis string, scale double, edges array<double>, corrections map<int,double>",
+    )
+    level = spark.createDataFrame([("a", 0.25, 0.5), ("b", 0.75, 1.0)], "site string, current_weight double, anchor_weight double")
+    shrink = spark.createDataFrame([("a", 1.0, 2.5), ("b", 1.0, -1.5)], "site string, shrinkage double, bias double")
+    series = world["series"]
+    cap = spark.createDataFrame([(s, c) for s, _, c, _ in SITES], "site string, capacity double")
+    anchors = series.select("site", (F.col("ts") + F.expr("interval 23 hours")).alias("ts"), F.col("total").alias("anchor"))
+    rows = series.withColumnRenamed("total", "current").join(anchors, ["site", "ts"]).join(cap, "site").withColumn("delta", F.lit(0.0))
+    steps = H.apply_shrinkage_bias(rows, shrink)
+    steps = H.apply_level_anchor_blend(H.apply_bin_calibration(steps, fit), level)
+    want = {(r["site"], r["ts"]): r["pred"] for r in steps.collect()}
+    full = world["plan"].withColumn("available", F.lit(1))
+    got = J.rollout_24h(states(world, full, calibration=J.pack_calibration(shrink, fit, level=level))).where("h = 1").collect()
+    assert len(got) == 4
+    for r in got:
+        assert abs(r["base_prediction"] - want[r["site"], r["origin"] - pd.Timedelta(hours=1)]) < 1e-6
+
+
+def test_bins_equal_a_search_per_state():
+    """Bins of many states at once equal a digitize of each, edges included; states without bins have none."""
+    rng = np.random.default_rng(5)
+    value, base = rng.integers(0, 9, (40, 2)).astype(float), rng.integers(0, 9, (40, 2)).astype(float)
+    models = {}
+    for r in range(40):
+        for l in range(2):
+            edges = sorted(rng.choice(9, rng.integers(2, 7), replace=False).astype(float).tolist())
+            models[r, l] = {"bin_edges": None if r % 5 == 0 else edges, "bin_basis": [None, "pred", "current"][r % 3],
+                            "bin_shifts": [(b, float(b + 1)) for b in range(len(edges) - 1) if b != 1]}
+    st = {"models": models, "bin_scale": np.where(rng.random((40, 2)) < 0.1, 0.0, 2.0)}
+    got = R._bin_shift(st, value, base)
+    for (r, l), m in models.items():
+        want = 0.0
+        if m["bin_edges"]:
+            v = base[r, l] if m["bin_basis"] == "pred" else value[r, l]
+            want = st["bin_scale"][r, l] * dict(m["bin_shifts"]).get(int(np.digitize(v, m["bin_edges"][1:-1])), 0.0)
+        assert got[r, l] == want
