@@ -18,6 +18,7 @@ from ..operators import selection as Z
 from ..operators import splits as P
 from ..operators import trees as T
 from ..session import cut_lineage
+from ..sources import model_store as K
 from ..sources.tables import scratch
 from . import fixtures as X
 from . import q_calibration as QC
@@ -267,17 +268,49 @@ def predict_delta(spark, sf):
 
 @REG.add("model_store")
 def model_store(spark, sf):
-    """Save, reload, and compare the predictions of both copies."""
+    """Save the three families, reload, and compare the predictions of both copies; other inputs make the store train again.
+
+    The radial model goes in first and the trees beside it, so the last version holds what two saves brought.
+    """
+    names, path = M.feature_names(), scratch(spark, "models")
+    radial, scaled = radial_model(spark, sf)
     rows = training(spark, sf)
-    names, path = M.feature_names(), scratch(spark, "model")
-    model = M.random_forest(rows.where("split = 'train'"), names, (5, 4, 6, "sqrt"))
-    M.save_model(model, path, "forest", names, {"shrinkage": 1.0})
-    again, meta, retrained = M.load_model(path, names)
-    a = M.predict_delta(model, rows).select("site", "ts", F.col("delta").alias("before"))
-    b = M.predict_delta(again, rows).select("site", "ts", F.col("delta").alias("after"))
-    return a.join(b, ["site", "ts"]).groupBy("site").agg(
+    train = rows.where("split = 'train'")
+    grow = lambda inputs: reduce(DataFrame.unionByName, [T.fit(train, inputs, f, [c]) for f, c in (("forest", S.FOREST_CONFIGS[0]), ("boosting", S.BOOSTING_CONFIGS[0]))])
+    trees, calibration = cut_lineage(grow(names)), cut_lineage(fitted(spark, sf))
+    K.save_models(radial.withColumn("family", F.lit("radial")), names, path, calibration)
+    K.save_models(trees, names, path, calibration)
+    again, inputs, retrained = K.load_models(spark, path, names)
+    tested = scaled.where("split = 'testing'")
+    plain = rows.where("split = 'testing'").select("site", "ts", *names)
+    of_trees = lambda models, cols: T.predict(plain, models, cols).select("family", "site", "ts", "delta")
+    of_radial = lambda m: M.rbf_predict(tested, m).select(F.lit("radial").alias("family"), "site", "ts", "delta")
+    before = of_trees(trees, names).unionByName(of_radial(radial)).withColumnRenamed("delta", "before")
+    stored = reduce(DataFrame.unionByName, [K.family(again, f) for f in ("forest", "boosting")])
+    after = of_trees(stored, inputs).unionByName(of_radial(K.family(again, "radial"))).withColumnRenamed("delta", "after")
+    _, fewer, anew = K.load_models(spark, path, SMALL, lambda: grow(SMALL))
+    return before.join(after, ["family", "site", "ts"]).groupBy("family", "site").agg(
         F.count(F.lit(1)).alias("rows"), r6(F.max(F.abs(F.col("before") - F.col("after")))).alias("largest_difference")
-    ).withColumn("retrained", F.lit(retrained))
+    ).withColumns({"retrained": F.lit(retrained), "retrained_on_other_inputs": F.lit(anew), "inputs": F.lit(len(fewer))})
+
+
+STORED = QC.CAL | QC.BLEND
+
+
+@REG.add("serving_calibration", f"""select f.site, f.w as fitted_blend, case when t.k > 0 and t.rmse <= t.rmse0 and t.r2 >= t.r20 then t.w end as saved_blend,
+    coalesce(case when t.k > 0 and t.rmse <= t.rmse0 and t.r2 >= t.r20 then t.w end, f.w) as blend_weight
+    from pfit f left join tb t on t.site = f.site and t.model = 'naive24'""", STORED)
+def serving_calibration(spark, sf):
+    """A stored blend overrides the fitted one once a model is served from the store."""
+    rows, path = QC.with_pred(spark, sf), scratch(spark, "models")
+    shrink = cut_lineage(H.fit_shrinkage_bias(rows))
+    fit = cut_lineage(J.pack_calibration(shrink, profile=H.fit_profile_blend(rows)))
+    tuned = H.tune_saved_blend(X.predictions(spark, sf).where("split = 'validation'"), X.site_series(spark, sf))
+    model, _ = linear_tables(X.site_dim(spark, sf))
+    K.save_models(model.withColumn("family", F.lit("radial")), M.feature_names(), path, K.with_saved_blend(fit, tuned, "naive24"))
+    stored, _, _ = K.load_models(spark, path, M.feature_names())
+    served = K.serving_calibration(stored, "radial").select("site", "blend_weight")
+    return stored.select("site", F.col("blend_weight").alias("fitted_blend"), "saved_blend").join(served, "site")
 
 
 # --- rollouts --------------------------------------------------------------
@@ -324,6 +357,75 @@ def rollout_persistence(spark, sf):
     return rounded(out.select("site", "origin", "h", "predicted"))
 
 
+# A model and a calibration given as numbers, so that SQL can roll the same 24 hours.
+LINEAR = {
+    "intercept": 0.75, "target_hour_sin": 1.5, "current": -0.25, "lag1": 0.125, "lag24": 0.0625, "rollmean24": 0.125, "rollmin3": 0.0625,
+    "diff1": 0.125, "target_lag24": 0.125, "target_lag168": 0.0625, "upstream_current": 0.03125,
+}
+FIXED = {"shrinkage": 0.75, "bias": 0.5, "hour_scale": 0.5, "blend_weight": 0.2, "anchor_weight": 0.25, "anchor_current": 0.5, "ramp": 60.0}
+HOUR_SHIFT = [(h - 11.5) / 8 for h in range(24)]
+
+
+def linear_tables(site_dim):
+    """(model, calibration): the same numbers for every site."""
+    names = M.feature_names()
+    coef = [LINEAR["intercept"], *[LINEAR.get(n, 0.0) for n in names]]
+    model = site_dim.select(
+        "site", constant_array(coef).alias("coef"), F.array().cast("array<double>").alias("centers"),
+        constant_array([0.0] * len(names)).alias("mean"), constant_array([1.0] * len(names)).alias("std"), F.lit(1.0).alias("gamma"),
+    )
+    return model, site_dim.select("site", *[F.lit(v).alias(k) for k, v in FIXED.items()], constant_array(HOUR_SHIFT).alias("hour_shift"))
+
+
+def linear_rollouts(spark, sf):
+    """The fixed model as whole cascades and as single sites, every unit available: (bench, forecast with ``kind``)."""
+    b = Bench(spark, sf)
+    model, calibration = linear_tables(b.site_dim)
+    kinds = [m(b.site_dim).withColumn("cascade", F.concat(F.lit(f"{k}|"), "cascade")) for k, m in (("cascade", J.whole_cascade), ("plant", J.single_sites))]
+    members = cut_lineage(reduce(DataFrame.unionByName, kinds))
+    out = J.rollout_24h(b.states(members, calibration, model, plan=b.plan.withColumn("available", F.lit(1))))
+    return b, out.withColumn("kind", F.split("cascade", r"\|")[0])
+
+
+_cap = lambda x: f"least(greatest({x}, 0.0), {S.CAPACITY_HEADROOM} * capacity)"
+_w = LINEAR
+ROLL = BACKTEST | {
+    "past": """select s.site, o.origin, list(s.total order by s.ts) as hist from site_series s join origins o on s.ts < o.origin and s.ts >= o.origin - interval 240 hour
+        join btd on btd.d = cast(o.origin as date) and btd.split <> 'train' group by s.site, o.origin""",
+    "start": """select k.kind, p.site, p.origin, d.capacity, d.upstream_site, u.hist[-1] as held, p.hist from past p join site_dim d on d.site = p.site
+        left join past u on u.site = d.upstream_site and u.origin = p.origin cross join (values ('cascade'), ('plant')) k(kind)""",
+    "roll": f"""select kind, site, origin, capacity, upstream_site, held, hist, 0 as recursive_step, cast(0 as double) as predicted from start
+        union all select kind, site, origin, capacity, upstream_site, held, list_append(hist[2:], p), recursive_step + 1, p from (
+          select * exclude (p3), least({_cap(f'least(greatest(p3, hist[-1] - {FIXED["ramp"]}), hist[-1] + {FIXED["ramp"]})')}, capacity) as p from (
+          select * exclude (p2), {_cap(f'(1 - {FIXED["anchor_weight"]}) * p2 + {FIXED["anchor_weight"]} * ({FIXED["anchor_current"]} * hist[-1] + (1 - {FIXED["anchor_current"]}) * hist[-24])')} as p3 from (
+          select * exclude (p1), {_cap(f'(1 - {FIXED["blend_weight"]}) * p1 + {FIXED["blend_weight"]} * hist[-24]')} as p2 from (
+          select * exclude (delta), {_cap(f'hist[-1] + {FIXED["shrinkage"]} * delta + {FIXED["bias"]} + {FIXED["hour_scale"]} * (recursive_step - 11.5) / 8')} as p1 from (
+          select a.kind, a.site, a.origin, a.capacity, a.upstream_site, a.held, a.hist, a.recursive_step,
+            {_w['intercept']} + {_w['target_hour_sin']} * sin(2 * pi() * a.recursive_step / 24) + {_w['current']} * a.hist[-1] + {_w['lag1']} * a.hist[-2] + {_w['lag24']} * a.hist[-25]
+            + {_w['rollmean24']} * list_avg(a.hist[-24:]) + {_w['rollmin3']} * list_min(a.hist[-3:]) + {_w['diff1']} * (a.hist[-1] - a.hist[-2])
+            + {_w['target_lag24']} * a.hist[-24] + {_w['target_lag168']} * a.hist[-168]
+            + {_w['upstream_current']} * coalesce(case when a.kind = 'plant' then a.held else u.hist[-1] end, 0.0) as delta
+          from roll a left join roll u on u.kind = a.kind and u.origin = a.origin and u.site = a.upstream_site where a.recursive_step < 24)))))""",
+    "rolled": "select kind, site, origin, cast(recursive_step as integer) as h, origin + (recursive_step - 1) * interval 1 hour as ts, capacity, predicted from roll where recursive_step > 0",
+}
+
+
+@REG.add("rollout_linear", f"select kind, site, origin, h, {r6s('predicted')} as predicted from rolled", ROLL)
+def rollout_linear(spark, sf):
+    """Every step of a linear model with bias, hourly shift, blend, level anchor and ramp; upstream forecasts feed downstream ones."""
+    _, out = linear_rollouts(spark, sf)
+    return out.select("kind", "site", "origin", "h", r6("predicted").alias("predicted"))
+
+
+@REG.add("linear_backtests", f"""select kind, site, split, n, {', '.join(f'{r6s(c)} as {c}' for c in ('operational_mape', 'mae', 'rmse', 'r2'))} from (
+    select r.kind, r.site, btd.split, count(*) as n, {metric_sql('s.total', 'r.predicted', 'r.capacity')} from rolled r
+    join site_series s on s.site = r.site and s.ts = r.ts join btd on btd.d = cast(r.origin as date) group by all)""", ROLL)
+def linear_backtests(spark, sf):
+    """Rolling scores of the fixed model by split: whole cascades, and sites with their upstream held."""
+    b, out = linear_rollouts(spark, sf)
+    return rounded(b.scored(out).groupBy("kind", "site", "split").agg(F.count(F.lit(1)).alias("n"), *metric_columns()))
+
+
 @REG.add("rollout_24h")
 def rollout_24h(spark, sf):
     b = Bench(spark, sf, ("testing",))
@@ -437,5 +539,5 @@ def two_stage_select(spark, sf):
 @REG.add("staged_accept")
 def staged_accept(spark, sf):
     b, rows, make = selection_inputs(spark, sf)
-    out = Z.staged_accept(rows, make, J.single_sites(b.site_dim), b.series, b.site_dim, QC.train_ramps(spark, sf))
-    return rounded(out.select("site", "shrinkage", "bias", "bin_accepted", "hour_accepted", "blend_accepted"))
+    out = Z.staged_accept(rows, make, J.single_sites(b.site_dim), b.series, b.site_dim, QC.train_ramps(spark, sf), bin_rules=QC.bin_rules(spark, sf))
+    return rounded(out.select("site", "shrinkage", "bias", *[f"{step}_accepted" for step in Z.STEPS]))
