@@ -12,6 +12,7 @@ are in ``trees``.
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -108,17 +109,18 @@ def lloyd_round(rows: DataFrame, centers: DataFrame, x: str = "x") -> DataFrame:
     return both.withColumn("next", moved).select("site", F.col("next").alias("centers"), F.when(size > 0, step).otherwise(0.0).alias("moved"))
 
 
-def site_centers(scaled: DataFrame, k: int, x: str = "x", seed: int = 42, rounds: int = 300, tolerance: float = 1e-4) -> DataFrame:
+def site_centers(scaled: DataFrame, k: int | str, x: str = "x", seed: int = 42, rounds: int = 300, tolerance: float = 1e-4) -> DataFrame:
     """(site, centers): ``k`` centers per site, the last repeated where a site has fewer rows.
 
-    Seeded by rows of smallest hash; stops when no center of any site moves by more
-    than ``tolerance`` (squared). Each round's centers are written, k times the
-    number of inputs a site.
+    ``k`` is a number, or the column that has each site's. Seeded by rows of smallest
+    hash; stops when no center of any site moves by more than ``tolerance`` (squared).
+    Each round's centers are written, k times the number of inputs a site.
     """
+    many = F.lit(k) if isinstance(k, int) else F.col(k)
     order = Window.partitionBy("site").orderBy(F.xxhash64(F.lit(seed), x), x)
-    first = scaled.select("site", x).distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
-    found = first.groupBy("site").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", x))), lambda r: r[x]).alias("c"))
-    padded = F.concat("c", F.array_repeat(F.element_at("c", -1), F.lit(k) - F.size("c")))
+    first = scaled.select("site", x, many.alias("_k")).distinct().withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("_k"))
+    found = first.groupBy("site").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", x))), lambda r: r[x]).alias("c"), F.first("_k").alias("_k"))
+    padded = F.concat("c", F.array_repeat(F.element_at("c", -1), F.col("_k") - F.size("c")))
     centers = cut_lineage(found.select("site", padded.alias("centers")))
     for _ in range(rounds):
         centers = cut_lineage(lloyd_round(scaled, centers, x))
@@ -224,6 +226,50 @@ def rbf_predict(scaled: DataFrame, model: DataFrame, centers: list[list[float]]
     return out.drop("centers") if centers is None else out
 
 
+def radial_points(site_dim: DataFrame) -> DataFrame:
+    """(site, point, n_centers, gamma): the search points that give models of their own.
+
+    Step size, batch and patience steer an iterative fit; the ridge fit has none of
+    them, so points that differ in nothing else are one.
+    """
+    found = config_grid(site_dim).select("site", "n_centers", "gamma").distinct()
+    return found.withColumn("point", F.row_number().over(Window.partitionBy("site").orderBy("n_centers", "gamma")))
+
+
+def radial_search(train: DataFrame, points: DataFrame, width: int, ridge: float = 1.0, x: str = "x") -> DataFrame:
+    """(site, point, coef, centers, gamma, rows) for every search point of every site.
+
+    Centers do not depend on the width of a unit, so each (site, number of centers) is
+    one key of shared Lloyd rounds, whatever the number of points with it. ``gamma`` is
+    stated per input: it is divided by ``width``, the number of inputs. Rows are copied
+    once per number of centers in the join that feeds a task's sums, never written.
+    """
+    key = F.concat_ws("|", "site", "n_centers")
+    plain = train.select("site", x, TARGET)
+    sizes = points.select("site", "n_centers").distinct()
+    centers = site_centers(plain.join(sizes, "site").select(key.alias("site"), x, "n_centers"), "n_centers", x)
+    centers = cut_lineage(centers.select(F.regexp_extract("site", r"^(.*)\|", 1).alias("site"), F.regexp_extract("site", r"\|(\d+)$", 1).cast("int").alias("n_centers"), "centers"))
+    place = F.concat_ws("|", "site", "point")
+    fits = []
+    for g in sorted(r["gamma"] for r in points.select("gamma").distinct().collect()):
+        at = points.where(F.col("gamma") == g)
+        mine = at.join(centers, ["site", "n_centers"]).select(place.alias("site"), "centers")
+        rows = plain.join(at.select("site", "point"), "site").select(place.alias("site"), x, TARGET)
+        fits.append(rbf_regression(rows, mine, gamma=g / width, ridge=ridge, x=x))
+    found = reduce(DataFrame.unionByName, fits)
+    return found.select(
+        F.regexp_extract("site", r"^(.*)\|", 1).alias("site"), F.regexp_extract("site", r"\|(\d+)$", 1).cast("int").alias("point"), "coef", "centers", "gamma", "rows"
+    )
+
+
+def radial_predict_points(scaled: DataFrame, models: DataFrame, points: DataFrame) -> DataFrame:
+    """``scaled`` once per search point of its site, with ``point`` and ``delta``."""
+    place = F.concat_ws("|", "site", "point")
+    rows = scaled.join(points.select("site", "point"), "site").withColumn("_site", F.col("site")).withColumn("site", place)
+    out = rbf_predict(rows, models.withColumn("site", place))
+    return out.withColumn("site", F.col("_site")).drop("_site")
+
+
 # --- trees -----------------------------------------------------------------
 
 def _tree_inputs(columns: list[str]) -> list:

@@ -102,9 +102,12 @@ def _with(df: DataFrame, extra: DataFrame | None, columns: dict[str, str], keys:
 
 def states(
     members: DataFrame, series: DataFrame, units: DataFrame, unit_dim: DataFrame, plan: DataFrame, origins: DataFrame,
-    model: DataFrame | None = None, calibration: DataFrame | None = None, calibration_keys=("site",),
+    model: DataFrame | None = None, calibration: DataFrame | None = None, calibration_keys=("site",), model_keys=("site",),
 ) -> DataFrame:
-    """One row per (cascade, origin) with the array of its sites."""
+    """One row per (cascade, origin) with the array of its sites.
+
+    Models and calibrations are found by site, or by cascade and site where a cascade is a candidate.
+    """
     days = -(-S.HISTORY_HOURS // 24)
     daily = with_origin_days(daily_arrays(series, ["site"], "total", name="hours"), ["site"], origins)
     w = Window.partitionBy("site").orderBy("d").rowsBetween(-days, -1)
@@ -114,7 +117,7 @@ def states(
         .join(origins.select("origin").distinct(), "origin", "left_semi")
     )
     rows = members.join(hist, "site").join(unit_states(units, unit_dim, plan, origins), ["site", "origin"])
-    rows = _with(_with(rows, model, NO_MODEL, ["site"]), calibration, NO_CALIBRATION, list(calibration_keys))
+    rows = _with(_with(rows, model, NO_MODEL, list(model_keys)), calibration, NO_CALIBRATION, list(calibration_keys))
     packed = F.struct("site", "upstream_site", "live", "capacity", "history", "units", *NO_MODEL, *NO_CALIBRATION)
     return rows.groupBy("cascade", "origin").agg(F.collect_list(packed).alias("sites"))
 

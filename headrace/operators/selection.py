@@ -87,16 +87,19 @@ def select_models(
 ) -> DataFrame:
     """Every search point and shrinkage screened by one-step score, finalists by the rolling 24-hour score.
 
-    ``models`` are tree ensembles by (site, point). All finalists of all sites are
-    cascades of one rollout; each takes its own ensemble along.
+    ``models`` are by (site, point): tree ensembles, or radial models (with ``coef``),
+    which ``make_states`` then gets by (cascade, site) as its third argument. All
+    finalists of all sites are cascades of one rollout; each takes its own model along.
     """
     top = cut_lineage(screen_points(rows, finalists, weight))
     tag = F.concat_ws("|", F.col("point"), F.col("k"))
     named = top.withColumn("cascade", F.concat_ws("|", "site", tag))
     members = candidate_members(singles, top, tag)
     calibration = named.select("cascade", "site", "shrinkage", F.lit(0.0).alias("bias"))
-    trees = named.select("cascade", "site", "point").join(models.drop("family", "rows"), ["site", "point"])
-    scores = rolling_scores(make_states, members, calibration, series, capacity, weight, trees)
+    own = named.select("cascade", "site", "point").join(models.drop("family", "rows"), ["site", "point"])
+    radial = "coef" in models.columns
+    make = (lambda m, c: make_states(m, c, own)) if radial else make_states
+    scores = rolling_scores(make, members, calibration, series, capacity, weight, None if radial else own)
     ranked = scores.join(named.select("cascade", "site", "point", "k", "shrinkage"), ["cascade", "site"])
     best = F.min(F.struct("score", "point", "k", "shrinkage", "forecast_days", "operational_mape", "mae", "rmse", "r2"))
     return ranked.groupBy("site").agg(F.count(F.lit(1)).alias("finalists"), best.alias("b")).select("site", "finalists", "b.*").drop("score")

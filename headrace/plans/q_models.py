@@ -329,9 +329,9 @@ class Bench:
         self.origins = self.days.select(F.col("d").cast("timestamp_ntz").alias("origin"))
         self.plan = I.outage_plan_last_known(self.units.select("site", "unit", "ts", "available"), self.origins)
 
-    def states(self, members, calibration=None, model=None, keys=("site",), plan=None):
+    def states(self, members, calibration=None, model=None, keys=("site",), plan=None, model_keys=("site",)):
         return J.states(members, self.series, self.units, self.unit_dim, self.plan if plan is None else plan,
-                        self.origins, model, calibration, keys)
+                        self.origins, model, calibration, keys, model_keys)
 
     def scored(self, forecast):
         rows = J.attach_actuals(forecast, self.series).join(self.site_dim.select("site", "capacity"), "site")
@@ -518,6 +518,22 @@ def select_boosted(spark, sf):
     return rounded(Z.select_models(ahead, models, make, J.single_sites(b.site_dim), b.series, b.site_dim))
 
 
+@REG.add("select_radial")
+def select_radial(spark, sf):
+    """All search points and shrinkage values of the radial model, ten finalists by rolling score."""
+    b, names = Bench(spark, sf, ("validation",)), M.feature_names()
+    rows = training(spark, sf, b.series)
+    scaler = cut_lineage(M.fit_scaler(rows.where("split = 'train'"), names))
+    scaled = cut_lineage(M.standard_scale(rows, scaler, names))
+    points = cut_lineage(M.radial_points(b.site_dim))
+    models = cut_lineage(M.radial_search(scaled.where("split = 'train'"), points, len(names)))
+    ahead = M.radial_predict_points(scaled.where("split = 'validation'").select("site", "current", "tplus1", "x"), models, points)
+    ahead = cut_lineage(ahead.join(b.site_dim.select("site", "capacity"), "site").select("site", "point", "current", "delta", F.col("tplus1").alias("actual"), "capacity"))
+    make = lambda members, calibration, own: b.states(members, calibration, own, keys=("cascade", "site"), model_keys=("cascade", "site"))
+    best = Z.select_models(ahead, models.join(scaler, "site"), make, J.single_sites(b.site_dim), b.series, b.site_dim, S.FINALISTS_PRIMARY, S.R2_WEIGHT_PRIMARY)
+    return rounded(best.join(points, ["site", "point"]))
+
+
 def selection_inputs(spark, sf):
     b = Bench(spark, sf, ("validation",))
     model, scaled = radial_model(spark, sf, series=b.series)
