@@ -88,19 +88,64 @@ def kmeans_centers(scaled: DataFrame, k: int, x: str = "x", seed: int = 42, iter
     return found + [found[-1]] * (k - len(found))
 
 
+#: Rows of a site that share one copy of its centers in a round.
+PACK = 256
+
+
+def pack_rows(rows: DataFrame, x: str = "x") -> DataFrame:
+    """(site, xs): rows put together by site where they lie, without a shuffle; at most ``PACK`` in one."""
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for site, part in pdf.groupby("site", sort=False):
+                xs = part["x"].tolist()
+                out += [(site, xs[a : a + PACK]) for a in range(0, len(xs), PACK)]
+            yield pd.DataFrame(out, columns=["site", "xs"])
+
+    return rows.select("site", F.col(x).alias("x")).mapInPandas(run, "site string, xs array<array<double>>")
+
+
+def _center_sums(batches):
+    """(site, i, n, s): rows and sums of the nearest center, added up over the task; a bounded number of sites is held."""
+    held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def out():
+        rows = [(k, int(i), int(n[i]), s[i].tolist()) for k, (n, s) in held.items() for i in np.flatnonzero(n)]
+        held.clear()
+        return pd.DataFrame(rows, columns=["site", "i", "n", "s"])
+
+    for pdf in batches:
+        for site, xs, cs in zip(pdf["site"], pdf["xs"], pdf["centers"], strict=True):
+            if site not in held and len(held) >= SITES_HELD:
+                yield out()
+            v, c = np.vstack(list(xs)), np.vstack(list(cs))
+            n, s = held.setdefault(site, (np.zeros(len(c), dtype=np.int64), np.zeros(c.shape)))
+            # Differences, not products: equal distances stay equal, so the first center wins a tie.
+            step = max(1, 2_000_000 // c.size)
+            for a in range(0, len(v), step):
+                part = v[a : a + step]
+                near = ((part[:, None, :] - c[None]) ** 2).sum(-1).argmin(1)
+                np.add.at(n, near, 1)
+                np.add.at(s, near, part)
+    if held:
+        yield out()
+
+
 def lloyd_round(rows: DataFrame, centers: DataFrame, x: str = "x") -> DataFrame:
     """(site, centers, moved): one round of all sites in one aggregation.
 
     Every row goes to the nearest center of its site, the first on a tie; sums by
-    (site, center) are added up map-side. A center without rows stays. ``moved`` is
-    the largest squared step of a site's centers.
+    (site, center) are added up in the tasks that read the rows. A center without rows
+    stays. ``moved`` is the largest squared step of a site's centers. ``rows`` may be
+    packed already (:func:`pack_rows`).
     """
+    packed = rows if "xs" in rows.columns else pack_rows(rows, x)
     gap = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: (u - v) * (u - v)), F.lit(0.0), lambda s, v: s + v)
     size = F.size(F.get("centers", F.lit(0)))
-    near = F.array_min(F.transform("centers", lambda c, i: F.struct(gap(c, F.col(x)).alias("d"), i.alias("i"))))
-    nearest = rows.join(centers.select("site", "centers"), "site").select("site", x, near.alias("n"))
-    tall = nearest.select("site", F.col("n.i").alias("i"), F.posexplode(x).alias("j", "v"))
-    means = tall.groupBy("site", "i", "j").agg(F.avg("v").alias("m"))
+    sums = packed.join(centers.select("site", "centers"), "site").select("site", "xs", "centers").mapInPandas(_center_sums, "site string, i int, n long, s array<double>")
+    tall = sums.select("site", "i", "n", F.posexplode("s").alias("j", "v"))
+    means = tall.groupBy("site", "i", "j").agg((F.sum("v") / F.sum("n")).alias("m"))
     new = means.groupBy("site", "i").agg(F.transform(F.sort_array(F.collect_list(F.struct("j", "m"))), lambda r: r["m"]).alias("c"))
     new = new.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("i", "c"))).alias("new"))
     both = centers.select("site", "centers").join(new, "site", "left")
@@ -122,8 +167,9 @@ def site_centers(scaled: DataFrame, k: int | str, x: str = "x", seed: int = 42,
     found = first.groupBy("site").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", x))), lambda r: r[x]).alias("c"), F.first("_k").alias("_k"))
     padded = F.concat("c", F.array_repeat(F.element_at("c", -1), F.col("_k") - F.size("c")))
     centers = cut_lineage(found.select("site", padded.alias("centers")))
+    packed = cut_lineage(pack_rows(scaled, x))
     for _ in range(rounds):
-        centers = cut_lineage(lloyd_round(scaled, centers, x))
+        centers = cut_lineage(lloyd_round(packed, centers, x))
         if centers.where(F.col("moved") > tolerance).isEmpty():
             break
     return centers.select("site", "centers")

@@ -117,3 +117,30 @@ def test_chunked_scans_match_plain_windows(spark):
     got = running_number(carry_forward(df, ["k"], "p", ["v"], chunk=7), ["k"], "p", "n", chunk=7)
     key = lambda d: sorted((r.k, r.p, r.v, r.n) for r in d.collect())
     assert key(got) == key(want)
+
+
+def test_radial_search_equals_single_fits(spark):
+    """Every point of every site, fitted side by side, equals a fit of that site and point alone."""
+    import numpy as np
+    import pandas as pd
+
+    from headrace.operators import models as M
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(120, 2))
+    df = spark.createDataFrame(pd.DataFrame({"site": ["a", "b|7"] * 60, "x": x.tolist(), M.TARGET: np.sin(x[:, 0]) + x[:, 1]})).cache()
+    points = spark.createDataFrame([("a", 1, 4, 0.5), ("a", 2, 4, 2.0), ("a", 3, 7, 0.5), ("b|7", 1, 5, 2.0)], "site string, point int, n_centers int, gamma double")
+    models = M.radial_search(df, points, 2).cache()
+    got = {(r["site"], r["point"]): r for r in models.collect()}
+    assert len(got) == 4 and got["a", 1]["centers"] == got["a", 2]["centers"]
+    for p in points.collect():
+        c = np.array(got[p["site"], p["point"]]["centers"]).reshape(-1, 2)
+        assert len(c) == p["n_centers"]
+        own = df.where(df["site"] == p["site"])
+        # The centers are at rest: another round moves none of them by more than the tolerance.
+        start = spark.createDataFrame([(p["site"], c.tolist())], "site string, centers array<array<double>>")
+        assert M.lloyd_round(own, start).first()["moved"] <= 1e-4
+        want = M.rbf_regression(own, c.tolist(), p["gamma"] / 2).first()
+        np.testing.assert_allclose(got[p["site"], p["point"]]["coef"], want["coef"], atol=1e-6)
+    ahead = M.radial_predict_points(df, models, points)
+    assert ahead.count() == 60 * 4 and set(ahead.columns) >= {"site", "point", "delta"}
