@@ -3,17 +3,18 @@
 Input rows have ``site, ts, target_hour, current, delta, actual, anchor,
 capacity`` and, after the first step, ``pred``. A fit is a small table with one
 row per site. Grids are exploded as literals; the exploded rows are consumed by
-the map-side half of the aggregation and never reach a shuffle.
+the map-side half of the aggregation and never reach a shuffle. Value bins are
+scored from one sort of a site's rows instead.
 """
 
 from __future__ import annotations
 
-from fractions import Fraction
-
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import settings as S
+from ..functions.bin_kernel import fit_site
 from ..functions.expr import cap_clip, clip, metric_columns, operational_threshold, score_struct
 from ..session import cut_lineage
 
@@ -82,24 +83,6 @@ def apply_shrinkage_bias(rows: DataFrame, fit: DataFrame) -> DataFrame:
 
 # --- value bins ------------------------------------------------------------
 
-def bin_edges(rows: DataFrame, basis: str, quantiles=S.BIN_QUANTILES) -> DataFrame:
-    """(site, bins: array of (q, edges)) for every bin count, from one percentile pass.
-
-    All fractions i/q are asked for at once; edges are rounded to nine decimals
-    so that an edge equal to a reading compares as equal.
-    """
-    fractions = sorted({Fraction(i, q) for q in quantiles for i in range(q + 1)})
-    at = {f: i for i, f in enumerate(fractions)}
-    probs = F.array(*[F.lit(float(f)) for f in fractions])
-    found = rows.groupBy("site").agg(F.percentile(basis, probs).alias("p"))
-    # A constant table, folded into one literal: which percentiles make up q bins.
-    picks = F.array(*[
-        F.struct(F.lit(q).alias("q"), F.array(*[F.lit(at[Fraction(i, q)]) for i in range(q + 1)]).alias("at")) for q in quantiles
-    ])
-    edges = lambda r: F.array_distinct(F.transform(r["at"], lambda i: F.round(F.get("p", i), 9)))
-    return found.select("site", F.transform(picks, lambda r: F.struct(r["q"].alias("q"), edges(r).alias("edges"))).alias("bins"))
-
-
 def bin_id(value, edges="edges") -> Column:
     """Number of inner edges at or below the value."""
     v = F.round(F.col(value), 9)
@@ -110,40 +93,49 @@ def bin_id(value, edges="edges") -> Column:
 def fit_bin_calibration(
     rows: DataFrame, basis: str = "current", quantiles=S.BIN_QUANTILES, scales=S.BIN_SCALES, weight: float = S.R2_WEIGHT_PRIMARY
 ) -> DataFrame:
-    """(site, q, scale, edges, corrections); NULLs where no bins help.
+    """(site, q, scale, edges, corrections); NULLs where no bins help."""
+    return _fit_bins(rows.withColumns({"_value": F.col(basis), "_wide": F.lit(False)}), {False: quantiles}, scales, weight)
 
-    Edges and medians travel as one row per site, so the rows exploded over bin
-    counts and scales are scored in the stage that reads them.
+
+def _fit_bins(rows: DataFrame, counts: dict, scales, weight: float) -> DataFrame:
+    """Bins of ``_value`` per site, with the numbers of bins that ``_wide`` stands for.
+
+    A site's rows are shuffled once and sorted once (they are bounded, one a
+    validation hour); every number of bins and every scale is scored from that
+    order, and one row per site and number comes back. Rows without an actual or a
+    prediction have no part; rows without a value are in the lowest bin.
     """
-    bins = bin_edges(rows, basis, quantiles)
-    each = rows.join(bins, "site").withColumn("b", F.explode("bins")).select("*", "b.*").withColumn("bin", bin_id(basis))
-    med = each.groupBy("site", "q", "bin").agg(F.median(F.col("actual") - F.col("pred")).alias("shift"))
-    corr = med.groupBy("site").agg(F.collect_list(F.struct("q", "bin", "shift")).alias("m"))
-    mine = lambda q: F.map_from_entries(
-        F.transform(F.filter("m", lambda r: r["q"] == q), lambda r: F.struct(r["bin"], r["shift"]))
-    )
-    tables = bins.join(corr, "site").select(
-        "site",
-        F.transform("bins", lambda b: F.struct(b["q"].alias("q"), b["edges"].alias("edges"), mine(b["q"]).alias("corrections"))).alias("bins"),
+    choices = {k: [int(q) for q in v] for k, v in counts.items()}
+    steps, headroom = [float(s) for s in scales], S.CAPACITY_HEADROOM
+    kind = rows.schema["site"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = fit_site(pdf, choices[bool(pdf["wide"].iloc[0])], steps, headroom)
+        out = pd.DataFrame(found, columns=["q", "edges", "corrections", "operational_mape", "rmse", "r2"])
+        out.insert(0, "site", pdf["site"].iloc[0])
+        return out
+
+    scored = rows.where("actual is not null and pred is not null")
+    need = scored.select(
+        "site", F.round(F.col("_value").cast("double"), 9).alias("value"), F.col("actual").cast("double").alias("actual"),
+        F.col("pred").cast("double").alias("pred"), F.col("capacity").cast("double").alias("capacity"), F.col("_wide").alias("wide"),
     )
-    grid = F.array(*[F.struct(F.lit(i + 1).alias("j"), F.lit(float(s)).alias("scale")) for i, s in enumerate(scales)])
-    scored = (
-        rows.join(tables, "site")
-        .withColumn("b", F.explode("bins")).select("*", "b.*")
-        .withColumn("shift", F.try_element_at("corrections", bin_id(basis)))
-        .select("site", "capacity", "actual", "pred", "q", "shift", F.explode(grid).alias("g")).select("*", "g.*")
-        .withColumn("cand", cap_clip(F.col("pred") + F.col("scale") * F.col("shift"), "capacity"))
-        .withColumn("k", F.col("q") * 1000 + F.col("j"))
-        .groupBy("site", "k", "q", "scale")
-        .agg(*metric_columns("actual", "cand"))
+    # One row per site and number of bins, read by the choice and by the join that follows it.
+    tables = cut_lineage(need.groupBy("site").applyInPandas(
+        run, f"site {kind}, q int, edges array<double>, corrections map<int,double>, operational_mape array<double>, rmse array<double>, r2 array<double>",
+    ))
+    each = F.arrays_zip(F.sequence(F.lit(1), F.lit(len(steps))).alias("j"), F.array(*[F.lit(s) for s in steps]).alias("scale"), "operational_mape", "rmse", "r2")
+    number = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+    metrics = ["operational_mape", "rmse", "r2"]
+    tried = (
+        tables.select("site", "q", F.explode(each).alias("g")).select("site", "q", "g.*")
+        .select("site", (F.col("q") * 1000 + F.col("j")).alias("k"), "q", "scale", *[number(c) for c in metrics])
     )
-    base = rows.groupBy("site").agg(*metric_columns("actual", "pred")).select(
-        "site", F.lit(0).alias("k"), F.lit(None).cast("int").alias("q"), F.lit(None).cast("double").alias("scale"),
-        "operational_mape", "mae", "rmse", "r2",
+    base = scored.groupBy("site").agg(*metric_columns("actual", "pred")).select(
+        "site", F.lit(0).alias("k"), F.lit(None).cast("int").alias("q"), F.lit(None).cast("double").alias("scale"), *metrics
     )
-    best = _best(scored.unionByName(base), ["site"], ["q", "scale"], weight)
-    chosen = best.join(tables, "site").withColumn("b", F.get(F.filter("bins", lambda b: b["q"] == F.col("q")), F.lit(0)))
-    return chosen.select(*best.columns, "b.edges", "b.corrections")
+    best = _best(tried.unionByName(base), ["site"], ["q", "scale"], weight)
+    return best.join(tables.select("site", "q", "edges", "corrections"), ["site", "q"], "left").select(*best.columns, "edges", "corrections")
 
 
 def fit_bin_calibration_by_site(rows: DataFrame, rules: DataFrame, weight: float = S.R2_WEIGHT_PRIMARY) -> DataFrame:
@@ -153,14 +145,13 @@ def fit_bin_calibration_by_site(rows: DataFrame, rules: DataFrame, weight: float
     prediction), and ``wide`` sites try up to 40 bins instead of 20. Sites without a
     rule have neither.
     """
-    own = rows.join(rules.select("site", "basis", "wide"), "site", "left").withColumns({
-        "basis": F.coalesce("basis", F.lit("current")), "wide": F.coalesce("wide", F.lit(False)),
+    own = rows.join(rules.select("site", "basis", F.col("wide").alias("_wide")), "site", "left").withColumns({
+        "basis": F.coalesce("basis", F.lit("current")), "_wide": F.coalesce("_wide", F.lit(False)),
     })
     value = F.when(F.col("basis") == "pred", F.col("pred")).otherwise(F.col("current"))
-    own = cut_lineage(own.withColumn("_basis", value))
-    part = lambda wide: fit_bin_calibration(own.where(F.col("wide") == wide), "_basis", S.BIN_QUANTILES_WIDE if wide else S.BIN_QUANTILES, weight=weight)
-    fits = part(False).unionByName(part(True))
-    return fits.join(own.groupBy("site").agg(F.first("basis").alias("basis"), F.first("wide").alias("wide")), "site")
+    own = own.withColumn("_value", value)
+    fits = _fit_bins(own, {False: S.BIN_QUANTILES, True: S.BIN_QUANTILES_WIDE}, S.BIN_SCALES, weight)
+    return fits.join(own.groupBy("site").agg(F.first("basis").alias("basis"), F.first("_wide").alias("wide")), "site")
 
 
 def apply_bin_calibration(rows: DataFrame, fit: DataFrame, basis: str = "current") -> DataFrame:

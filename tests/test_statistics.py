@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from headrace.functions.expr import exact_quantiles
@@ -144,3 +145,48 @@ def test_radial_search_equals_single_fits(spark):
         np.testing.assert_allclose(got[p["site"], p["point"]]["coef"], want["coef"], atol=1e-6)
     ahead = M.radial_predict_points(df, models, points)
     assert ahead.count() == 60 * 4 and set(ahead.columns) >= {"site", "point", "delta"}
+
+
+def bin_rows(n, seed):
+    rng = np.random.default_rng(seed)
+    value = rng.integers(0, 40, n).astype(float)
+    value[rng.random(n) < 0.05] = np.nan
+    pred = rng.uniform(-2, 60, n).round(2)
+    return pd.DataFrame({"value": value, "pred": pred, "actual": (pred + rng.normal(0, 6, n)).round(2), "capacity": 50.0})
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 300])
+def test_bins_of_one_sort_match_bins_built_one_by_one(n):
+    from headrace.functions import bin_kernel
+
+    counts, scales = [3, 8, 20, 40], [0.5, 1.0, 2.5]
+    rows = bin_rows(n, n)
+    got = bin_kernel.fit_site(rows, counts, scales, 1.05)
+    v = rows["value"].dropna().to_numpy()
+    for q, edges, shifts, mape, rmse, r2 in got:
+        want = np.unique(np.round(np.quantile(v, np.arange(q + 1) / q), 9))
+        np.testing.assert_allclose(edges, want)
+        ids = np.where(rows["value"].isna(), 0, np.digitize(rows["value"], edges[1:-1]))
+        shift = (rows["actual"] - rows["pred"]).groupby(ids).median()
+        assert shifts.keys() == set(shift.index)
+        np.testing.assert_allclose([shifts[i] for i in shift.index], shift)
+        for j, s in enumerate(scales):
+            cand = np.clip(rows["pred"] + s * shift.reindex(ids).to_numpy(), 0, 52.5)
+            gap = rows["actual"] - cand
+            heavy = rows["actual"].abs() >= 1
+            np.testing.assert_allclose(mape[j], 100 * (gap.abs() / rows["actual"].abs())[heavy].mean())
+            np.testing.assert_allclose(rmse[j], np.sqrt((gap**2).mean()))
+            if n > 2:
+                np.testing.assert_allclose(r2[j], 1 - (gap**2).sum() / ((rows["actual"] - rows["actual"].mean()) ** 2).sum())
+    assert [r[0] for r in got] == counts
+
+
+def test_bins_with_equal_values_or_none(spark):
+    from headrace.functions import bin_kernel
+
+    flat = pd.DataFrame({"value": 5.0, "pred": [1.0, 2.0, 3.0], "actual": 4.0, "capacity": [np.nan] * 3})
+    (q, edges, shifts, mape, rmse, r2), = bin_kernel.fit_site(flat, [3], [1.0], 1.05)
+    assert edges == [5.0] and shifts == {0: 2.0} and r2 == [0.0]
+    assert bin_kernel.fit_site(flat.assign(value=np.nan), [3], [1.0], 1.05) == []
+    empty = spark.createDataFrame([], "site string, current double, pred double, actual double, capacity double")
+    assert H.fit_bin_calibration(empty).count() == 0
