@@ -4,6 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
+from headrace.functions.knn_kernel import lower_bounds, nearest, nearest_pivot, visits
 from headrace.operators import cleaning as C
 
 
@@ -102,17 +103,71 @@ def brute_knn(v, k=5):
     return out
 
 
-@pytest.mark.parametrize("chunk", [8192, 16])
+@pytest.mark.parametrize("chunk", [8192, 6])
 def test_knn_matches_brute_force(spark, hourly, chunk):
     rng = np.random.default_rng(1)
     v = rng.normal(0, 10, (60, 3)).round(2)
     v[rng.random(v.shape) < 0.25] = np.nan
     v[7] = np.nan
     df = hourly({"a": v[:, 0]}, "p").join(hourly({"a": v[:, 1]}, "q"), ["site", "ts"]).join(hourly({"a": v[:, 2]}, "r"), ["site", "ts"])
-    rows = C.knn_impute(df, ["site"], ["p", "q", "r"], chunk_hours=chunk).orderBy("ts").collect()
+    rows = C.knn_impute(df, ["site"], ["p", "q", "r"], chunk_rows=chunk, block_hours=25).orderBy("ts").collect()
     np.testing.assert_allclose([[r.p, r.q, r.r] for r in rows], brute_knn(v), atol=1e-9)
 
 
+def boxes_of(v, label):
+    cut = [v[label == i] for i in range(label.max() + 1)]
+    cut = [x for x in cut if len(x)]
+    with np.errstate(all="ignore"):
+        low = np.array([[np.nanmin(x[:, c]) if (~np.isnan(x[:, c])).any() else np.nan for c in range(v.shape[1])] for x in cut])
+        high = np.array([[np.nanmax(x[:, c]) if (~np.isnan(x[:, c])).any() else np.nan for c in range(v.shape[1])] for x in cut])
+    return cut, low, high, np.array([(~np.isnan(x)).sum(axis=0) for x in cut]), np.array([len(x) for x in cut])
+
+
+def test_no_donor_is_nearer_than_its_chunk_bound():
+    rng = np.random.default_rng(3)
+    v = rng.normal(0, 10, (400, 4)).round(1)
+    v[rng.random(v.shape) < 0.3] = np.nan
+    cut, low, high, held, size = boxes_of(v, nearest_pivot(v, v[:12]))
+    bound, _ = lower_bounds(v, low, high, held == size[:, None])
+    for i, chunk in enumerate(cut):
+        both = ~np.isnan(v)[:, None, :] & ~np.isnan(chunk)[None, :, :]
+        gap = np.where(both, v[:, None, :] - chunk[None, :, :], 0.0) ** 2
+        with np.errstate(all="ignore"):
+            dist = np.where(both.any(axis=2), np.sqrt(gap.sum(axis=2) * 4 / both.sum(axis=2)), np.inf)
+        assert (bound[:, i] <= dist.min(axis=1) + 1e-9).all()
+
+
+def test_knn_visits_few_chunks_of_separate_regimes():
+    rng = np.random.default_rng(4)
+    v = np.repeat(np.arange(40) * 100.0, 50)[:, None] + rng.normal(0, 1, (2000, 3))
+    t = v[::20].copy()
+    t[:, 1] = np.nan
+    _, low, high, held, size = boxes_of(v, nearest_pivot(v, v[::50]))
+    at, to = visits(t, low, high, held, size, 5)
+    assert len(at) == len(t)
+    more, _ = visits(t, low, high, held, size, 5, np.full(t.shape, 2.0))
+    assert len(more) == 0
+
+
+def test_knn_kernel_ties_go_to_the_earlier_donor():
+    d = np.array([[1.0, 5.0], [1.0, 6.0], [1.0, 7.0], [1.0, np.nan], [0.0, 9.0]])
+    r, c, j, dist = nearest(np.array([[1.0, np.nan], [np.nan, np.nan]]), d, 2)
+    assert (r.tolist(), c.tolist(), j.tolist(), dist.tolist()) == ([0, 0], [1, 1], [0, 1], [0.0, 0.0])
+
+
+@pytest.mark.parametrize("scaled", [False, True])
+def test_knn_with_columns_that_never_meet(spark, hourly, scaled):
+    nan = math.nan
+    p, q = [1.0, 2.0, nan, nan, nan, 4.0], [nan, nan, 3.0, 7.0, nan, 5.0]
+    df = hourly({"a": p, "b": [1.0] * 6}, "p").join(hourly({"a": q, "b": [nan] * 6}, "q"), ["site", "ts"])
+    rows = C.knn_impute(df, ["site"], ["p", "q"], chunk_rows=2, scaled=scaled).orderBy("site", "ts").collect()
+    got = [[r.p, r.q] for r in rows[:6]]
+    if not scaled:
+        np.testing.assert_allclose(got, brute_knn(np.column_stack([p, q])))
+    assert got[0][1] == pytest.approx(5.0) and got[2][0] == pytest.approx(4.0)
+    assert all(r.p == 1.0 and r.q is None for r in rows[6:])
+
+
 def test_smooth_takes_alternating_series_of_any_length(hourly):
     series = {"a": [0.0, 100.0] * 700, "b": [float((i * 37) % 101) for i in range(900)]}
     got = collect(C.smooth_spikes(hourly(series), ["site"], "x"))
