@@ -70,13 +70,13 @@ def site_series(spark, sf, p: DataFrame | None = None) -> DataFrame:
     )
 
 
-def unit_dim(spark, sf) -> DataFrame:
-    return unit_readings(spark, sf).groupBy("site", "unit").agg(F.max("mw").alias("capacity"))
+def unit_dim(spark, sf, p: DataFrame | None = None) -> DataFrame:
+    return (unit_readings(spark, sf) if p is None else p).groupBy("site", "unit").agg(F.max("mw").alias("capacity"))
 
 
-def site_dim(spark, sf) -> DataFrame:
+def site_dim(spark, sf, p: DataFrame | None = None) -> DataFrame:
     """Capacity, upstream site and ordinal; one row per site."""
-    cap = unit_dim(spark, sf).groupBy("site").agg(
+    cap = unit_dim(spark, sf, p).groupBy("site").agg(
         F.sum(F.col("capacity").cast("decimal(18,2)")).cast("double").alias("capacity")
     )
     place = F.create_map(*[F.lit(x) for site, _, i in SITES for x in (site, i)])
@@ -101,14 +101,14 @@ def daily_context(spark, sf) -> DataFrame:
     return level(spark, sf).groupBy(F.to_date("ts").alias("d")).agg(F.min("level").alias("rain"))
 
 
-def bounds(spark, sf) -> DataFrame:
-    e = events(spark, sf)
+def bounds(spark, sf, p: DataFrame | None = None) -> DataFrame:
+    e = events(spark, sf) if p is None else p
     return e.agg(hour_floor(F.min("ts")).alias("lo"), hour_floor(F.max("ts")).alias("hi"))
 
 
-def cuts(spark, sf):
+def cuts(spark, sf, p: DataFrame | None = None):
     """Cut timestamps: 21 training days, 4 validation days, the rest testing."""
-    day0 = F.to_date(bounds(spark, sf).select("lo").scalar())
+    day0 = F.to_date(bounds(spark, sf, p).select("lo").scalar())
     at = lambda n: F.date_add(day0, n).cast("timestamp_ntz")
     return at(TRAIN_DAYS), at(VALIDATION_DAYS)
 
@@ -123,12 +123,12 @@ def origins(spark, sf) -> DataFrame:
     return cut_lineage(days.where(F.col("d") > first).select(F.col("d").cast("timestamp_ntz").alias("origin")))
 
 
-def predictions(spark, sf) -> DataFrame:
+def predictions(spark, sf, p: DataFrame | None = None) -> DataFrame:
     """Three baseline models wherever they have a value, with capacity and split."""
-    v, t = cuts(spark, sf)
-    base = baselines.baseline_predictions(site_series(spark, sf), ["site"])
+    v, t = cuts(spark, sf, p)
+    base = baselines.baseline_predictions(site_series(spark, sf, p), ["site"])
     return (
-        base.join(site_dim(spark, sf).select("site", "capacity", "ordinal"), "site")
+        base.join(site_dim(spark, sf, p).select("site", "capacity", "ordinal"), "site")
         .select(
             "model", "site", "ordinal", "capacity", F.to_date("ts").alias("forecast_date"),
             (F.hour("ts") + 1).alias("forecast_hour"), "ts", "actual", "predicted",
@@ -139,7 +139,7 @@ def predictions(spark, sf) -> DataFrame:
 
 def stored_predictions(spark, sf) -> DataFrame:
     """Predictions as a written table, the way a backtest leaves them."""
-    return cut_lineage(predictions(spark, sf))
+    return cut_lineage(predictions(spark, sf, stored_panel(spark, sf)))
 
 
 def forecasts(spark, sf) -> DataFrame:

@@ -23,16 +23,17 @@ from .registry import Registry
 REG = Registry()
 
 
-def calibration_rows(spark, sf, split="validation"):
-    v, t = X.cuts(spark, sf)
+def calibration_rows(spark, sf, split="validation", p=None):
+    p = X.stored_panel(spark, sf) if p is None else p
+    v, t = X.cuts(spark, sf, p)
     w = series_window(["site"])
-    s = X.site_series(spark, sf)
+    s = X.site_series(spark, sf, p)
     rows = s.select(
         "site", "ts", (F.hour(add_hours("ts", 1)) + 1).alias("target_hour"), F.col("total").alias("current"),
         (F.lag("total", 167).over(w) - F.col("total")).alias("delta"), F.lead("total").over(w).alias("actual"),
         F.lag("total", 23).over(w).alias("anchor"),
     ).where(P.cut_split("ts", v, t) == split).dropna()
-    cap = X.site_dim(spark, sf).select("site", "capacity")
+    cap = X.site_dim(spark, sf, p).select("site", "capacity")
     # The fits read this small slice many times: materialise it once.
     return cut_lineage(rows.join(cap, "site"))
 
@@ -197,9 +198,9 @@ def level_anchor_blend(spark, sf):
     return fit_out(H.fit_level_anchor_blend(with_pred(spark, sf)), "current_weight", "anchor_weight")
 
 
-def train_ramps(spark, sf):
-    v, _ = X.cuts(spark, sf)
-    return H.ramp_limit(X.site_series(spark, sf).where(F.col("ts") < v))
+def train_ramps(spark, sf, p=None):
+    v, _ = X.cuts(spark, sf, p)
+    return H.ramp_limit(X.site_series(spark, sf, p).where(F.col("ts") < v))
 
 
 @REG.add("ramp_limit", f"select site, {r6s('ramp')} as ramp from ramps", CAL)
@@ -253,10 +254,11 @@ CHAIN = {
 
 @REG.add("pipeline_order", f"select site, ts, {r6s('pred')} as pred from c5", CAL | CHAIN)
 def pipeline_order(spark, sf):
-    rows = calibration_rows(spark, sf)
+    p = X.stored_panel(spark, sf)
+    rows = calibration_rows(spark, sf, p=p)
     half = half_step(rows)
     out = H.pipeline_order(
         rows, H.fit_shrinkage_bias(rows), H.fit_bin_calibration(half), H.fit_hourly_correction(half),
-        H.fit_profile_blend(half), train_ramps(spark, sf),
+        H.fit_profile_blend(half), train_ramps(spark, sf, p),
     )
     return rounded(out.select("site", "ts", "pred"))

@@ -268,10 +268,11 @@ REPORT_FROM = """ from sfit s join bfit b on b.site = s.site join hfit h on h.si
 
 
 def report(spark, sf):
-    rows = QC.calibration_rows(spark, sf)
+    p = X.stored_panel(spark, sf)
+    rows = QC.calibration_rows(spark, sf, p=p)
     half = QC.half_step(rows)
     return L.calibration_report(
-        H.fit_shrinkage_bias(rows), H.fit_bin_calibration(half), H.fit_hourly_correction(half), H.fit_profile_blend(half), QC.train_ramps(spark, sf)
+        H.fit_shrinkage_bias(rows), H.fit_bin_calibration(half), H.fit_hourly_correction(half), H.fit_profile_blend(half), QC.train_ramps(spark, sf, p)
     )
 
 

@@ -392,9 +392,10 @@ def replace_partition_rows(spark, sf):
     (select count(distinct d) from btd where split = 'testing') as testing_days,
     'RBFNN,naive168,naive24,persistence' as models, """ + ", ".join(f"'{v}' as {k}" for k, v in store.POLICIES.items()) + " from panel", BACKTEST)
 def run_metadata(spark, sf):
-    v, t = X.cuts(spark, sf)
-    days = P.backtest_days(X.site_series(spark, sf).withColumn("split", P.cut_split("ts", v, t)))
-    return store.run_metadata(X.panel(spark, sf), days, X.predictions(spark, sf), ["RBFNN", "naive24"])
+    p = X.stored_panel(spark, sf)
+    v, t = X.cuts(spark, sf, p)
+    days = P.backtest_days(X.site_series(spark, sf, p).withColumn("split", P.cut_split("ts", v, t)))
+    return store.run_metadata(p, days, X.predictions(spark, sf, p), ["RBFNN", "naive24"])
 
 
 @REG.add("cleaning_metadata", """select max(ts) as latest_timestamp, count(*) as rows, 'site,unit,ts,mw,available' as columns,

@@ -51,3 +51,9 @@ def test_every_query_is_registered_once():
 
 def test_entry_runs(spark):
     assert entry.entry(spark).count() == 5
+
+
+@pytest.mark.parametrize("name", ["run_metadata", "pipeline_order", "calibration_report", "load_predictions_union"])
+def test_raw_tables_are_read_once(spark, name):
+    plan = entry.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("events.parquet") < 5 and "stage-" in plan
