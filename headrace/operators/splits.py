@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,10 +11,14 @@ from .. import settings as S
 
 
 def chronological_split(df: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
-    """Label rows train / validation / testing by position within each series."""
+    """Label rows train / validation / testing by position within each series.
+
+    The ratios count as decimals: 70 % of 720 rows are 504, where doubles give 503.
+    """
     w = Window.partitionBy(*keys)
     i, n = F.row_number().over(w.orderBy(ts)) - 1, F.count(F.lit(1)).over(w)
-    first, second = F.floor(n * S.TRAIN_RATIO), F.floor(n * (S.TRAIN_RATIO + S.VALIDATION_RATIO))
+    train, validation = Decimal(str(S.TRAIN_RATIO)), Decimal(str(S.VALIDATION_RATIO))
+    first, second = F.floor(n * F.lit(train)), F.floor(n * F.lit(train + validation))
     label = F.when(i < first, "train").when(i < second, "validation").otherwise("testing")
     return df.withColumn("split", label)
 

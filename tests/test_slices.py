@@ -51,3 +51,15 @@ def test_first_serving_step_equals_training(world):  # noqa: F811
     # Later steps keep the lags of the last row and move the calendar only.
     moved = {n for n in names if len({r[n] for r in got if r["site"] == "a"}) > 2}
     assert moved <= {n for n in names if n.startswith("target_")}
+
+
+def test_split_ratios_are_exact(spark):
+    """Where a ratio of the length is a whole number, no row is lost to binary fractions."""
+    from headrace.operators import splits as P
+
+    lengths = [1, 2, 7, 10, 90, 100, 360, 719, 720, 1440]
+    df = spark.createDataFrame([(n,) for n in lengths], "site int").selectExpr("site", "explode(sequence(1, site)) as ts")
+    got = {(r["site"], r["split"]): r["count"] for r in P.chronological_split(df, ["site"]).groupBy("site", "split").count().collect()}
+    for n in lengths:
+        first, second = n * 70 // 100, n * 85 // 100
+        assert [got.get((n, s), 0) for s in ("train", "validation", "testing")] == [first, second - first, n - second], n
