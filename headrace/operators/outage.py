@@ -202,12 +202,14 @@ def outage_summary(plan: DataFrame, keys=()) -> DataFrame:
     """Unit-hours out and available, units and sites touched by an outage, for each of ``keys``.
 
     Hours are merged per unit first, so the final single row sees units only.
+    ``sites`` is NULL where no outage touches a site.
     """
     off = F.coalesce("available", F.lit(1)) <= 0
     per_unit = plan.groupBy(*keys, "site", "unit").agg(F.count_if(off).alias("out"), F.count_if(~off).alias("on"))
     hit = F.when(F.col("out") > 0, F.concat_ws("_", "site", "unit"))
+    sites = F.collect_set(F.when(F.col("out") > 0, F.col("site")))
     return per_unit.groupBy(*keys).agg(
         F.sum("out").alias("unavailable_hours"), F.sum("on").alias("available_hours"),
         F.count(hit).alias("affected_units"), F.count_distinct(F.when(F.col("out") > 0, F.col("site"))).alias("affected_sites"),
-        F.array_join(F.sort_array(F.collect_set(F.when(F.col("out") > 0, F.col("site")))), ",").alias("sites"),
+        F.when(F.size(sites) > 0, F.array_join(F.sort_array(sites), ",")).alias("sites"),
     )

@@ -78,3 +78,11 @@ def test_violations_are_found(spark):
     cascade = totals.groupBy("ts").agg((F.sum("total") + 1).alias("total"))
     kinds = sorted(r.kind for r in I.validate_outage_effect(units, totals, cascade).collect())
     assert kinds == ["cascade_total_mismatch", "cascade_total_mismatch", "generation_while_out", "identical_active_units", "site_total_mismatch", "zero_after_return"]
+
+
+def test_summary_without_outages_names_no_site(spark):
+    rows = [("mon", "b", "unit1", 0), ("mon", "a", "unit1", 0), ("mon", "a", "unit2", 1), ("tue", "a", "unit1", 1), ("tue", "b", "unit1", None)]
+    plan = spark.createDataFrame(rows, "d string, site string, unit string, available int")
+    got = {r.d: (r.unavailable_hours, r.available_hours, r.affected_units, r.affected_sites, r.sites) for r in I.outage_summary(plan, ("d",)).collect()}
+    assert got == {"mon": (2, 1, 2, 2, "a,b"), "tue": (0, 2, 0, 0, None)}
+    assert I.outage_summary(plan.where("d = 'tue'")).first()["sites"] is None
