@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -130,22 +132,42 @@ def constant_array(values) -> Column:
 CHUNK = 65536
 
 
+def _chunks(df: DataFrame, keys: list[str], position: str, chunk: int | None):
+    """Rows with their chunk ``_c``; the window of a chunk; all earlier chunks of a key."""
+    base = df.withColumn("_c", F.floor(F.col(position) / (chunk or CHUNK)))
+    inside = Window.partitionBy(*keys, "_c").orderBy(F.col(position).asc_nulls_first())
+    earlier = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+    return base, inside, earlier
+
+
+def _chunk_ends(base: DataFrame, keys: list[str], inside, columns: list[Column]) -> DataFrame:
+    """The last row of every chunk, with window ``columns``; one sort, nothing is grouped."""
+    last = F.lead(F.lit(1)).over(inside).isNull()
+    return base.repartition(*keys, "_c").select(*keys, "_c", *columns, last.alias("_last")).where("_last").drop("_last")
+
+
+def _with_heads(base: DataFrame, heads: DataFrame, by: list[str]) -> DataFrame:
+    """Rows and ``heads`` together by chunk; heads, few, are dealt out alone first, or a task would sort for both."""
+    marked = heads.repartition(*by).withColumn("_head", F.lit(True))
+    return base.withColumn("_head", F.lit(False)).unionByName(marked, allowMissingColumns=True).repartition(*by)
+
+
 def carry_forward(df: DataFrame, keys: list[str], position: str, columns: list[str], chunk: int | None = None) -> DataFrame:
     """Last non-null value of each column up to a row, for keys of any size.
 
     A key is cut into chunks of positions; within a chunk a window does the
-    work, and what earlier chunks leave over comes from a table with one row
-    per chunk.
+    work, and what earlier chunks leave over precedes it as one more row.
+    Chunks are dealt out anew even if the input lies by key, so a task sorts
+    once: sorts that follow each other in a task hold their memory together.
     """
-    cut = F.floor(F.col(position) / (chunk or CHUNK))
-    base = df.withColumn("_c", cut)
-    over = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy(*keys, "_c").orderBy(position).rowsBetween(Window.unboundedPreceding, 0)
-    ends = base.groupBy(*keys, "_c").agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), F.col(position))).alias(c) for c in columns])
-    left = ends.select(*keys, "_c", *[F.last(c, True).over(over).alias(f"_e_{c}") for c in columns])
-    out = base.join(left, [*keys, "_c"])
-    filled = {c: F.coalesce(F.last(c, True).over(inside), F.col(f"_e_{c}")) for c in columns}
-    return out.select(*[filled[c].alias(c) if c in filled else F.col(c) for c in df.columns])
+    base, inside, earlier = _chunks(df, keys, position, chunk)
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    ends = _chunk_ends(base, keys, inside, [F.last(c, True).over(upto).alias(c) for c in columns])
+    left = ends.select(*keys, "_c", *[F.last(c, True).over(earlier).alias(c) for c in columns])
+    heads = left.where(reduce(or_, [F.col(c).isNotNull() for c in columns]))
+    rows = _with_heads(base, heads, [*keys, "_c"])
+    filled = {c: F.last(c, True).over(upto).alias(c) for c in columns}
+    return rows.select(*[filled.get(c, F.col(c)) for c in df.columns], "_head").where("not _head").drop("_head")
 
 
 def running_number(df: DataFrame, keys: list[str], position: str, name: str, chunk: int | None = None) -> DataFrame:

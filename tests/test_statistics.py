@@ -190,3 +190,40 @@ def test_bins_with_equal_values_or_none(spark):
     assert bin_kernel.fit_site(flat.assign(value=np.nan), [3], [1.0], 1.05) == []
     empty = spark.createDataFrame([], "site string, current double, pred double, actual double, capacity double")
     assert H.fit_bin_calibration(empty).count() == 0
+
+
+def sorts_by_stage(df):
+    """Sorts of a physical plan between one exchange and the next."""
+    count, path = {}, []
+    for line in df._jdf.queryExecution().executedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        word = line[depth:].split(" ")[0]
+        path = [p for p in path if p[0] < depth]
+        stage = next((p for p in reversed(path) if p[1] == "Exchange"), None)
+        if word == "Sort":
+            count[stage] = count.get(stage, 0) + 1
+        path.append((depth, word, line))
+    return list(count.values())
+
+
+def scanned(spark):
+    """Rows of a few keys, one of them NULL, that lie by key and sorted as a window leaves them."""
+    from pyspark.sql import Window
+
+    rng = np.random.default_rng(7)
+    rows = [(k, i, None if rng.random() < 0.9 else f"v{i}", None if i % 40 else i) for i, k in enumerate(rng.choice(["hot", "b", "none"], 300, p=[0.6, 0.1, 0.3]))]
+    df = spark.createDataFrame([(None if k == "none" else str(k), i, v, u) for k, i, v, u in rows], "k string, i long, v string, u long")
+    return df.select("k", F.row_number().over(Window.partitionBy("k").orderBy("i")).cast("bigint").alias("p"), "v", "u")
+
+
+def test_carry_forward_sorts_once_a_task(spark):
+    from pyspark.sql import Window
+
+    from headrace.functions.expr import carry_forward
+
+    df = scanned(spark)
+    got = carry_forward(df, ["k"], "p", ["v", "u"], chunk=7)
+    assert max(sorts_by_stage(got)) == 1
+    upto = Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
+    want = df.select("k", "p", *[F.last(c, True).over(upto).alias(c) for c in ("v", "u")])
+    assert got.columns == df.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
