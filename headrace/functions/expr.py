@@ -171,14 +171,16 @@ def carry_forward(df: DataFrame, keys: list[str], position: str, columns: list[s
 
 
 def running_number(df: DataFrame, keys: list[str], position: str, name: str, chunk: int | None = None) -> DataFrame:
-    """``row_number`` within ``keys`` by an integer position, for keys of any size."""
-    cut = F.floor(F.col(position) / (chunk or CHUNK))
-    base = df.withColumn("_c", cut)
-    over = Window.partitionBy(*keys).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = base.groupBy(*keys, "_c").agg(F.count(F.lit(1)).alias("_n"))
-    starts = sizes.select(*keys, "_c", F.coalesce(F.sum("_n").over(over), F.lit(0)).alias("_start"))
-    here = F.row_number().over(Window.partitionBy(*keys, "_c").orderBy(position))
-    return base.join(starts, [*keys, "_c"]).withColumn(name, here + F.col("_start")).drop("_c", "_start")
+    """``row_number`` within ``keys`` by an integer position, for keys of any size.
+
+    Chunks as in :func:`carry_forward`; the row ahead of a chunk counts for all rows before it.
+    """
+    base, inside, earlier = _chunks(df, keys, position, chunk)
+    ends = _chunk_ends(base, keys, inside, [F.row_number().over(inside).cast("bigint").alias("_n")])
+    heads = ends.select(*keys, "_c", F.sum("_n").over(earlier).alias("_n")).where("_n > 0")
+    rows = _with_heads(base.withColumn("_n", F.lit(1).cast("bigint")), heads, [*keys, "_c"])
+    upto = inside.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn(name, F.sum("_n").over(upto)).where("not _head").drop("_c", "_n", "_head")
 
 
 def series_window(keys, order="ts"):

@@ -227,3 +227,15 @@ def test_carry_forward_sorts_once_a_task(spark):
     upto = Window.partitionBy("k").orderBy("p").rowsBetween(Window.unboundedPreceding, 0)
     want = df.select("k", "p", *[F.last(c, True).over(upto).alias(c) for c in ("v", "u")])
     assert got.columns == df.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_running_number_sorts_once_a_task(spark):
+    from pyspark.sql import Window
+
+    from headrace.functions.expr import running_number
+
+    df = scanned(spark)
+    got = running_number(df, ["k"], "p", "n", chunk=7)
+    assert max(sorts_by_stage(got)) == 1
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("p")).cast("bigint"))
+    assert got.columns == want.columns and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
