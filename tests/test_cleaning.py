@@ -173,3 +173,16 @@ def test_smooth_takes_alternating_series_of_any_length(hourly):
     got = collect(C.smooth_spikes(hourly(series), ["site"], "x"))
     for k, x in series.items():
         np.testing.assert_allclose(got[k], sequential_smooth(x), rtol=0, atol=1e-9, equal_nan=True, err_msg=k)
+
+
+def test_many_series_are_dealt_by_the_size_of_their_grid(spark, monkeypatch):
+    """Ten suppliers: some 6,000 rows, but 25,000 on the complete calendar."""
+    from headrace.plans import q_features as Q
+
+    sf = "/root/testdata/sf0.001"
+    want = Q.supplier_days(spark, sf)
+    monkeypatch.setattr(C, "GRID_ROWS", 5000, raising=False)
+    got = Q.supplier_days(spark, sf)
+    rows = got.groupBy("site").count().collect()
+    assert got.rdd.getNumPartitions() >= sum(r["count"] for r in rows) * 0.9 / 5000 and len({r["count"] for r in rows}) == 1
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
